@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vitalgrid.llm import decontaminate, language_id, line_dedup, packing, quality_rules, toxicity, url_filter, warc
+from vitalgrid.llm import decontaminate, jaccard_join, language_id, line_dedup, packing, quality_rules, toxicity, url_filter, warc
 from vitalgrid.llm.common import table
 
 # The url rules (host, path, verdict).
@@ -25,6 +25,10 @@ def _crc(key: str, mod: int):
     return F.crc32(F.col(key).cast("string").cast("binary")) % mod
 
 
+def op2_jaccard_join(spark, sf_dir):
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_url_filter(spark, sf_dir):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -69,4 +73,4 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held, "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op4_best_fit_packing, op5_warc, op6_line_dedup, op7_language_id, op8_quality_rules, op9_decontaminate, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_jaccard_join, op3_url_filter, op4_best_fit_packing, op5_warc, op6_line_dedup, op7_language_id, op8_quality_rules, op9_decontaminate, op10_toxicity)}

@@ -44,6 +44,21 @@ def lines(source: str = "documents", tag: str = "") -> str:
       coalesce(string_agg(line, chr(10) order by i) filter (not lost), '') as text from l_mark group by doc_id"""
 
 
+def components(source: str = "documents") -> str:
+    """doc_id, n_shingles, component_id of near-duplicate components."""
+    return f"""
+    with recursive c_words as (select doc_id, regexp_extract_all({_LOW("coalesce(text, '')")}, '{_WORD}') as w from {source}),
+    c_set as materialized (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+      else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) end as s from c_words),
+    c_tok as materialized (select doc_id, len(s) as n, unnest(s) as t from c_set),
+    c_pair as materialized (select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as i
+      from c_tok a join c_tok b on a.t = b.t and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+    c_link as materialized (select a, b from c_pair where 100 * i >= 80 * (na + nb - i) union select b, a from c_pair where 100 * i >= 80 * (na + nb - i)),
+    c_reach(a, b) as (select a, b from c_link union select r.a, l.b from c_reach r join c_link l on r.b = l.a),
+    c_min as (select a, min(b) as m from c_reach group by a)
+    select doc_id, len(s)::bigint as n_shingles, least(doc_id, coalesce(m, doc_id)) as component_id from c_set left join c_min on doc_id = a"""
+
+
 OP3 = """
 with r as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
 s as (select page_id, regexp_extract(rest, '^[^/?#]*') as raw, rest from r),
@@ -61,6 +76,7 @@ select page_id, payload_bytes, p.payload_digest, case when first is not null and
 from p left join f on p.payload_digest = f.payload_digest and payload_bytes >= 100"""
 
 ORACLE_SQL = {
+    "op2_jaccard_join": components(),
     "op3_url_filter": OP3,
     "op5_warc": OP5,
     "op6_line_dedup": f"select doc_id, n_lines, n_dropped, sha256(text) as kept_sha256 from ({lines()})",
