@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vitalgrid.llm import decontaminate, jaccard_join, language_id, line_dedup, packing, quality_rules, toxicity, url_filter, warc
+from vitalgrid.llm import decontaminate, jaccard_join, language_id, line_dedup, packing, quality_rules, suffix_dedup, toxicity, url_filter, warc
 from vitalgrid.llm.common import table
 
 # The url rules (host, path, verdict).
@@ -25,6 +25,11 @@ def _crc(key: str, mod: int):
     return F.crc32(F.col(key).cast("string").cast("binary")) % mod
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    out = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_jaccard_join(spark, sf_dir):
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -73,4 +78,4 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held, "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_jaccard_join, op3_url_filter, op4_best_fit_packing, op5_warc, op6_line_dedup, op7_language_id, op8_quality_rules, op9_decontaminate, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_url_filter, op4_best_fit_packing, op5_warc, op6_line_dedup, op7_language_id, op8_quality_rules, op9_decontaminate, op10_toxicity)}

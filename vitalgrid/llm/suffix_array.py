@@ -122,8 +122,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """For each start in ``order`` but the first, letters (at most ``most``) its suffix shares with the one before, in the text's own order: a
-    prefix that shrank by one at the position before needs no second look at its letters.
+    """For each start in ``order`` but the first, letters (at most ``most``) its suffix shares with the one before; compared for all
+    text positions at once, through each position's predecessor in the array (permuted common prefixes).
     """
     n = len(text)
     phi = np.full(n, -1, np.int64)
