@@ -2,25 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SCALE = 0.6745
-
+from vitalgrid.functions.arrays import let, median
 
-def _median(a: Column) -> Column:
-    """Of an array in ascending order."""
-    n = F.size(a)
-    return (F.element_at(a, ((n + 1) / 2).cast("int")) + F.element_at(a, ((n + 2) / 2).cast("int"))) / 2.0
+SCALE = 0.6745
 
 
 def robust_z(series: DataFrame, window: int = 28) -> DataFrame:
     """(series, day, value, z) of observed rows: against median and MAD of the ``window`` rows before; null where fewer, or where MAD is 0."""
     w = Window.partitionBy("series").orderBy("day").rowsBetween(-window, -1)
     df = series.filter("value is not null").withColumn("_w", F.array_sort(F.collect_list("value").over(w)))
-    df = df.withColumn("_m", F.when(F.size("_w") == window, _median(F.col("_w"))))
-    df = df.withColumn("_d", F.when(F.col("_m").isNotNull(), _median(F.array_sort(F.transform("_w", lambda x: F.abs(x - F.col("_m")))))))
-    return df.withColumn("z", F.when(F.col("_d") > 0, F.lit(SCALE) * (F.col("value") - F.col("_m")) / F.col("_d"))).drop("_w", "_m", "_d")
+    stats = let(F.col("_w"), lambda a: let(median(a), lambda m: F.struct(m.alias("m"), median(F.array_sort(F.transform(a, lambda x: F.abs(x - m)))).alias("d"))))
+    df = df.withColumn("_s", F.when(F.size("_w") == window, stats))
+    return df.withColumn("z", F.when(F.col("_s.d") > 0, F.lit(SCALE) * (F.col("value") - F.col("_s.m")) / F.col("_s.d"))).drop("_w", "_s")
 
 
 def global_z(series: DataFrame) -> DataFrame:
