@@ -88,7 +88,7 @@ def dwell(buckets: DataFrame, *keys: str) -> DataFrame:
     w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("ts")
     gap = seconds(F.lead("ts").over(w), F.col("ts")) / 60.0
     df = buckets.withColumn("_gap", gap)
-    return df.withColumns({"dwell": F.coalesce(F.least("_gap", F.lit(C.GAP_CAP_MIN)), F.lit(C.BUCKET_MIN)), "excess": F.coalesce(F.greatest(F.col("_gap") - C.GAP_CAP_MIN, F.lit(0.0)), F.lit(0.0))}).drop("_gap")
+    return df.withColumns({"dwell": F.when(F.col("_gap").isNull(), F.lit(C.BUCKET_MIN)).otherwise(F.least("_gap", F.lit(C.GAP_CAP_MIN))), "excess": F.greatest(F.coalesce("_gap", F.lit(0.0)) - C.GAP_CAP_MIN, F.lit(0.0))}).drop("_gap")
 
 
 def daily(buckets: DataFrame) -> DataFrame:

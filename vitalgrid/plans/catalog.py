@@ -64,7 +64,7 @@ def sleep_metrics(t):
 
 @query
 def sleep_frame(t):
-    return _round(sleep.frame(sleep.nightly(t.sleep()), ZONE))
+    return _round(sleep.frame(sleep.nightly(t.sleep()), ZONE), 6)
 
 
 @query
@@ -249,12 +249,12 @@ def _workout_daily(t, by=None):
 
 @query
 def workout_daily(t):
-    return _round(_workout_daily(t))
+    return _round(_workout_daily(t), 6)
 
 
 @query
 def workout_daily_by_type(t):
-    return _round(_workout_daily(t, ["canonical_type"]))
+    return _round(_workout_daily(t, ["canonical_type"]), 6)
 
 
 @query
