@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """Within low and high; null stays null (least and greatest alone would skip it)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def reserve(hr: Column, rest: Column, most: Column) -> Column:

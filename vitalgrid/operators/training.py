@@ -29,7 +29,7 @@ def session_impulse(workouts: DataFrame, hr: DataFrame, resting: DataFrame, zone
     The maximum is the given one, else the largest session maximum within 160 and 210; rest is the 28-day median, else the overall one, else 60.
     """
     most = F.lit(float(hr_max)) if hr_max is not None else F.col("_most")
-    params = workouts.agg(clamp(F.max("max_hr"), C.HR_MAX_LOW, C.HR_MAX_HIGH).alias("_most")).crossJoin(resting.agg(F.percentile("value", 0.5).alias("_rest")))  # one row
+    params = workouts.agg(F.coalesce(clamp(F.max("max_hr"), C.HR_MAX_LOW, C.HR_MAX_HIGH), F.lit(C.HR_MAX_LOW)).alias("_most")).crossJoin(resting.agg(F.percentile("value", 0.5).alias("_rest")))  # one row
     base = workouts.filter("start_time is not null").withColumn("day", local_day(F.col("start_time"), zone))
     if since is not None:
         base = base.filter(F.col("day") >= F.lit(since))
