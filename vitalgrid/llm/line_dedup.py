@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrid.llm.common import ASCII_SPACE, chunks, mix
+from vitalgrid.llm.common import ASCII_SPACE, chunks, mix, written
 
 _SPACE = ASCII_SPACE.encode()
 
@@ -135,9 +135,10 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, doc_id:
     spark = docs.sparkSession
     shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     filters = twice_seen(docs, text, min_chars, shards, max_filter_bytes)
-    lines = suspected(docs, doc_id, text, min_chars, filters, shards)
+    lines = written(suspected(docs, doc_id, text, min_chars, filters, shards), "lines")
     repeated = lines.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_last")).filter(F.col("_n") >= min_docs)
-    lost = lines.join(repeated, "_key").filter(~F.col("_id").eqNullSafe(F.col("_last")))
+    # Both sides of the join come from tables, so a key of a third of all rows is a skewed partition that Spark splits.
+    lost = lines.join(written(repeated, "repeated"), "_key").filter(~F.col("_id").eqNullSafe(F.col("_last")))
     drops = lost.groupBy("_id").agg(F.collect_set("_key").alias("_drop"))
     df = docs.drop("n_lines", "n_dropped").join(drops, F.col(doc_id).cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
     names = [c for c in df.columns if c != "_drop"]
