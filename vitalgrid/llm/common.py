@@ -65,7 +65,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")  # the table replaces the shuffle files it was made from
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
@@ -123,15 +123,17 @@ def _powers(base: int, n: int) -> np.ndarray:
     return _POWERS[base][:n]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, heads: tuple[int, ...] = ()):
     """Words are maximal runs, within a value, of bytes that ``inside`` marks (256 booleans).
 
-    Returns each word's start, end, 64-bit hash (A-Z lower-cased) and the n+1 offsets of the values' words.
+    Returns each word's start, end, 64-bit hash (A-Z lower-cased) and the n+1 offsets of the values' words; with ``heads`` also
+    a (number, word) array of hashes of each word's first bytes, so many or all it has.
     """
     n = len(data)
     if n == 0:
         empty = np.zeros(0, np.int64)
-        return empty, empty, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        none = (empty, empty, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
+        return (*none, np.zeros((len(heads), 0), np.uint64)) if heads else none
     mask = inside[data]
     starts = mask.copy()
     starts[1:] &= ~mask[:-1]
@@ -147,8 +149,12 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
     lowered[upper] += 32
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[lowered] * _powers(_BASE, n), out=sums[1:])
-    hashed = mix((sums[e] - sums[s]) * _powers(_UNBASE, n)[s] + (e - s).astype(np.uint64))
-    return s, e, hashed, np.searchsorted(s, offsets)
+    scale = _powers(_UNBASE, n)[s]
+    hashed = mix((sums[e] - sums[s]) * scale + (e - s).astype(np.uint64))
+    out = (s, e, hashed, np.searchsorted(s, offsets))
+    if not heads:
+        return out
+    return *out, np.stack([mix((sums[np.minimum(s + k, e)] - sums[s]) * scale + np.uint64(1000 + k)) for k in heads])
 
 
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)

@@ -209,12 +209,54 @@ def _affordable(rows: DataFrame, signs: DataFrame, hot: int) -> DataFrame:
     return rows.filter("not common").unionByName(gone).drop("common")
 
 
-def links(docs: DataFrame, signs: DataFrame, doc_id: str, text: str, small: int = 16, hot: int = 64) -> DataFrame | None:
+def _in_buckets(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a key of ``rows`` (key, id, comp) and pass the size and Hamming bounds.
+
+    Keys with one and the same document list are tested once. A task holds the sketches of one list; only pairs that may link leave it.
+    """
+    lists = rows.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("id", "comp"))).alias("m")).select("m").distinct()
+    members = lists.select(F.xxhash64("m").alias("list"), F.explode("m").alias("m")).select("list", F.col("m.id").alias("sid"), F.col("m.comp").alias("comp"))
+    members = members.join(held.select("sid", "n", "bits"), "sid")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def pairs(group):
+        ids, comp, n = (np.array([g[k] for g in group]) for k in (1, 2, 3))
+        raw = [np.frombuffer(g[4], np.uint8) for g in group]
+        width = min(map(len, raw))
+        bits = np.stack([np.bitwise_xor.reduce(x.reshape(-1, width), axis=0) for x in raw]).view(np.uint64)
+        for i in range(len(ids) - 1):
+            d = np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            m = n[i + 1 :]
+            ok = (comp[i + 1 :] != comp[i]) & (DEN * np.minimum(m, n[i]) >= NUM * np.maximum(m, n[i])) & (d <= _differ(m + n[i]))
+            for j in np.flatnonzero(ok):
+                yield min(ids[i], ids[i + 1 + j]), max(ids[i], ids[i + 1 + j])
+
+    def test(batches):
+        group: list = []
+
+        def out():
+            found = list(pairs(group)) if len(group) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if group and row[0] != group[0][0]:
+                    yield out()
+                    group = []
+                group.append(row)
+        if group:
+            yield out()
+
+    return members.select("list", "sid", "comp", "n", "bits").repartition(parts, "list").sortWithinPartitions("list").mapInArrow(test, "a long, b long").distinct()
+
+
+def links(docs: DataFrame, signs: DataFrame, doc_id: str, text: str, hot: int = 64, most: int = 1024) -> DataFrame | None:
     """(id, comp) of every class representative that links with another one; None if none does.
 
-    Keys of up to ``small`` documents test all their pairs. Larger ones test a centre against the rest, drop it, and go on with the
-    next, until their documents are one component or spent; so a group of thousands of like texts costs a few tests each,
-    and no pair that could join two components goes untested.
+    First, keys test a centre against the rest, then the next centre, as long as that links anything: a group of thousands of like texts
+    becomes one component for a few tests each. Then every key whose documents are still of several components tests all pairs across them
+    by their sketches. Keys of over ``most`` documents go on centre by centre instead, until their documents are of one component or spent.
+    So no pair that could join two components goes untested.
     """
     reps = signs.filter("id = rep")
     rows = shared(keys(docs, doc_id, text)).join(reps.select(F.col("id").alias("_i")).distinct(), F.col("id") == F.col("_i"), "left_semi").distinct()
@@ -222,37 +264,43 @@ def links(docs: DataFrame, signs: DataFrame, doc_id: str, text: str, small: int
     many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("key").alias("_k"))
     rows = written(_affordable(rows.join(many, F.col("key") == F.col("_k"), "left_semi"), reps, hot), "keys")
     held = written(token_sets(docs, rows.select("id").distinct(), doc_id, text), "sets")
-    found, comp, tested = None, None, None
-    # First a sixteenth of the keys: they link most near copies, whose other keys then have nothing left to join.
-    wave = True
-    rows = rows.withColumn("w", F.pmod(F.xxhash64("key"), F.lit(16)) == 0)
-    while True:
-        now = rows if comp is None else rows.join(comp.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i"), "left").drop("_i")
-        now = now.withColumn("comp", F.coalesce("comp", "id") if comp is not None else F.col("id"))
-        sizes = now.groupBy(F.col("key").alias("_k")).agg(F.count(F.lit(1)).alias("_n"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min("id").alias("_c"))
-        now = written(now.join(sizes.filter("_lo <> _hi"), F.col("key") == F.col("_k")).drop("_k", "_lo", "_hi"), "keys")
-        if now.limit(1).count() == 0:
-            break
-        use = now.filter("w") if wave else now
-        if wave and use.limit(1).count() == 0:
-            wave, use = False, now
-        tight = use.filter(F.col("_n") <= small)
-        other = tight.select(F.col("key").alias("_k"), F.col("id").alias("b"), F.col("comp").alias("_cb"))
-        pairs = tight.join(other, (F.col("key") == F.col("_k")) & (F.col("id") < F.col("b")) & (F.col("comp") != F.col("_cb"))).select(F.col("id").alias("a"), "b")
-        wide = use.filter(F.col("_n") > small)
-        # The next centre: of the commonest component that a document's row shows, which by then holds the group's original.
-        weight = wide.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("_m"), F.min("id").alias("_id")).groupBy(F.col("key").alias("_k")).agg(F.max_by(F.struct("_id", "comp"), F.struct("_m", -F.col("_id"))).alias("_c2"))
-        starred = wide.join(weight, F.col("key") == F.col("_k"))
-        pairs = pairs.unionByName(starred.filter("comp <> _c2.comp").select(F.least("id", "_c2._id").alias("a"), F.greatest("id", "_c2._id").alias("b"))).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
+    found = comp = None
+
+    def open_keys(rows):
+        """``rows`` with ``comp`` and ``_n`` of the keys whose documents are of several components."""
+        now = rows.withColumn("comp", F.col("id")) if comp is None else rows.join(comp.select(F.col("id").alias("_i"), "comp"), F.col("id") == F.col("_i"), "left").drop("_i").withColumn("comp", F.coalesce("comp", "id"))
+        sizes = now.groupBy(F.col("key").alias("_k")).agg(F.count(F.lit(1)).alias("_n"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo <> _hi")
+        return written(now.join(sizes, F.col("key") == F.col("_k")).drop("_k", "_lo", "_hi"), "open")
+
+    def centred(now):
+        """Pairs of each key's centre with documents of other components, and the rows without the centre. The centre is of the key's commonest
+        component, which soon holds a group's original.
+        """
+        tops = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("_m"), F.min("id").alias("_id")).groupBy(F.col("key").alias("_k")).agg(F.max_by(F.struct("_id", "comp"), F.struct("_m", -F.col("_id"))).alias("_c"))
+        star = written(now.join(tops, F.col("key") == F.col("_k")).drop("_k"), "stars")
+        pairs = star.filter("comp <> _c.comp").select(F.least("id", "_c._id").alias("a"), F.greatest("id", "_c._id").alias("b")).distinct()
+        return pairs, star.filter("id <> _c._id").select("key", "id")
+
+    def link(pairs):
+        nonlocal found, comp
         new = written(_verified(_near(pairs, held), held), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = new if found is None else found.unionByName(new)
-        rest = starred.filter("id <> _c2._id").select("key", "id", "w")
-        rows = rest if not wave else rest.unionByName(now.filter("not w").select("key", "id", "w"))
-        comp = components(found)
+        grew = new.limit(1).count() > 0
+        if grew:
+            found = new if found is None else written(found.unionByName(new), "links")
+            comp = components(found)
+        return grew
+
+    part = rows.filter(F.pmod(F.xxhash64("key"), F.lit(16)) == 0)  # a sixteenth of the keys shows most near copies
+    grew = True
+    while grew:
+        pairs, part = centred(open_keys(part))
+        grew = link(pairs)
+    now = open_keys(rows)
+    link(_in_buckets(now.filter(F.col("_n") <= most), held))
+    large = now.filter(F.col("_n") > most).select("key", "id")
+    while (now := open_keys(large)).limit(1).count():
+        pairs, large = centred(now)
+        link(pairs)
     return comp
 
 
@@ -268,7 +316,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     classes = signs.filter("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
     same = [F.col(c) == F.col(f"_{c}") for c in ("n", "h1", "h2")]
     classes = classes.select(*[F.col(c).alias(f"_{c}") for c in ("n", "h1", "h2")], "rep")
-    signs = written(signs.join(classes, same, "left").drop("_n", "_h1", "_h2").withColumn("rep", F.coalesce("rep", "id")), "signs")
+    signs = written(signs.join(classes, same, "left").drop("_n", "_h1", "_h2").withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))), "signs")
     comp = links(docs, signs.filter("n > 0"), doc_id, text)
     whole = signs if comp is None else signs.join(comp.select(F.col("id").alias("_r"), "comp"), F.col("rep") == F.col("_r"), "left")
     whole = whole.withColumn("comp", F.coalesce("comp", "rep") if comp is not None else F.col("rep"))

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitalgrid.llm.common import written
+
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 4
 UNKNOWN = "und"
@@ -51,21 +53,23 @@ def _count(batches):
 class Model:
     """Per-language log frequencies of words and of 1- to 4-grams; at most ``max_terms`` of each kind."""
 
-    def __init__(self, langs: list[str], priors: np.ndarray, tables: list[dict[str, np.ndarray]], floors: list[np.ndarray]):
+    def __init__(self, langs: list[str], priors: np.ndarray, tables: list[dict[str, tuple]], floors: list[tuple]):
         self.langs, self.priors, self.tables, self.floors = langs, priors, tables, floors
 
-    def word(self, w: str) -> np.ndarray:
+    def word(self, w: str) -> tuple[float, ...]:
         """The word's score by language: as a whole if known, else the mean over the longest n-grams of which one is known."""
         known = self.tables[0].get(w)
         if known is not None:
             return known
+        marked = f"^{w}$"
         for size in range(LONGEST, 0, -1):
             table = self.tables[size]
-            found = [table[g] for g in grams(w, size) if g in table]
+            parts = [marked[i : i + size] for i in range(len(marked) - size + 1)]
+            found = [v for v in map(table.get, parts) if v is not None]
             if found:
-                missing = len(w) + 3 - size - len(found)
-                return (np.sum(found, axis=0) + missing * self.floors[size]) / (len(found) + missing)
-        return np.zeros(len(self.langs))
+                missing, n = len(parts) - len(found), len(parts)
+                return tuple([(sum(x) + missing * low) / n for x, low in zip(zip(*found), self.floors[size])])
+        return (0.0,) * len(self.langs)
 
 
 def train(labelled: DataFrame, max_rows: int = 20_000, max_terms: int = 60_000, text: str = "text", lang: str = "lang", order: str = "doc_id") -> Model:
@@ -75,12 +79,12 @@ def train(labelled: DataFrame, max_rows: int = 20_000, max_terms: int = 60_000,
     rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(order, text).alias("_o"))
     n = rows.count()
     sample = rows.filter(F.pmod("_o", F.lit(1 << 20)) < int(min(1.0, max_rows / max(n, 1)) * (1 << 20)) + 1).select("lang", "text")
-    counts = sample.mapInArrow(_count, "lang string, term string, size int, n long").groupBy("lang", "term", "size").agg(F.sum("n").alias("n"))
+    counts = written(sample.mapInArrow(_count, "lang string, term string, size int, n long").groupBy("lang", "term", "size").agg(F.sum("n").alias("n")), "counts")
     by_term = counts.groupBy("size", "term").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
     totals = counts.groupBy("size", "lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("terms")).collect()
     langs = sorted({r["lang"] for r in totals if r["size"] == 0})
     if not langs:
-        return Model([], np.zeros(0), [{} for _ in range(LONGEST + 1)], [np.zeros(0)] * (LONGEST + 1))
+        return Model([], np.zeros(0), [{} for _ in range(LONGEST + 1)], [()] * (LONGEST + 1))
     tables, floors = [], []
     place = {x: i for i, x in enumerate(langs)}
     for size in range(LONGEST + 1):
@@ -94,9 +98,9 @@ def train(labelled: DataFrame, max_rows: int = 20_000, max_terms: int = 60_000,
             v = np.full(len(langs), 0.5)
             for x, n in r["by"].items():
                 v[place[x]] += n
-            table[r["term"]] = np.log(v) - bottom
+            table[r["term"]] = tuple((np.log(v) - bottom).tolist())
         tables.append(table)
-        floors.append(np.log(0.5) - bottom)
+        floors.append(tuple((np.log(0.5) - bottom).tolist()))
     return Model(langs, np.zeros(len(langs)), tables, floors)
 
 

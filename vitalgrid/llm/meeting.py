@@ -7,13 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrid.llm.common import mix
-
 SCHEMA = "key long, own long"
 
 
 def dealt(key: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
-    """A batch (key, 4 * owner + mark) of distinct (key, owner) pairs of one task. Of pairs with one key only the first goes to that key's
+    """A batch (key, 4 * owner + mark) of distinct (key, owner) pairs of one task; owners are ids of up to 61 bits. Of pairs with one key only the first goes to that key's
     task (mark 1: seen twice); the others (mark 2) are known to be shared and dealt evenly.
     """
     order = np.lexsort((owner, key))
@@ -43,8 +41,3 @@ def shared(keys: DataFrame) -> DataFrame:
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     at = F.when(F.col("own").bitwiseAND(3) == 2, F.xxhash64("key", "own")).otherwise(F.col("key"))
     return keys.repartition(n, at).mapInArrow(only, "key long, id long")
-
-
-def owners(n: np.ndarray) -> np.ndarray:
-    """Owner numbers from any 64-bit hashes: 61 bits."""
-    return (mix(n.view(np.uint64)) >> np.uint64(3)).view(np.int64)

@@ -31,6 +31,7 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.model, self.split, self.most = self.whole.model, regex.compile(SPLIT).findall, most
+        self.plain = regex.compile("[!-~\u00a1-\u012f\u0131-\u024f]*").fullmatch  # no space or control; lower case as in any library
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         hidden = iter(range(256, 512))
         self.shown = {b: chr(b) if b in shown else chr(next(hidden)) for b in range(256)}
@@ -41,7 +42,7 @@ class Encoder:
         return np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        if "<|" not in chunk and all(c < "ɐ" and c != "İ" for c in chunk):
+        if "<|" not in chunk and self.plain(chunk):
             return b"".join(map(self.pieces.__getitem__, self.split(chunk.lower())))
         return np.array(self.whole.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 

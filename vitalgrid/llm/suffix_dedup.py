@@ -1,6 +1,6 @@
 """Suffix-array dedup: bytes of a text covered by a long string that also starts in an earlier document are removed.
 
-Equal strings must meet in one shard. Every ``length``-byte window is filed under the smallest hash of the 16-byte strings in
+Equal strings must meet in one shard. Every ``length``-byte window is filed under the smallest hash of the 24-byte strings in
 it (leftmost of equals), which depends on the window alone; runs of windows of one document with the same such anchor make a segment.
 Only anchors that two documents share go on. Shards of distinct segments are sorted by suffix arrays; where neighbours share
 ``length`` bytes, the windows are equal and their smallest document is known.
@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.llm.common import _BYTE, chunks, mix, text_bytes, written
-from vitalgrid.llm.meeting import SCHEMA, dealt, owners, shared
+from vitalgrid.llm.meeting import SCHEMA, dealt, shared
 from vitalgrid.llm.suffix_array import common_prefixes, suffix_array
 
 LENGTH = 50
-GRAM = 16
+GRAM = 24
 _M = 0x9FB21C651E98DF25
 
 
@@ -29,9 +29,12 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
     if n < length:
         return none, none, none, none.view(np.uint64)
     h, power, size = _BYTE[raw], _M, 1
-    while size < GRAM:
-        h = h[: len(h) - size] * np.uint64(power) + h[size:]
-        power, size = power * power % (1 << 64), size * 2
+    while size < GRAM:  # doubling; the last step may overlap by less
+        step = min(size, GRAM - size)
+        if step == size:
+            h, power, size = h[: len(h) - size] * np.uint64(power) + h[size:], power * power % (1 << 64), size * 2
+        else:
+            h, size = mix(h[: len(h) - step]) * np.uint64(_M) + h[step:], size + step
     h = mix(h)
     low = int(n).bit_length()
     at = (h >> np.uint64(low)) << np.uint64(low) | np.arange(len(h), dtype=np.uint64)
@@ -59,13 +62,13 @@ def _row(doc_id: str, text: str):
 
 
 def anchor_keys(rows: DataFrame, length: int) -> DataFrame:
-    """The dealt (anchor, row) pairs of ``rows`` (_row, _text)."""
+    """The dealt (anchor, document) pairs of ``rows`` (_id, _text)."""
     def make(batches):
         keys, own, size = [], [], 0
         for b in chunks(batches, "_text"):
             doc, _, _, key = anchors(*text_bytes(b.column("_text")), length)
             keys.append(key)
-            own.append(owners(b.column("_row").to_numpy(zero_copy_only=False).astype(np.int64))[doc])
+            own.append(b.column("_id").to_numpy(zero_copy_only=False).astype(np.int64)[doc])
             size += len(key)
             if size > 1_500_000:
                 yield dealt(np.concatenate(keys), np.concatenate(own))
@@ -73,18 +76,12 @@ def anchor_keys(rows: DataFrame, length: int) -> DataFrame:
         if size:
             yield dealt(np.concatenate(keys), np.concatenate(own))
 
-    return rows.select("_row", "_text").mapInArrow(make, SCHEMA)
+    return rows.select("_id", "_text").mapInArrow(make, SCHEMA)
 
 
 def segments(rows: DataFrame, keys: DataFrame, length: int) -> DataFrame:
-    """(key, mark, doc, row, start, seg): the segments of ``rows`` (_id, _row, _text) whose anchors are in ``keys`` (key, id = owner number)."""
+    """(key, mark, doc, row, start, seg): the segments of ``rows`` (_id, _row, _text) whose anchors are in ``keys`` (key, id)."""
     own = keys.groupBy("id").agg(F.collect_set("key").alias("_keys"))
-    number = F.col("_own")
-
-    def number_of(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(owners(b.column("_row").to_numpy(zero_copy_only=False).astype(np.int64)))], [*b.schema.names, "_own"])
-
     def cut(batches):
         for b in chunks(batches, "_text"):
             raw, offsets = text_bytes(b.column("_text"))
@@ -100,8 +97,7 @@ def segments(rows: DataFrame, keys: DataFrame, length: int) -> DataFrame:
             pick = pa.array(doc)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("_id").take(pick), b.column("_row").take(pick), pa.array(first - offsets[doc]), pa.array(seg, pa.binary())], ["key", "doc", "row", "start", "seg"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", _own long"
-    joined = rows.mapInArrow(number_of, schema).join(own, number == F.col("id")).select("_id", "_row", "_text", "_keys")
+    joined = rows.join(own, F.col("_id") == F.col("id")).select("_id", "_row", "_text", "_keys")
     return joined.mapInArrow(cut, "key long, doc long, row long, start long, seg binary").withColumn("mark", F.xxhash64("seg"))
 
 
@@ -185,15 +181,30 @@ def _covered(found: DataFrame, length: int) -> DataFrame:
 RESULTS = ("n_bytes", "n_removed", "n_spans", "removed_spans", "kept")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", most_segments: int = 20_000) -> DataFrame:
     """(row, spans) of the byte ranges to remove, unmerged; ``row`` is a hash of id and text."""
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), _row(doc_id, text).alias("_row"), F.col(text).alias("_text")).filter(F.col("_id").isNotNull() & (F.octet_length("_text") >= length))
-    keys = written(shared(anchor_keys(rows, length)), "anchors")
+    # Equal texts are one document to the arrays: the smallest id stands for them, the others are covered from end to end.
+    texts = written(rows.select("_id", "_row", F.sha2(F.col("_text").cast("binary"), 256).alias("_hash"), F.octet_length("_text").cast("long").alias("_size")), "texts")
+    first = texts.groupBy(F.col("_hash").alias("_h")).agg(F.min("_id").alias("_first"))
+    texts = written(texts.join(first, F.col("_hash") == F.col("_h")).select("_id", "_row", "_size", (F.col("_id") == F.col("_first")).alias("_is_first")), "texts")
+    copies = texts.groupBy("_id").agg(F.max("_is_first").alias("_any")).filter("not _any").select(F.col("_id").alias("_copy"))
+    whole = texts.filter("not _is_first").select(F.col("_row").alias("row"), F.array(F.lit(0).cast("long"), F.col("_size")).alias("spans")).distinct()
+    keys = written(shared(anchor_keys(rows, length)).join(copies, F.col("id") == F.col("_copy"), "left_anti"), "anchors")
+    still = keys.groupBy(F.col("key").alias("_k")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    keys = keys.join(still, F.col("key") == F.col("_k"), "left_semi")
     found = written(segments(rows, keys, length), "segments")
-    distinct = found.groupBy("key", "mark", "seg").agg(F.min("doc").alias("doc"))
+    distinct = written(found.groupBy("key", "mark", "seg").agg(F.min("doc").alias("doc")), "distinct")
+    crowded = written(distinct.groupBy("key").count().filter(F.col("count") > most_segments).select(F.col("key").alias("_c")), "crowded")
+    if crowded.limit(1).count():  # the end of a very common passage: many texts follow it, so its windows are dealt one by one
+        single = F.explode(F.transform(F.sequence(F.lit(0), F.octet_length("seg") - length), lambda i: F.struct(i.cast("long").alias("i"), F.substring("seg", i + 1, F.lit(length)).alias("w"))))
+        alone = found.join(crowded, F.col("key") == F.col("_c"), "left_semi").withColumn("_w", single)
+        alone = alone.select(F.xxhash64("_w.w").alias("key"), "doc", "row", (F.col("start") + F.col("_w.i")).alias("start"), F.col("_w.w").alias("seg"), F.xxhash64(F.lit(length), "_w.w").alias("mark"))
+        found = written(found.join(crowded, F.col("key") == F.col("_c"), "left_anti").unionByName(alone), "segments")
+        distinct = found.groupBy("key", "mark", "seg").agg(F.min("doc").alias("doc"))
     firsts = first_documents(distinct, length).select(F.col("key").alias("_k"), F.col("mark").alias("_m"), "firsts")
     met = found.select("key", "mark", "row", "doc", "start").join(firsts, (F.col("key") == F.col("_k")) & (F.col("mark") == F.col("_m")))
-    return written(_covered(met, length).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    return written(_covered(met, length).unionByName(whole).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

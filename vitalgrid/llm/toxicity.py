@@ -13,27 +13,30 @@ from vitalgrid.llm.common import chunks, text_bytes, words
 INSIDE = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 BITS = 20
 FACTORS = 4
+HEADS = (4, 5, 6)
 
 
 def features(raw: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(document, bucket) of every distinct term of the whole texts, in that order."""
-    _, _, hashed, at = words(raw, offsets, INSIDE)
+    """(document, bucket) of every distinct term of the whole texts, in that order. Terms are words and their first 4, 5 and 6 bytes."""
+    _, _, hashed, at, heads = words(raw, offsets, INSIDE, HEADS)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    pairs = np.unique((doc << bits) | (hashed >> np.uint64(64 - bits)).astype(np.int64))
+    every = np.concatenate([hashed[None, :], heads])
+    pairs = np.unique((doc << bits) | (every >> np.uint64(64 - bits)).astype(np.int64))
     return pairs >> bits, pairs & ((1 << bits) - 1)
 
 
 def scores(model: np.ndarray, bias: float, doc: np.ndarray, bucket: np.ndarray, n: int) -> np.ndarray:
-    """Logits: bias, plus the terms' weights, plus the products of the factors of every pair."""
+    """Logits: bias, plus the terms' weights, plus the products of the factors of every pair over the number of terms (so long texts add no more noise)."""
     m = model[bucket]
     out = bias + np.bincount(doc, m[:, 0], n)
+    many = np.maximum(np.bincount(doc[m[:, 1] != 0], minlength=n), 1)
     for k in range(1, model.shape[1]):
         s = np.bincount(doc, m[:, k], n)
-        out += 0.5 * (s * s - np.bincount(doc, m[:, k].astype(np.float64) ** 2, n))
+        out += 0.5 * (s * s - np.bincount(doc, m[:, k].astype(np.float64) ** 2, n)) / many
     return out
 
 
-def fit(doc: np.ndarray, bucket: np.ndarray, labels: np.ndarray, epochs: int = 12, batch: int = 256, rate: float = 0.1, decay: float = 2e-4, least: int = 5, seed: int = 7):
+def fit(doc: np.ndarray, bucket: np.ndarray, labels: np.ndarray, epochs: int = 6, batch: int = 256, rate: float = 1.0, decay: float = 2e-4, least: int = 5, sparse: float = 1e-3, seed: int = 7):
     """(buckets, their weight and factors, bias) by mini-batch adaptive gradient steps; terms of under ``least`` documents are left out."""
     rng = np.random.default_rng(seed)
     used, back, n = np.unique(bucket, return_inverse=True, return_counts=True)
@@ -42,7 +45,7 @@ def fit(doc: np.ndarray, bucket: np.ndarray, labels: np.ndarray, epochs: int = 1
     ok = keep[back]
     doc, term, used = doc[ok], place[back][ok], used[keep]
     size = len(used)
-    theta = np.concatenate([np.zeros((size, 1)), rng.normal(0, 0.01, (size, FACTORS))], axis=1)
+    theta = np.concatenate([np.zeros((size, 1)), rng.normal(0, 0.05, (size, FACTORS))], axis=1)
     share = (labels.sum() + 0.5) / (len(labels) + 1)
     bias, seen, bias_seen = float(np.log(share / (1 - share))), np.full(theta.shape, 1e-2), 1e-2
     start = np.searchsorted(doc, np.arange(len(labels) + 1))
@@ -56,16 +59,20 @@ def fit(doc: np.ndarray, bucket: np.ndarray, labels: np.ndarray, epochs: int = 1
             m = theta[t]
             sums = np.stack([np.bincount(row, m[:, k], len(mine)) for k in range(1, FACTORS + 1)], axis=1)
             squares = np.stack([np.bincount(row, m[:, k] ** 2, len(mine)) for k in range(1, FACTORS + 1)], axis=1)
-            z = bias + np.bincount(row, m[:, 0], len(mine)) + 0.5 * (sums**2 - squares).sum(axis=1)
+            many = np.maximum(length, 1)
+            z = bias + np.bincount(row, m[:, 0], len(mine)) + 0.5 * (sums**2 - squares).sum(axis=1) / many
             g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[mine]
             near, local = np.unique(t, return_inverse=True)
             grad = np.empty((len(near), FACTORS + 1))
             grad[:, 0] = np.bincount(local, g[row], len(near))
             for k in range(1, FACTORS + 1):
-                grad[:, k] = np.bincount(local, g[row] * (sums[row, k - 1] - m[:, k]), len(near))
+                grad[:, k] = np.bincount(local, (g / many)[row] * (sums[row, k - 1] - m[:, k]), len(near))
             grad = grad / len(mine) + decay * theta[near]
             seen[near] += grad**2
-            theta[near] -= rate * grad / np.sqrt(seen[near])
+            pace = rate / np.sqrt(seen[near])
+            moved = theta[near] - pace * grad
+            moved[:, 0] = np.sign(moved[:, 0]) * np.maximum(np.abs(moved[:, 0]) - pace[:, 0] * sparse, 0)  # weights of chance terms go to 0
+            theta[near] = moved
             b = g.mean()
             bias_seen += b * b
             bias -= rate * b / np.sqrt(bias_seen)
@@ -123,7 +130,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text",
         for b in chunks(batches, text):
             doc, bucket = features(*text_bytes(b.column(text)))
             z = scores(table, bias, doc, bucket, b.num_rows)
-            p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+            p = 1 / (1 + np.exp(-np.clip(z, -700, 700))) if np.isfinite(bias) else np.zeros(b.num_rows)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*names, "score", "predicted"])
 
     return docs.mapInArrow(predict, schema)
