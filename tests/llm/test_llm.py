@@ -144,13 +144,13 @@ def test_op2_equals_brute_force(spark, texts):
     assert got == brute_components(texts, ids)
 
 
-def test_op2_common_keys_and_centres(spark):
+def test_op2_common_keys_blocks_and_centres(spark):
     texts = near_copies(4, 80)
     docs = frame(spark, texts)
     want = brute_components(texts, list(range(len(texts))))
     signs = jaccard_join.signatures(docs, "doc_id", "text").withColumn("rep", F.col("id")).filter("n > 0").cache()
-    for hot, most in ((3, 1024), (64, 4)):
-        comp = {r.id: r.comp for r in jaccard_join.links(docs, signs, "doc_id", "text", hot=hot, most=most).collect()}
+    for hot, block, rounds in ((3, 512, 8), (64, 8, 0)):  # rounds = 0: cells of blocks find every link without centres
+        comp = {r.id: r.comp for r in jaccard_join.links(docs, signs, "doc_id", "text", hot=hot, block=block, rounds=rounds).collect()}
         assert {i: comp.get(i, i) for i in want} == {i: c for i, (_, c) in want.items()}
 
 

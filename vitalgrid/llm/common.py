@@ -59,16 +59,24 @@ def scratch(spark: SparkSession, name: str) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage ends there and lost executors cost nothing."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: lineage ends there and lost executors cost nothing.
+
+    With ``by`` it is bucketed by that column, as many buckets as shuffle partitions, so that joins on it move the other side only.
+    """
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")  # the table replaces the shuffle files it was made from
+    writer = df.write.option("compression", "zstd")
+    title = "vitalgrid_" + path.rpartition("/")[2].replace("-", "_")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        if by is None:
+            writer.parquet(path)
+        else:
+            writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).saveAsTable(title, format="parquet")
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path) if by is None else spark.table(title)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:

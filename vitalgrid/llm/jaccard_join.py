@@ -145,13 +145,13 @@ def keys(docs: DataFrame, doc_id: str, text: str, flush: int = 1_500_000) -> Dat
 
 
 def token_sets(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(sid, n, bits, tokens) of the documents in ``ids``."""
+    """(sid, n, bits, tokens) of the documents in ``ids``, dealt by sid."""
     def make(batches):
         for b in chunks(batches, text):
             found = list(sets(*text_bytes(b.column(1))))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in found], pa.int64()), pa.array([sketch(t) for t in found], pa.binary()), pa.array([t.tobytes() for t in found], pa.binary())], ["sid", "n", "bits", "tokens"])
 
-    mine = docs.select(F.col(doc_id).cast("long").alias("sid"), F.col(text)).join(ids, F.col("sid") == ids.id, "left_semi")
+    mine = docs.select(F.col(doc_id).cast("long").alias("sid"), F.col(text)).join(ids.hint("shuffle_hash"), F.col("sid") == ids.id, "left_semi")
     return mine.mapInArrow(make, "sid long, n long, bits binary, tokens binary")
 
 
@@ -209,27 +209,42 @@ def _affordable(rows: DataFrame, signs: DataFrame, hot: int) -> DataFrame:
     return rows.filter("not common").unionByName(gone).drop("common")
 
 
-def _in_buckets(rows: DataFrame, held: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a key of ``rows`` (key, id, comp) and pass the size and Hamming bounds.
+def _across(now: DataFrame, held: DataFrame, block: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a key of ``now`` (key, id, comp) and pass the size and Hamming bounds.
 
-    Keys with one and the same document list are tested once. A task holds the sketches of one list; only pairs that may link leave it.
+    A key of up to 2 * ``block`` documents is one cell. In a larger one, the documents outside its commonest component are dealt to blocks
+    that meet each other and every block of that component, whose documents do not meet among themselves: with few outsiders each document
+    is sent once. A task holds the sketches of one cell; only pairs that may link leave it.
     """
-    lists = rows.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("id", "comp"))).alias("m")).select("m").distinct()
-    members = lists.select(F.xxhash64("m").alias("list"), F.explode("m").alias("m")).select("list", F.col("m.id").alias("sid"), F.col("m.comp").alias("comp"))
+    parts = int(now.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tops = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("_m")).groupBy(F.col("key").alias("_k"))
+    tops = tops.agg(F.max(F.struct("_m", "comp")).alias("_top"), F.sum("_m").alias("_all"))
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    rows = now.join(tops, F.col("key") == F.col("_k")).select("key", "id", "comp", "_all", (F.col("comp") == F.col("_top.comp")).alias("main"), blocks(F.col("_all") - F.col("_top._m")).alias("outer"), blocks(F.col("_top._m")).alias("inner"))
+    rows = rows.withColumn("home", F.pmod(F.xxhash64("id"), F.when(F.col("main"), F.col("inner")).otherwise(F.col("outer"))).cast("int"))
+    cell = lambda kind, x, y, side: F.struct(F.lit(kind).alias("kind"), x.cast("int").alias("x"), y.cast("int").alias("y"), side.cast("int").alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    home, every = F.col("home"), F.lit(-1)
+    among = F.transform(upto("outer"), lambda j: cell(1, F.least(home, j), F.greatest(home, j), F.when(home == j, every).otherwise((home > j).cast("int"))))
+    to_main = F.transform(upto("inner"), lambda c: cell(2, home, c, F.lit(0)))
+    from_outer = F.transform(upto("outer"), lambda i: cell(2, i, home, F.lit(1)))
+    cells = F.when(F.col("_all") <= 2 * block, F.array(cell(0, F.lit(0), F.lit(0), every))).when(F.col("main"), from_outer).otherwise(F.concat(among, to_main))
+    members = rows.select("key", F.col("id").alias("sid"), "comp", F.explode(cells).alias("c"))
+    members = members.select(F.xxhash64("key", "c.kind", "c.x", "c.y").alias("cell"), "sid", "comp", F.col("c.side").alias("side"))
     members = members.join(held.select("sid", "n", "bits"), "sid")
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def pairs(group):
-        ids, comp, n = (np.array([g[k] for g in group]) for k in (1, 2, 3))
-        raw = [np.frombuffer(g[4], np.uint8) for g in group]
+        ids, comp, side, n = (np.array([g[k] for g in group]) for k in (1, 2, 3, 4))
+        raw = [np.frombuffer(g[5], np.uint8) for g in group]
         width = min(map(len, raw))
         bits = np.stack([np.bitwise_xor.reduce(x.reshape(-1, width), axis=0) for x in raw]).view(np.uint64)
         for i in range(len(ids) - 1):
-            d = np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(axis=1, dtype=np.int64)
             m = n[i + 1 :]
-            ok = (comp[i + 1 :] != comp[i]) & (DEN * np.minimum(m, n[i]) >= NUM * np.maximum(m, n[i])) & (d <= _differ(m + n[i]))
-            for j in np.flatnonzero(ok):
-                yield min(ids[i], ids[i + 1 + j]), max(ids[i], ids[i + 1 + j])
+            ok = (comp[i + 1 :] != comp[i]) & ((side[i + 1 :] != side[i]) | (side[i] < 0)) & (DEN * np.minimum(m, n[i]) >= NUM * np.maximum(m, n[i]))
+            j = np.flatnonzero(ok) + i + 1
+            j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64) <= _differ(n[j] + n[i])]
+            for k in j:
+                yield min(ids[i], ids[k]), max(ids[i], ids[k])
 
     def test(batches):
         group: list = []
@@ -247,30 +262,31 @@ def _in_buckets(rows: DataFrame, held: DataFrame) -> DataFrame:
         if group:
             yield out()
 
-    return members.select("list", "sid", "comp", "n", "bits").repartition(parts, "list").sortWithinPartitions("list").mapInArrow(test, "a long, b long").distinct()
+    return members.select("cell", "sid", "comp", "side", "n", "bits").repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(test, "a long, b long").distinct()
 
 
-def links(docs: DataFrame, signs: DataFrame, doc_id: str, text: str, hot: int = 64, most: int = 1024) -> DataFrame | None:
+def links(docs: DataFrame, signs: DataFrame, doc_id: str, text: str, hot: int = 64, block: int = 512, rounds: int = 8) -> DataFrame | None:
     """(id, comp) of every class representative that links with another one; None if none does.
 
-    First, keys test a centre against the rest, then the next centre, as long as that links anything: a group of thousands of like texts
-    becomes one component for a few tests each. Then every key whose documents are still of several components tests all pairs across them
-    by their sketches. Keys of over ``most`` documents go on centre by centre instead, until their documents are of one component or spent.
-    So no pair that could join two components goes untested.
+    First, keys test a centre against the rest, then the next centre, as long as that links anything (up to ``rounds`` times): a group of
+    thousands of like texts becomes one component for a few tests each. Then every key whose documents are still of several components
+    tests all pairs across them by their sketches, in cells of ``block`` documents a side, so no pair that could join two components goes
+    untested, however the first part went.
     """
     reps = signs.filter("id = rep")
     rows = shared(keys(docs, doc_id, text)).join(reps.select(F.col("id").alias("_i")).distinct(), F.col("id") == F.col("_i"), "left_semi").distinct()
     rows = written(rows, "keys")
     many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("key").alias("_k"))
     rows = written(_affordable(rows.join(many, F.col("key") == F.col("_k"), "left_semi"), reps, hot), "keys")
-    held = written(token_sets(docs, rows.select("id").distinct(), doc_id, text), "sets")
+    held = written(token_sets(docs, rows.select("id").distinct(), doc_id, text), "sets", by="sid")
     found = comp = None
 
     def open_keys(rows):
-        """``rows`` with ``comp`` and ``_n`` of the keys whose documents are of several components."""
+        """``rows`` with ``comp``, of the keys whose documents are of several components. Of keys with one and the same documents one stays."""
         now = rows.withColumn("comp", F.col("id")) if comp is None else rows.join(comp.select(F.col("id").alias("_i"), "comp"), F.col("id") == F.col("_i"), "left").drop("_i").withColumn("comp", F.coalesce("comp", "id"))
-        sizes = now.groupBy(F.col("key").alias("_k")).agg(F.count(F.lit(1)).alias("_n"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo <> _hi")
-        return written(now.join(sizes, F.col("key") == F.col("_k")).drop("_k", "_lo", "_hi"), "open")
+        sizes = now.groupBy(F.col("key").alias("_k")).agg(F.count(F.lit(1)).alias("_n"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.bit_xor(F.xxhash64("id")).alias("_x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("_y")).filter("_lo <> _hi")
+        one = sizes.groupBy("_n", "_x", "_y").agg(F.min("_k").alias("_k")).select("_k")
+        return written(now.join(one, F.col("key") == F.col("_k"), "left_semi"), "open")
 
     def centred(now):
         """Pairs of each key's centre with documents of other components, and the rows without the centre. The centre is of the key's commonest
@@ -291,16 +307,11 @@ def links(docs: DataFrame, signs: DataFrame, doc_id: str, text: str, hot: int =
         return grew
 
     part = rows.filter(F.pmod(F.xxhash64("key"), F.lit(16)) == 0)  # a sixteenth of the keys shows most near copies
-    grew = True
-    while grew:
+    for _ in range(rounds):
         pairs, part = centred(open_keys(part))
-        grew = link(pairs)
-    now = open_keys(rows)
-    link(_in_buckets(now.filter(F.col("_n") <= most), held))
-    large = now.filter(F.col("_n") > most).select("key", "id")
-    while (now := open_keys(large)).limit(1).count():
-        pairs, large = centred(now)
-        link(pairs)
+        if not link(pairs):
+            break
+    link(_across(open_keys(rows), held, block))
     return comp
 
 
