@@ -74,7 +74,10 @@ def _without(text: Column, chars: str) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and a struct ``_m`` of the measures; null text counts as empty."""
+    """All columns of ``docs`` and a struct ``_m`` of the measures; null text counts as empty.
+
+    The struct comes out of an array of one, so that a filter on a measure stays above it and does not evaluate it once more a mention.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
     w = _words(t)
     lines = F.filter(F.split(t, "\n", -1), lambda x: _without(x, ASCII_SPACE) != "")
@@ -85,12 +88,12 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         _repeated(a).alias("n_repeat_words"),
     ))
     by_lines = let(lines, lambda a: F.struct(long(F.size(a)).alias("n_lines"), long(F.size(a) - F.size(F.array_distinct(a))).alias("n_dup_lines")))
-    return docs.withColumn("_m", F.struct(
+    return docs.withColumn("_m", F.explode(F.array(F.struct(
         by_words.alias("w"), by_lines.alias("l"),
         long(F.length(_without(t, ASCII_SPACE))).alias("word_chars"),
         long(F.length(t) - F.length(_without(t, SYMBOLS))).alias("n_symbols"),
         long(F.length(t) - F.length(_without(t, "!"))).alias("n_shouts"),
-    ))
+    ))))
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_shouts", "n_stop_words", "n_lines")
