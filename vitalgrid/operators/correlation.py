@@ -91,11 +91,32 @@ def spearman(series: DataFrame, pairs: DataFrame, min_overlap: int = 42, min_act
 
 
 def adjusted(candidates: DataFrame, p: str = "p_value", order: tuple[str, ...] = ("a", "b", "lag")) -> DataFrame:
-    """``candidates`` with ``p_adj`` after Benjamini and Hochberg, over all of them: tens of thousands at most, as pairs of some dozens of series."""
-    w = Window.partitionBy(F.lit(0))
-    df = candidates.withColumns({"_rn": F.row_number().over(w.orderBy(p, *order)), "_m": F.count(F.lit(1)).over(w)})
-    falling = Window.partitionBy(F.lit(0)).orderBy(F.desc("_rn")).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("p_adj", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_rn")).over(falling))).drop("_rn", "_m")
+    """``candidates`` with ``p_adj`` after Benjamini and Hochberg, over all of them.
+
+    Equal p share the last of their ranks, so ranks are counts of rows up to a value. Rows are dealt to ranges between quantiles of p (even
+    buckets) and to the quantiles themselves, null and NaN (odd buckets, of one value each, which ``order`` spreads over tasks). Counts before
+    a bucket and the minimum after it come from a summary of a row a bucket.
+    """
+    spark = candidates.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(candidates.approxQuantile(p, [k / parts for k in range(1, parts)], 0.25 / parts))) if parts > 1 else []
+    splits = F.array(*map(F.lit, cuts)).cast("array<double>")
+    below = F.size(F.filter(splits, lambda x: x < F.col(p)))
+    bucket = F.when(F.col(p).isNull(), -1).when(F.isnan(p), 2 * len(cuts) + 1).otherwise(2 * below + F.array_contains(splits, F.col(p).cast("double")).cast("int"))
+    tied = F.pmod(F.col("_bucket"), F.lit(2)) == 1
+    df = candidates.withColumn("_bucket", bucket).withColumn("_deal", F.when(tied, F.pmod(F.xxhash64(*order), F.lit(parts))).otherwise(0))
+    every = F.broadcast(spark.range(-1, 2 * len(cuts) + 2).select(F.col("id").cast("int").alias("_bucket")))
+    ahead = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = df.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size")).join(every, "_bucket", "right").fillna(0, ["_size"])
+    sizes = sizes.select("_bucket", "_size", F.coalesce(F.sum("_size").over(ahead), F.lit(0)).alias("_before"), F.sum("_size").over(Window.partitionBy(F.lit(0))).alias("_m"))
+    own = Window.partitionBy("_bucket", "_deal")
+    upto = F.count(F.lit(1)).over(own.orderBy(p))
+    ranked = df.withColumn("_upto", upto).join(F.broadcast(sizes), "_bucket")
+    ranked = ranked.withColumn("_q", F.col(p) * F.col("_m") / (F.col("_before") + F.when(tied, F.col("_size")).otherwise(F.col("_upto"))))
+    after = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
+    least = ranked.groupBy("_bucket").agg(F.min("_q").alias("_least")).join(every, "_bucket", "right").select("_bucket", F.min("_least").over(after).alias("_later"))
+    out = ranked.withColumn("_here", F.min("_q").over(own.orderBy(F.desc(p)))).join(F.broadcast(least), "_bucket")
+    return out.withColumn("p_adj", F.least(F.lit(1.0), "_here", "_later")).select(*candidates.columns, "p_adj")
 
 
 def best_lag(candidates: DataFrame) -> DataFrame:

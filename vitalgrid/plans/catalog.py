@@ -328,7 +328,7 @@ def corr_p_values(t):
 
 @query
 def bh_fdr(t):
-    o = t.raw("orders").select(F.col("o_orderkey").alias("a"), F.lit("x").alias("b"), F.lit(0).alias("lag"), ((F.col("o_orderkey") * 7919 % 100003 + 1) / 100004.0).alias("p_value")).filter("a % 50 = 7").dropDuplicates(["a"])
+    o = t.raw("orders").select(F.col("o_orderkey").alias("a"), F.lit("x").alias("b"), F.lit(0).alias("lag"), ((F.col("o_orderkey") * 7919 % 100003 + 1) / 100004.0).alias("p_value")).dropDuplicates(["a"])
     return _round(correlation.adjusted(o).select("a", "p_value", "p_adj"), 6)
 
 
