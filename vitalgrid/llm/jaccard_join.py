@@ -265,6 +265,25 @@ def _across(now: DataFrame, held: DataFrame, block: int) -> DataFrame:
     return members.select("cell", "sid", "comp", "side", "n", "bits").repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(test, "a long, b long").distinct()
 
 
+def _candidates(docs: DataFrame, signs: DataFrame, doc_id: str, text: str, hot: int) -> tuple[DataFrame, DataFrame]:
+    """(key, id) of the keys that two class representatives or more have, and the sets of those documents."""
+    reps = signs.filter("id = rep")
+    rows = shared(keys(docs, doc_id, text)).join(reps.select(F.col("id").alias("_i")).distinct(), F.col("id") == F.col("_i"), "left_semi").distinct()
+    rows = written(rows, "keys")
+    many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("key").alias("_k"))
+    rows = written(_affordable(rows.join(many, F.col("key") == F.col("_k"), "left_semi"), reps, hot), "keys")
+    held = written(token_sets(docs, rows.select("id").distinct(), doc_id, text), "sets", by="sid")
+    return rows, held
+
+
+def _open_keys(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """``rows`` with ``comp``, of the keys whose documents are of several components. Of keys with one and the same documents one stays."""
+    now = rows.withColumn("comp", F.col("id")) if comp is None else rows.join(comp.select(F.col("id").alias("_i"), "comp"), F.col("id") == F.col("_i"), "left").drop("_i").withColumn("comp", F.coalesce("comp", "id"))
+    sizes = now.groupBy(F.col("key").alias("_k")).agg(F.count(F.lit(1)).alias("_n"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.bit_xor(F.xxhash64("id")).alias("_x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("_y")).filter("_lo <> _hi")
+    one = sizes.groupBy("_n", "_x", "_y").agg(F.min("_k").alias("_k")).select("_k")
+    return written(now.join(one, F.col("key") == F.col("_k"), "left_semi"), "open")
+
+
 def links(docs: DataFrame, signs: DataFrame, doc_id: str, text: str, hot: int = 64, block: int = 512, rounds: int = 8) -> DataFrame | None:
     """(id, comp) of every class representative that links with another one; None if none does.
 
@@ -273,21 +292,9 @@ def links(docs: DataFrame, signs: DataFrame, doc_id: str, text: str, hot: int =
     tests all pairs across them by their sketches, in cells of ``block`` documents a side, so no pair that could join two components goes
     untested, however the first part went.
     """
-    reps = signs.filter("id = rep")
-    rows = shared(keys(docs, doc_id, text)).join(reps.select(F.col("id").alias("_i")).distinct(), F.col("id") == F.col("_i"), "left_semi").distinct()
-    rows = written(rows, "keys")
-    many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("key").alias("_k"))
-    rows = written(_affordable(rows.join(many, F.col("key") == F.col("_k"), "left_semi"), reps, hot), "keys")
-    held = written(token_sets(docs, rows.select("id").distinct(), doc_id, text), "sets", by="sid")
+    rows, held = _candidates(docs, signs, doc_id, text, hot)
     found = comp = None
 
-    def open_keys(rows):
-        """``rows`` with ``comp``, of the keys whose documents are of several components. Of keys with one and the same documents one stays."""
-        now = rows.withColumn("comp", F.col("id")) if comp is None else rows.join(comp.select(F.col("id").alias("_i"), "comp"), F.col("id") == F.col("_i"), "left").drop("_i").withColumn("comp", F.coalesce("comp", "id"))
-        sizes = now.groupBy(F.col("key").alias("_k")).agg(F.count(F.lit(1)).alias("_n"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.bit_xor(F.xxhash64("id")).alias("_x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("_y")).filter("_lo <> _hi")
-        one = sizes.groupBy("_n", "_x", "_y").agg(F.min("_k").alias("_k")).select("_k")
-        return written(now.join(one, F.col("key") == F.col("_k"), "left_semi"), "open")
-
     def centred(now):
         """Pairs of each key's centre with documents of other components, and the rows without the centre. The centre is of the key's commonest
         component, which soon holds a group's original.
@@ -308,26 +315,54 @@ def links(docs: DataFrame, signs: DataFrame, doc_id: str, text: str, hot: int =
 
     part = rows.filter(F.pmod(F.xxhash64("key"), F.lit(16)) == 0)  # a sixteenth of the keys shows most near copies
     for _ in range(rounds):
-        pairs, part = centred(open_keys(part))
+        pairs, part = centred(_open_keys(part, comp))
         if not link(pairs):
             break
-    link(_across(open_keys(rows), held, block))
+    link(_across(_open_keys(rows, comp), held, block))
     return comp
 
 
+def _classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The signatures with ``rep``, the smallest id of an equal set."""
+    signs = written(signatures(docs, doc_id, text), "signs")
+    classes = signs.filter("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
+    same = [F.col(c) == F.col(f"_{c}") for c in ("n", "h1", "h2")]
+    classes = classes.select(*[F.col(c).alias(f"_{c}") for c in ("n", "h1", "h2")], "rep")
+    return written(signs.join(classes, same, "left").drop("_n", "_h1", "_h2").withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))), "signs")
+
+
+def pairs(docs: DataFrame, signs: DataFrame, doc_id: str, text: str, hot: int = 64, block: int = 512) -> DataFrame:
+    """(a, b), a < b: every two class representatives whose sets are as similar as asked, also within one component."""
+    rows, held = _candidates(docs, signs, doc_id, text, hot)
+    return written(_verified(_across(_open_keys(rows, None), held, block), held), "pairs")
+
+
+def near_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every row of ``docs`` (its id) with ``n_shingles`` and ``n_links``, the number of other documents that link with it.
+
+    The links are those of near_duplicates, all of them: a document links with the others of its class (equal sets) and with
+    every document of the classes whose representatives pair with its own. Ids are taken to be of one text each.
+    """
+    signs = _classes(docs, doc_id, text)
+    some = signs.filter("n > 0 and id is not null")
+    size = written(some.select("id", "rep").distinct().groupBy(F.col("rep").alias("_r")).agg(F.count(F.lit(1)).alias("_size")), "sizes")
+    both = pairs(docs, signs.filter("n > 0"), doc_id, text)
+    both = both.select("a", "b").union(both.select("b", "a"))
+    more = both.join(size, F.col("b") == F.col("_r")).groupBy(F.col("a").alias("_a")).agg(F.sum("_size").alias("_more"))
+    total = size.join(more, F.col("_r") == F.col("_a"), "left").select("_r", (F.col("_size") - 1 + F.coalesce("_more", F.lit(0))).alias("_links"))
+    out = signs.join(total, (F.col("rep") == F.col("_r")) & (F.col("n") > 0), "left")
+    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row of ``docs`` (id and any columns but the text) with ``n_shingles`` and ``component_id`` (replaced if there).
+    """Every row of ``docs`` (its id, no other column) with ``n_shingles`` and ``component_id``. The links themselves are in ``pairs`` and ``near_links``.
 
     Documents link where their sets of 5-word shingles are at least 4/5 similar; ``component_id`` is the smallest id reachable.
     Null, empty and wordless texts have no shingles and link with nothing; a null id links with nothing and is its own (null) component.
     Rows that share an id count as one document; equal texts are one class and compared once.
     """
     docs = docs.drop("n_shingles", "component_id")
-    signs = written(signatures(docs, doc_id, text), "signs")
-    classes = signs.filter("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
-    same = [F.col(c) == F.col(f"_{c}") for c in ("n", "h1", "h2")]
-    classes = classes.select(*[F.col(c).alias(f"_{c}") for c in ("n", "h1", "h2")], "rep")
-    signs = written(signs.join(classes, same, "left").drop("_n", "_h1", "_h2").withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))), "signs")
+    signs = _classes(docs, doc_id, text)
     comp = links(docs, signs.filter("n > 0"), doc_id, text)
     whole = signs if comp is None else signs.join(comp.select(F.col("id").alias("_r"), "comp"), F.col("rep") == F.col("_r"), "left")
     whole = whole.withColumn("comp", F.coalesce("comp", "rep") if comp is not None else F.col("rep"))

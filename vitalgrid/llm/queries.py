@@ -34,6 +34,10 @@ def op2_jaccard_join(spark, sf_dir):
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_jaccard_links(spark, sf_dir):
+    return jaccard_join.near_links(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_url_filter(spark, sf_dir):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -78,4 +82,4 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held, "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_url_filter, op4_best_fit_packing, op5_warc, op6_line_dedup, op7_language_id, op8_quality_rules, op9_decontaminate, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op2_jaccard_links, op3_url_filter, op4_best_fit_packing, op5_warc, op6_line_dedup, op7_language_id, op8_quality_rules, op9_decontaminate, op10_toxicity)}
