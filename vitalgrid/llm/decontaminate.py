@@ -17,7 +17,10 @@ INSIDE = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128
 
 
 class Tests:
-    """The test suffixes of one block of items: vocabulary, windows by length, and the items that own each window."""
+    """The test suffixes of one block of items: vocabulary, windows by length, and the (item, place) that own each window.
+
+    Places of one row's next words are consecutive; those of different rows never are.
+    """
 
     def __init__(self, items: list[tuple[str, str]], window: int):
         raw, offsets = text_bytes(pa.array([t or "" for _, t in items], pa.string()))
@@ -29,7 +32,7 @@ class Tests:
             own = ids[at[k] : at[k + 1]].astype(">u4")
             n = min(window, len(own))
             for i in range(len(own) - n + 1 if n else 0):
-                by_length.setdefault(n, {}).setdefault(own[i : i + n].tobytes(), []).append((name, i))
+                by_length.setdefault(n, {}).setdefault(own[i : i + n].tobytes(), []).append((name, int(at[k]) + k + i))
         self.windows = {n: sorted(w.items()) for n, w in by_length.items()}
         self.shortest = min(self.windows, default=window)
         self.window = window
@@ -113,12 +116,13 @@ def _pass(docs: DataFrame, items: list[tuple[str, str]], window: int, doc_id: st
                     table = tests.windows[length]
                     for w in np.unique(which):
                         own.update(name for name, _ in table[w][1])
-                    # Along the first owner of each window, a chain of next windows is one longer verbatim match.
-                    first = [table[w][1][0] for w in which]
-                    run = best = 1
-                    for i in range(1, len(first)):
-                        run = run + 1 if pos[i] == pos[i - 1] + 1 and first[i] == (first[i - 1][0], first[i - 1][1] + 1) else 1
-                        best = max(best, run)
+                    # Next windows at next places of one owner are one longer verbatim match, along any of the owners.
+                    best, runs, last = 0, {}, -2
+                    for p, w in zip(pos, which):
+                        before, runs = runs if p == last + 1 else {}, {}
+                        for _, place in table[w][1]:
+                            runs[place] = before.get(place - 1, 0) + 1
+                        best, last = max(best, max(runs.values())), p
                     most = max(most, best + length - 1)
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(mark)[: n[k]] > 0).astype(np.int8), [0]])))
                 spans.append(edges.tolist()), names.append(sorted(own)), longest.append(most)
