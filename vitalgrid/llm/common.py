@@ -26,6 +26,25 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+class hidden:
+    """A frame whose columns have names of their own (``_vg_0``, ...), so that an operator's names cannot clash with an input's.
+
+    ``of`` gives the inner name of a column; ``shown`` selects the input's columns under their own names, and more beside them.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.names = df.columns
+        self.frame = df.toDF(*[f"_vg_{i}" for i in range(len(self.names))])
+
+    def of(self, name: str) -> str:
+        found = self.names if name in self.names else [n.lower() for n in self.names]
+        return f"_vg_{found.index(name if name in self.names else name.lower())}"
+
+    def shown(self, df: DataFrame, *more: Column | str, without: tuple[str, ...] = ()) -> DataFrame:
+        own = [F.col(f"_vg_{i}").alias(n) for i, n in enumerate(self.names) if n not in without]
+        return df.select(*own, *more)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once a row."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -79,7 +98,7 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path) if by is None else spark.table(title)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Batches cut so that ``column`` holds about ``size`` bytes at most; one longer value makes a batch of its own."""
     for batch in batches:
         lengths = np.nan_to_num(batch.column(column).cast(pa.large_binary()).to_pandas().str.len().to_numpy(dtype=float)) if batch.num_rows else np.zeros(0)
@@ -123,10 +142,10 @@ _POWERS: dict[int, np.ndarray] = {}
 
 def _powers(base: int, n: int) -> np.ndarray:
     if len(_POWERS.get(base, ())) < n:
-        out = np.full(max(n, 1 << 21), base, np.uint64)
+        out = np.full(max(n, 1 << 19), base, np.uint64)
         out[0] = 1
         _POWERS[base] = np.multiply.accumulate(out)
-        if n > 1 << 23:  # one very long text: not kept
+        if n > 1 << 21:  # one very long text: not kept
             return _POWERS.pop(base)[:n]
     return _POWERS[base][:n]
 

@@ -123,21 +123,27 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """For each start in ``order`` but the first, letters (at most ``most``) its suffix shares with the one before; compared for all
-    text positions at once, through each position's predecessor in the array (permuted common prefixes).
+    text positions at once, through each position's predecessor in the array (permuted common prefixes), four letters a step.
+
+    Letters are small integers of up to 16 bits. No two suffixes agree up to the sentinel, so what lies beyond it is never compared.
     """
     n = len(text)
     phi = np.full(n, -1, np.int64)
     phi[order[1:]] = order[:-1]
     at = np.flatnonzero(phi >= 0)
     out = np.zeros(n, np.int64)
-    padded = np.concatenate([text, np.full(most + 8, -1, text.dtype)])
-    length = np.zeros(len(at), np.int64)
+    padded = np.concatenate([text, np.zeros(most + 8, text.dtype)]).astype(np.uint64)
+    four = padded[:-3] | padded[1:-2] << np.uint64(16) | padded[2:-1] << np.uint64(32) | padded[3:] << np.uint64(48)
+    p, q = at, phi[at]
+    length = np.full(len(at), most, np.int64)
     active = np.arange(len(at))
-    for k in range(most):
-        p = at[active]
-        active = active[(padded[p + k] == padded[phi[p] + k]) & (p + k < n) & (phi[p] + k < n)]
+    for k in range(0, most, 4):
+        odd = four[p + k] ^ four[q + k]
+        gone = odd != 0
+        first = odd[gone]
+        length[active[gone]] = k + (np.bitwise_count((first & (~first + np.uint64(1))) - np.uint64(1)) >> 4)
+        active, p, q = active[~gone], p[~gone], q[~gone]
         if not len(active):
             break
-        length[active] = k + 1
-    out[at] = length
+    out[at] = np.minimum(length, most)
     return out[order]
