@@ -90,15 +90,7 @@ def test_op1_equals_brute_force(spark, most):
     texts = corpus()
     ids = list(range(len(texts)))
     docs = frame(spark, texts, ids).withColumn("kept", F.lit("clash"))
-    spans = suffix_dedup.repeated_spans(docs, most_segments=most)
-    assert spans.count() > 5
-    if most == 1:
-        want = {i: v[1] for i, v in brute_suffix(texts, ids).items() if v[1]}
-        rows = docs.withColumn("row", suffix_dedup._row("doc_id", "text")).join(spans, "row").collect()
-        got = {r.doc_id: len({p for a, b in zip(r.spans[0::2], r.spans[1::2]) for p in range(a, b)}) for r in rows}
-        assert got == want
-        return
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.suffix_dedup(docs).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.suffix_dedup(docs, most_segments=most).collect()}
     assert got == brute_suffix(texts, ids)
 
 
@@ -144,13 +136,13 @@ def test_op2_equals_brute_force(spark, texts):
     assert got == brute_components(texts, ids)
 
 
-def test_op2_common_keys_blocks_and_centres(spark):
+def test_op2_common_keys_and_blocks(spark):
     texts = near_copies(4, 80)
     docs = frame(spark, texts)
     want = brute_components(texts, list(range(len(texts))))
     signs = jaccard_join.signatures(docs, "doc_id", "text").withColumn("rep", F.col("id")).filter("n > 0").cache()
-    for hot, block, rounds in ((3, 512, 8), (64, 8, 0)):  # rounds = 0: cells of blocks find every link without centres
-        comp = {r.id: r.comp for r in jaccard_join.links(docs, signs, "doc_id", "text", hot=hot, block=block, rounds=rounds).collect()}
+    for hot, block, crowd in ((3, 512, 2), (64, 8, 2), (64, 8, 10**6)):  # the last one: cells of every two blocks find each link alone
+        comp = {r.id: r.comp for r in jaccard_join.links(docs, signs, "doc_id", "text", hot=hot, block=block, crowd=crowd).collect()}
         assert {i: comp.get(i, i) for i in want} == {i: c for i, (_, c) in want.items()}
 
 

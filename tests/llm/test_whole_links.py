@@ -37,7 +37,7 @@ def test_op2_pairs_and_links_equal_brute_force(spark, block):
     docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
     want = brute_links(texts, ids)
     assert max(n for _, n in want.values()) > 5
-    assert {r.doc_id: (r.n_shingles, r.n_links) for r in jaccard_join.near_links(docs).collect()} == want
+    assert {r.doc_id: (r.n_shingles, r.n_links) for r in jaccard_join.near_links(docs, block=block).collect()} == want
     s = dict(zip(ids, (frozenset(shingle_set(t or "")) for t in texts)))
     first = sorted({min(j for j in ids if s[j] == s[i]) for i in ids if s[i]})
     pairs = {(a, b) for a in first for b in first if a < b and 5 * len(s[a] & s[b]) >= 4 * len(s[a] | s[b])}
@@ -46,4 +46,4 @@ def test_op2_pairs_and_links_equal_brute_force(spark, block):
 
 
 def test_op2_links_are_registered(spark):
-    assert QUERIES["op2_jaccard_links"](spark, "/root/testdata/sf0.001").columns == ["doc_id", "n_shingles", "n_links"]
+    assert QUERIES["op2_jaccard_links"](spark, "/root/testdata/sf0.001").columns == ["doc_id", "n_shingles", "component_id", "n_links"]
