@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import functools
+import inspect
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -45,15 +47,40 @@ class hidden:
         return df.select(*own, *more)
 
 
+def shielded(results: tuple[str, ...], *roles: str):
+    """Runs an operator on an input whose columns are renamed and gives them their names back, so an operator's own columns never clash
+    with an input's. ``roles`` are the parameters that name columns; input columns named like ``results`` are replaced.
+    """
+    def wrap(operator):
+        form = inspect.signature(operator)
+
+        @functools.wraps(operator)
+        def run(*args, **named):
+            call = form.bind(*args, **named)
+            call.apply_defaults()
+            first = next(iter(form.parameters))
+            own = hidden(call.arguments[first].drop(*results))
+            call.arguments[first] = own.frame
+            for r in roles:
+                call.arguments[r] = own.of(call.arguments[r])
+            return own.shown(operator(*call.args, **call.kwargs), *results)
+
+        return run
+
+    return wrap
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once a row."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one, on a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="vitalgrid-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -78,24 +105,24 @@ def scratch(spark: SparkSession, name: str) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage ends there and lost executors cost nothing.
-
-    With ``by`` it is bucketed by that column, as many buckets as shuffle partitions, so that joins on it move the other side only.
-    """
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: lineage ends there and lost executors cost nothing."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")  # the table replaces the shuffle files it was made from
-    writer = df.write.option("compression", "zstd")
-    title = "vitalgrid_" + path.rpartition("/")[2].replace("-", "_")
     try:
-        if by is None:
-            writer.parquet(path)
-        else:
-            writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).saveAsTable(title, format="parquet")
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path) if by is None else spark.table(title)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._vg_path = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes tables made by ``written`` that no later step reads."""
+    for t in tables:
+        _delete(t.sparkSession, t._vg_path)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 18) -> Iterator[pa.RecordBatch]:

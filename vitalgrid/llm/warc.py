@@ -8,26 +8,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalgrid.llm.common import scratch
+from vitalgrid.llm.common import scratch, shielded, written
 
 CRLF = "\r\n"
 MIN_BYTES = 100
 
 
-def resolve_revisits(pages: DataFrame, page_id: str = "page_id", html: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
-    """``pages`` with ``payload_bytes``, ``payload_digest``, ``record_type`` and ``refers_to``.
+@shielded(("payload_bytes", "payload_digest", "record_type", "refers_to", "refers_to_uri"), "page_id", "url", "html")
+def resolve_revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
+    """``pages`` with ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to`` and ``refers_to_uri``.
 
-    Only headers (id, digest, size) are grouped, with counts combined before the shuffle; digests found once never meet
-    their page again. A null page_id is never the original while another holds the payload; a group of nulls alone is all response.
+    Only headers (id, url, digest) are grouped, with counts combined before the shuffle. Digests of two pages or more are written first, so
+    that Spark knows their size: a small table is sent to the pages, and only a large one makes the pages themselves shuffle. Digests found
+    once never meet their page again. A null page_id is never the original while another holds the payload; a group of nulls alone is all response.
     Of repeated rows with one page_id, all are the original.
     """
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     df = pages.withColumns({"payload_bytes": F.length(payload).cast("long"), "payload_digest": F.sha2(payload, 256)})
-    heads = df.filter(F.col("payload_bytes") >= min_bytes).groupBy(F.col("payload_digest").alias("_digest")).agg(F.count(F.lit(1)).alias("_n"), F.min(page_id).alias("_first"))
-    shared = heads.filter("_n > 1").drop("_n")
+    heads = df.filter(F.col("payload_bytes") >= min_bytes).groupBy(F.col("payload_digest").alias("_digest")).agg(F.count(F.lit(1)).alias("_n"), F.min(page_id).alias("_first"), F.min_by(F.coalesce(F.col(url), F.lit("urn:none")), page_id).alias("_uri"))
+    shared = written(heads.filter("_n > 1").drop("_n"), "digests")
     df = df.join(shared, F.col("payload_digest") == F.col("_digest"), "left").drop("_digest")
     revisit = F.col("_first").isNotNull() & ~F.col(page_id).eqNullSafe(F.col("_first"))
-    return df.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("_first"))}).drop("_first")
+    return df.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("_first")), "refers_to_uri": F.when(revisit, F.col("_uri"))})
 
 
 def write_archives(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
@@ -46,7 +48,7 @@ def write_archives(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00
         F.lit(f"{CRLF}WARC-Record-ID: "), name(F.col(page_id)),
         F.lit(f"{CRLF}WARC-Target-URI: "), uri,
         F.lit(f"{CRLF}WARC-Date: {date}{CRLF}WARC-Payload-Digest: sha256:"), F.col("payload_digest"),
-        F.when(revisit, F.concat(F.lit(f"{CRLF}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{CRLF}WARC-Refers-To: "), name(F.col("refers_to")))).otherwise(F.lit("")),
+        F.when(revisit, F.concat(F.lit(f"{CRLF}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{CRLF}WARC-Refers-To: "), name(F.col("refers_to")), F.lit(f"{CRLF}WARC-Refers-To-Target-URI: "), F.regexp_replace("refers_to_uri", r"[\r\n]", ""), F.lit(f"{CRLF}WARC-Refers-To-Date: {date}"))).otherwise(F.lit("")),
         F.lit(f"{CRLF}Content-Type: application/http; msgtype=response{CRLF}Content-Length: "), size.cast("string"), F.lit(CRLF + CRLF),
     )
     record = F.concat(head, http, F.when(revisit, F.lit("")).otherwise(payload), F.lit(CRLF))  # the writer adds the last CRLF
@@ -105,14 +107,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def deduplicate(pages: DataFrame, path: str | None = None, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Writes ``pages`` (page_id, url, html) as deduplicated archives and returns the records read back.
 
-    Revisits are joined to the responses they refer to, from which they get ``payload_bytes``. Null html is an empty payload;
+    Null and repeated rows are judged as resolve_revisits says. Revisits are joined to the responses they refer to, from which they get ``payload_bytes``. Null html is an empty payload;
     an empty table makes empty archives; other columns are not archived.
     """
     spark = pages.sparkSession
     path = path or scratch(spark, "warc")
     write_archives(resolve_revisits(pages.select("page_id", "url", "html"), min_bytes=min_bytes), path)
-    back = read_archives(spark, path).drop("payload_digest").withColumn("n", F.length("payload").cast("long")).drop("payload")
-    heads = read_archives(spark, path).filter("record_type = 'revisit'").select("page_id", "url", "record_type", "payload_digest", "refers_to")
+    back = written(read_archives(spark, path).withColumn("n", F.length("payload").cast("long")).drop("payload"), "records")  # read and parsed once
+    heads = back.filter("record_type = 'revisit'").select("page_id", "url", "record_type", "payload_digest", "refers_to")
     originals = back.filter("record_type = 'response'").groupBy(F.col("payload_sha256").alias("_d"), F.col("page_id").alias("_page")).agg(F.max("n").alias("payload_bytes"))
     responses = back.filter("record_type = 'response'").select("page_id", "url", F.col("n").alias("payload_bytes"), F.col("payload_sha256").alias("payload_digest"), "record_type", "refers_to")
     revisits = heads.join(originals, (F.col("payload_digest") == F.col("_d")) & (F.col("refers_to") == F.col("_page"))).select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")
