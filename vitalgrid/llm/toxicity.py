@@ -86,25 +86,25 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, text: str
     own = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.max(label).cast("double").alias("_y"))
     n = own.count()
     sample = own.filter(F.pmod(F.xxhash64("_k"), F.lit(1 << 20)) < int(min(1.0, max_rows / max(n, 1)) * (1 << 20)) + 1)
-    rows = docs.select(F.col(key), F.col(text).alias("_t")).join(F.broadcast(sample), F.col(key) == F.col("_k")).select("_y", "_t")  # about max_rows of 16 bytes
+    rows = docs.select(F.col(key), F.col(text).alias("_t")).join(F.broadcast(sample), F.col(key) == F.col("_k")).select(F.xxhash64("_k").alias("_o"), "_y", "_t")  # about max_rows of 16 bytes
 
     def hashed(batches):
         for b in chunks(batches, "_t"):
             doc, bucket = features(*text_bytes(b.column("_t")))
             cut = np.searchsorted(doc, np.arange(b.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([b.column("_y"), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(bucket.astype(np.int32)))], ["y", "b"])
+            yield pa.RecordBatch.from_arrays([b.column("_o"), b.column("_y"), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(bucket.astype(np.int32)))], ["o", "y", "b"])
 
     def learn(batches):
         y, lists = [], []
         for b in batches:
-            y.append(b.column(0).to_numpy(zero_copy_only=False))
-            lists += [x.values.to_numpy(zero_copy_only=False) for x in b.column(1)]
+            y.append(b.column(1).to_numpy(zero_copy_only=False))
+            lists += [x.values.to_numpy(zero_copy_only=False) for x in b.column(2)]
         if y:
             doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
             used, theta, bias = fit(doc, np.concatenate(lists).astype(np.int64), np.concatenate(y))
             yield pa.RecordBatch.from_arrays([pa.array([used.astype(np.int32).tobytes()]), pa.array([theta.tobytes()]), pa.array([bias])], ["u", "t", "bias"])
 
-    found = rows.mapInArrow(hashed, "y double, b array<int>").orderBy("y", "b").coalesce(1).mapInArrow(learn, "u binary, t binary, bias double").collect()
+    found = rows.mapInArrow(hashed, "o long, y double, b array<int>").orderBy("o", F.xxhash64("b")).coalesce(1).mapInArrow(learn, "u binary, t binary, bias double").collect()
     table = np.zeros((1 << BITS, 1 + FACTORS), np.float32)
     if not found:
         return table, -np.inf
