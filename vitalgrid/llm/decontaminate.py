@@ -6,10 +6,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrid.llm.common import chunks, mix, text_bytes, words
+from vitalgrid.llm.common import chunks, mix, shielded, text_bytes, words
 
 WINDOW = 10
 #: Bytes of a word: ASCII digits and letters and everything above ASCII.
@@ -135,23 +135,24 @@ def _pass(docs: DataFrame, items: list[tuple[str, str]], window: int, doc_id: st
 RESULTS = ("n_words", "n_hit", "n_items", "items", "hit_spans", "longest_match", "contaminated")
 
 
+@shielded(RESULTS, "doc_id", "text")
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 8 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row of ``docs`` with ``n_words``, ``n_hit``, ``n_items``, ``items``, ``hit_spans``, ``longest_match``, ``contaminated`` (such columns are replaced).
 
     A window is ``window`` consecutive words of an item, or all words of a shorter one; document words inside an occurrence are
     hit. ``hit_spans`` holds [start, end) word positions, flat. The items go to the tasks in blocks of at most ``block_bytes`` of text
     (by hash of the id; an item longer than that is a block); each block is searched against all documents.
-    Null texts have no words, null or wordless items no windows; repeated rows are judged alike; an item id is taken as a string.
+    Null texts have no words, null or wordless items no windows; repeated rows are judged alike, repeated items count once; an item id is
+    taken as a string; any other column stays, whatever its name.
     """
-    docs = docs.drop(*RESULTS)
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.coalesce(F.col("text"), F.lit("")).alias("t")).distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = int(total // (block_bytes // 2)) + 1
     block = lambda b: [(r[0], r[1]) for r in (items if blocks == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)).collect()]
     if blocks == 1:
         found = _pass(docs, block(0), window, doc_id, text, True)
     else:
-        row = docs.withColumn("_row", F.xxhash64(F.col(doc_id), F.col(text)))
+        row = docs.withColumn("_row", F.sha2(F.concat_ws(":", F.col(doc_id).cast("string"), F.lit(""), F.col(text)), 256))
         parts = None
         for b in range(blocks):
             part = _pass(row.select("_row", text), block(b), window, "_row", text, False).filter(F.size("_hits") > 0).dropDuplicates(["_row"])
@@ -165,25 +166,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     odd = F.filter("_hits", lambda x, i: i % 2 == 1)
     n_hit = F.aggregate(F.zip_with(even, odd, lambda a, b: (b - a).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     found = found.withColumns({"n_hit": n_hit, "n_items": F.size("_items").cast("long"), "items": F.array_sort("_items"), "hit_spans": F.col("_hits")})
-    return found.withColumn("contaminated", F.col("n_hit") > 0).select(*[c for c in docs.columns], *RESULTS)
+    return found.withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def _merged(flat):
+def _merged(flat: Column) -> Column:
     """[start, end) pairs of several blocks as one ascending list without overlaps."""
-    @F.pandas_udf("array<int>")
-    def merge(column):
-        import pandas as pd
-
-        out = []
-        for x in column:
-            done: list[int] = []
-            pairs = sorted(zip(x[0::2], x[1::2]))
-            for a, b in pairs:
-                if done and a <= done[-1]:
-                    done[-1] = max(done[-1], int(b))
-                else:
-                    done += [int(a), int(b)]
-            out.append(done)
-        return pd.Series(out)
-
-    return merge(flat)
+    pairs = F.array_sort(F.transform(F.filter(F.transform(flat, lambda x, i: F.struct(x.alias("a"), F.get(flat, i + 1).alias("b"), (i % 2).alias("odd"))), lambda p: p["odd"] == 0), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"))))
+    last = lambda done: F.element_at(done, -1)
+    join = lambda done, p: F.when((F.size(done) > 0) & (p["a"] <= F.try_element_at(done, F.lit(-1))), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.greatest(last(done), p["b"])))).otherwise(F.concat(done, F.array(p["a"], p["b"])))
+    return F.aggregate(pairs, F.array().cast("array<int>"), join)

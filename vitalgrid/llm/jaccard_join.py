@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitalgrid.llm.common import chunks, mix, shingles, text_bytes, words, written
+from vitalgrid.llm.common import chunks, free, mix, shingles, text_bytes, words, written
 from vitalgrid.llm.components import components
 from vitalgrid.llm.meeting import SCHEMA, dealt, shared
 
@@ -202,10 +202,13 @@ def _candidates(docs: DataFrame, signs: DataFrame, doc_id: str, text: str, hot:
     """(key, id) of the keys that two class representatives or more have."""
     reps = signs.filter("id = rep").select("id", "n", "empty")
     rows = shared(keys(docs, doc_id, text)).join(reps.select(F.col("id").alias("_i")).distinct(), F.col("id") == F.col("_i"), "left_semi").distinct()
-    rows = written(rows, "keys")
-    many = rows.groupBy(F.col("key").alias("_k")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    rows = written(rows.join(many, F.col("key") == F.col("_k")).select("key", "id", "_n"), "keys")
-    return written(_affordable(rows, reps, hot), "keys")
+    every = written(rows, "keys")
+    many = every.groupBy(F.col("key").alias("_k")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    met = written(every.join(many, F.col("key") == F.col("_k")).select("key", "id", "_n"), "keys")
+    free(every)
+    rows = written(_affordable(met, reps, hot), "keys")
+    free(met)
+    return rows
 
 
 def _open_keys(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -385,11 +388,15 @@ def links(docs: DataFrame, signs: DataFrame, doc_id: str, text: str, hot: int =
             found = new if found is None else written(found.unionByName(new), "links")
             comp = components(found)
 
-    start = _sampled_cells(_open_keys(rows, None).filter(F.col("size") > crowd), block)
+    crowded = _open_keys(rows, None)
+    start = _sampled_cells(crowded.filter(F.col("size") > crowd), block)
     offers = written(_by_cell(start, sketches, _forest, "a long, b long").distinct(), "offers")
     link(_verified(offers, token_sets(docs, offers.select("a").union(offers.select("b")), doc_id, text)))
-    met = _all_cells(_open_keys(rows, comp), block)
+    still = _open_keys(rows, comp)
+    free(crowded, rows)
+    met = _all_cells(still, block)
     suspects = written(_by_cell(met, sketches, _suspects, "cell long, sid long, comp long, side long"), "suspects")
+    free(still)
     held = sketches.join(token_sets(docs, suspects.select("sid"), doc_id, text), "sid")
     link(_by_cell(suspects, held, _spanning, "a long, b long").distinct())
     return comp

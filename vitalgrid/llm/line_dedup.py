@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrid.llm.common import ASCII_SPACE, chunks, mix, written
+from vitalgrid.llm.common import ASCII_SPACE, chunks, mix, shielded, written
 
 _SPACE = ASCII_SPACE.encode()
 
@@ -125,12 +125,13 @@ def suspected(docs: DataFrame, doc_id: str, text: str, min_chars: int, filters:
     return docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text)).mapInArrow(keys, "_id long, _key string")
 
 
+@shielded(("n_lines", "n_dropped"), "doc_id", "text")
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, doc_id: str = "doc_id", text: str = "text", max_filter_bytes: int = 32 << 20) -> DataFrame:
     """``docs`` with ``text`` rid of repeated lines, plus ``n_lines`` and ``n_dropped`` (columns of those names are replaced).
 
     A key of ``min_chars`` code points or more found in ``min_docs`` documents or more loses all its lines except in the largest
     doc_id that holds it. Each row is a document; rows that share a doc_id share its fate. A null doc_id is below all others.
-    Null and empty texts are one empty line, which stays; a null text stays null.
+    Null and empty texts are one empty line, which stays; a null text stays null. Any other column stays, whatever its name.
     """
     spark = docs.sparkSession
     shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -140,7 +141,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, doc_id:
     # Both sides of the join come from tables, so a key of a third of all rows is a skewed partition that Spark splits.
     lost = lines.join(written(repeated, "repeated"), "_key").filter(~F.col("_id").eqNullSafe(F.col("_last")))
     drops = lost.groupBy("_id").agg(F.collect_set("_key").alias("_drop"))
-    df = docs.drop("n_lines", "n_dropped").join(drops, F.col(doc_id).cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
+    df = docs.join(drops, F.col(doc_id).cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
     names = [c for c in df.columns if c != "_drop"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "_drop"] + ["n_lines long", "n_dropped long"])
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vitalgrid.llm.common import written
+from vitalgrid.llm.common import shielded, written
 
 CAPACITY = 2048
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # fixed value: the vocabulary file's own pre-tokenizer
@@ -195,21 +195,21 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> dict[str, np.ndarr
     return {k: np.array([r[i] for r in rows], np.int64) for i, k in enumerate(("length", "rank", "sequence", "each", "offset"))} | {"sequences": np.array([base])}
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, per_bucket: int = 100_000) -> DataFrame:
+@shielded(("sequence_id", "offset"), "doc_id", "piece", "length")
+def pack(pieces: DataFrame, capacity: int = CAPACITY, per_bucket: int = 100_000, doc_id: str = "doc_id", piece: str = "piece", length: str = "length") -> DataFrame:
     """``pieces`` (doc_id, piece, length from 1 to ``capacity``, any more columns) with ``sequence_id`` and ``offset``, gapless from 0.
 
     Only the histogram of lengths reaches the driver. Ranks within a length count over hash buckets, so that a length of a third
-    of all pieces is dealt to many tasks. Repeated rows are packed one by one; an empty table stays empty.
+    of all pieces is dealt to many tasks. Repeated rows are packed one by one; an empty table stays empty; other columns stay, whatever their names.
     """
-    pieces = pieces.drop("sequence_id", "offset")
-    histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
+    histogram = {r[0]: r[1] for r in pieces.groupBy(length).count().collect()}
     table = plan(histogram, capacity)
     buckets = max(16, 2 * sum(histogram.values()) // per_bucket)
-    dealt = pieces.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
-    before = Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("length", "_b").count().select(F.col("length").alias("_l"), F.col("_b").alias("_c"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    ranked = dealt.join(starts, (F.col("length") == F.col("_l")) & (F.col("_b") == F.col("_c")))
-    ranked = ranked.withColumn("_rank", F.col("_start") + F.row_number().over(Window.partitionBy("length", "_b").orderBy("doc_id", "piece")) - 1)
+    dealt = pieces.withColumn("_b", F.pmod(F.xxhash64(doc_id, piece), F.lit(buckets)).cast("int"))
+    before = Window.partitionBy(length).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(length, "_b").count().select(F.col(length).alias("_l"), F.col("_b").alias("_c"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    ranked = dealt.join(starts, (F.col(length) == F.col("_l")) & (F.col("_b") == F.col("_c")))
+    ranked = ranked.withColumn("_rank", F.col("_start") + F.row_number().over(Window.partitionBy(length, "_b").orderBy(doc_id, piece)) - 1)
     shared = pieces.sparkSession.sparkContext.broadcast(table)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema] + ["sequence_id long", "offset long"])
     names = pieces.columns
@@ -218,10 +218,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_bucket: int = 100_000)
         t = shared.value
         key = (t["length"] << 48) + t["rank"]
         for b in batches:
-            length, rank = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_rank"))
-            at = np.searchsorted(key, (length << 48) + rank, "right") - 1
+            size, rank = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (length, "_rank"))
+            at = np.searchsorted(key, (size << 48) + rank, "right") - 1
             nth = rank - t["rank"][at]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(t["sequence"][at] + nth // t["each"][at]), pa.array(t["offset"][at] + nth % t["each"][at] * length)], [*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(t["sequence"][at] + nth // t["each"][at]), pa.array(t["offset"][at] + nth % t["each"][at] * size)], [*names, "sequence_id", "offset"])
 
     return ranked.drop("_b", "_c", "_l", "_start").mapInArrow(place, schema)
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrid.llm.common import ASCII_SPACE, let
+from vitalgrid.llm.common import ASCII_SPACE, let, shielded
 
 SYMBOLS = "#*$%&|<>"
 # Frequent function words of the four languages.
@@ -99,11 +99,13 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_shouts", "n_stop_words", "n_lines")
 
 
+@shielded(("quality",), "text")
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """Every row of ``docs`` with a struct ``quality``: the measures, ``base_failed``, ``failed`` (names of broken rules), ``kept``.
 
     Null and empty texts have no words and fail the base rules. Rows are judged one by one, so repeated
-    rows get equal results and an empty table gives an empty one; a column named ``quality`` is replaced.
+    rows get equal results and an empty table gives an empty one; a column named ``quality`` is replaced,
+    any other stays, whatever its name.
     """
     m = measure(docs, text)
     flat = {"n_words": "w", "n_stop_words": "w", "n_repeat_words": "w", "n_lines": "l", "n_dup_lines": "l"}

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrid.llm.common import _BASE, _BYTE, _UNBASE, _powers, chunks, hidden, mix, text_bytes, written
+from vitalgrid.llm.common import _BASE, _BYTE, _UNBASE, _powers, chunks, free, hidden, mix, text_bytes, written
 from vitalgrid.llm.meeting import SCHEMA, dealt, shared
 from vitalgrid.llm.suffix_array import common_prefixes, suffix_array
 
@@ -199,16 +199,16 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, most_segments: int = 2
     """(doc, row, spans) of the byte ranges to remove from ``rows`` (_id, _row, _text), unmerged; ``_row`` tells the texts of one id apart."""
     rows = rows.filter(F.col("_id").isNotNull() & (F.octet_length("_text") >= length))
     # Equal texts are one document to the arrays: the smallest id stands for them, the others are covered from end to end.
-    texts = written(rows.select("_id", "_row", F.sha2(F.col("_text").cast("binary"), 256).alias("_hash"), F.octet_length("_text").cast("long").alias("_size")), "texts")
-    first = texts.groupBy(F.col("_hash").alias("_h")).agg(F.min("_id").alias("_first"))
-    texts = written(texts.join(first, F.col("_hash") == F.col("_h")).select("_id", "_row", "_size", (F.col("_id") == F.col("_first")).alias("_is_first")), "texts")
+    hashed = written(rows.select("_id", "_row", F.sha2(F.col("_text").cast("binary"), 256).alias("_hash"), F.octet_length("_text").cast("long").alias("_size")), "texts")
+    first = hashed.groupBy(F.col("_hash").alias("_h")).agg(F.min("_id").alias("_first"))
+    texts = written(hashed.join(first, F.col("_hash") == F.col("_h")).select("_id", "_row", "_size", (F.col("_id") == F.col("_first")).alias("_is_first")), "texts")
     copies = texts.groupBy("_id").agg(F.max("_is_first").alias("_any")).filter("not _any").select(F.col("_id").alias("_copy"))
     whole = texts.filter("not _is_first").select(F.col("_id").alias("doc"), F.col("_row").alias("row"), F.array(F.lit(0).cast("long"), F.col("_size")).alias("spans")).distinct()
     keys = written(shared(anchor_keys(rows, length)).join(copies, F.col("id") == F.col("_copy"), "left_anti"), "anchors")
     still = keys.groupBy(F.col("key").alias("_k")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    keys = keys.join(still, F.col("key") == F.col("_k"), "left_semi")
-    found = written(segments(rows, keys, length), "segments")
-    distinct = written(found.groupBy("key", "mark", "seg").agg(F.min("doc").alias("doc")), "distinct")
+    found = tables = written(segments(rows, keys.join(still, F.col("key") == F.col("_k"), "left_semi"), length), "segments")
+    free(keys)
+    distinct = several = written(found.groupBy("key", "mark", "seg").agg(F.min("doc").alias("doc")), "distinct")
     crowded = written(distinct.groupBy(F.col("key").alias("_c")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most_segments).select("_c"), "crowded")
     is_crowded = F.col("key") == F.col("_c")
     alone = None
@@ -224,7 +224,9 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, most_segments: int = 2
     firsts = firsts.select(F.col("key").alias("_k"), F.col("mark").alias("_m"), "firsts")
     met = found.select("key", "mark", "row", "doc", "start").join(firsts, (F.col("key") == F.col("_k")) & (F.col("mark") == F.col("_m")))
     spans = _covered(met, length).unionByName(whole).groupBy(F.col("doc").alias("_doc"), F.col("row").alias("_in")).agg(F.flatten(F.collect_list("spans")).alias("_spans"))
-    return written(spans, "spans")
+    spans = written(spans, "spans")
+    free(hashed, texts, tables, several, crowded, *([alone] if alone is not None else []))
+    return spans
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", most_segments: int = 20_000) -> DataFrame:
