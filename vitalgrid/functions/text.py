@@ -33,11 +33,11 @@ def with_canonical_type(workouts: DataFrame, type_map: dict[str, str] | None = N
     """``workouts`` with the type of each name: the given map first, then the built-in one, else null. Both maps are small dimensions."""
     spark = workouts.sparkSession
     built_in = workout_names(spark).withColumnRenamed("canonical_type", "_b")
-    df = workouts.withColumn("_key", fold(F.col(name)))
+    df = workouts.withColumn("_key", fold(F.col(name), compatibility=True))
     df = df.join(F.broadcast(built_in.withColumnRenamed("key", "_key")), "_key", "left")
     own = F.lit(None).cast("string")
     if type_map:
-        extra = spark.createDataFrame(list(type_map.items()), "k string, _o string").select(fold(F.col("k")).alias("_key"), "_o").dropDuplicates(["_key"])
+        extra = spark.createDataFrame(list(type_map.items()), "k string, _o string").select(fold(F.col("k"), compatibility=True).alias("_key"), "_o").dropDuplicates(["_key"])
         df = df.join(F.broadcast(extra), "_key", "left")
         own = F.col("_o")
     return df.withColumn(out, slug(F.coalesce(own, F.col("_b")))).drop("_key", "_b", "_o")

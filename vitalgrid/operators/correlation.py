@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Member sets of the domains.
-AUTONOMIC = ["heart_rate_variability", "resting_heart_rate", "respiratory_rate", "breathing_disturbances", "apple_sleeping_wrist_temperature"]
-HR_RATE = ["heart_rate", "walking_heart_rate_average", "cardio_recovery"]
-VITAL = ["blood_oxygen_saturation", "vo2_max", "weight_body_mass"]
+AUTONOMIC = ["respiratory_rate", "heart_rate_variability", "cardio_recovery"]
+HR_RATE = ["heart_rate", "resting_heart_rate", "walking_heart_rate_average"]
+VITAL = ["vo2_max", "apple_sleeping_wrist_temperature", "weight_body_mass", "blood_oxygen_saturation", "body_temperature", "breathing_disturbances"]
 VOLUME = ["step_count", "active_energy", "apple_exercise_time", "walking_running_distance", "flights_climbed", "apple_stand_time"]
 
 
@@ -126,7 +126,7 @@ def best_lag(candidates: DataFrame) -> DataFrame:
 
 
 def is_workout_family(s: Column) -> Column:
-    return s.rlike("^workout_(trimp|load|edwards|duration_h|count)(_|$)")
+    return s.rlike("^workout_(trimp|load|edwards|duration|count|intensity)(_|$)")
 
 
 def is_volume(s: Column) -> Column:

@@ -9,15 +9,17 @@ from pyspark.sql import functions as F
 from vitalgrid import config as C
 from vitalgrid.functions.clock import local_day, seconds
 from vitalgrid.functions.impulse import clamp
-from vitalgrid.operators.stress import dwell, first_match, inside
+from vitalgrid.operators.stress import dwell, first_match, inside, subject_of, within
 
 
 def auto_neutral(buckets: DataFrame, sleep: DataFrame) -> DataFrame:
     """One row (neutral): the 40th percentile of awake measured stress over the 60 days before the newest bucket, within 5 and 50; 25 from under 1440 rows."""
-    last = buckets.agg(F.max("ts").alias("_last"))
-    awake = inside(buckets.filter("stress is not null"), sleep, "_asleep").filter("not _asleep").crossJoin(F.broadcast(last))
-    g = awake.filter(F.col("ts") >= F.col("_last") - F.expr(f"interval {C.NEUTRAL_DAYS} days")).agg(F.count(F.lit(1)).alias("n"), F.percentile("stress", C.NEUTRAL_PCT).alias("p"))
-    return g.select(F.when(F.col("n") >= C.NEUTRAL_ROWS, clamp(F.bround("p", 1), C.NEUTRAL_LOW, C.NEUTRAL_HIGH)).otherwise(F.lit(C.NEUTRAL_DEFAULT)).alias("neutral"))
+    key = subject_of(buckets, sleep)
+    last = buckets.groupBy(*key).agg(F.max("ts").alias("_last"))
+    awake = inside(buckets.filter("stress is not null"), sleep, "_asleep").filter("not _asleep")
+    awake = last.join(awake, key, "left") if key else F.broadcast(last).crossJoin(awake)
+    g = awake.filter(F.col("ts").isNull() | (F.col("ts") >= F.col("_last") - F.expr(f"interval {C.NEUTRAL_DAYS} days"))).groupBy(*key).agg(F.count("stress").alias("n"), F.percentile("stress", C.NEUTRAL_PCT).alias("p"))
+    return g.select(*key, F.when(F.col("n") >= C.NEUTRAL_ROWS, clamp(F.bround("p", 1), C.NEUTRAL_LOW, C.NEUTRAL_HIGH)).otherwise(F.lit(C.NEUTRAL_DEFAULT)).alias("neutral"))
 
 
 def rates(buckets: DataFrame, sleep: DataFrame, neutral: Column, e: C.Energy) -> DataFrame:
@@ -42,7 +44,7 @@ def integrate(steps: DataFrame, seed: float = 50.0) -> DataFrame:
     """
     import pandas as pd
 
-    key = ["subject"] if "subject" in steps.columns else []
+    key = subject_of(steps)
     df = steps.withColumn("_d", F.to_date("ts"))
 
     def compose(pdf):
@@ -55,7 +57,7 @@ def integrate(steps: DataFrame, seed: float = 50.0) -> DataFrame:
     head = "".join(f"{k} {kinds[k]}, " for k in key)
     days = df.select(*key, "_d", "ts", "delta").groupBy(*key, "_d").applyInPandas(compose, f"{head}_d date, d double, lo double, hi double")
     one = F.struct("_d", "d", "lo", "hi")
-    w = (Window.partitionBy(*key) if key else Window.partitionBy(F.lit(0))).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    w = within(key).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
     step = lambda acc, x: F.least(x["hi"], F.greatest(x["lo"], acc + x["d"]))
     starts = days.withColumn("_start", F.aggregate(F.array_sort(F.collect_list(one).over(w)), F.lit(float(seed)), step)).select(*key, "_d", "_start")
 
@@ -73,15 +75,16 @@ def integrate(steps: DataFrame, seed: float = 50.0) -> DataFrame:
 def wake_ends(sleep: DataFrame, zone: str) -> DataFrame:
     """(day, wake): end of the longest interval that ends on each local day, of equals the earliest."""
     df = sleep.withColumns({"day": local_day(F.col("end"), zone), "_s": seconds(F.col("end"), F.col("start"))})
-    return df.groupBy("day").agg(F.max_by("end", F.struct("_s", -F.unix_micros("start"))).alias("wake"))
+    return df.groupBy(*subject_of(sleep), "day").agg(F.max_by("end", F.struct("_s", -F.unix_micros("start"))).alias("wake"))
 
 
 def daily(levels: DataFrame, wakes: DataFrame, zone: str) -> DataFrame:
     """(day, high_level, low_level, charged, drained, wake_level): extremes, sums of rises and falls within the day, level at or just before waking."""
+    key = subject_of(levels, wakes)
     df = levels.withColumn("day", local_day(F.col("ts"), zone))
-    df = df.withColumn("_diff", F.col("level") - F.lag("level").over(Window.partitionBy("day").orderBy("ts"))).join(wakes, "day", "left")
+    df = df.withColumn("_diff", F.col("level") - F.lag("level").over(within(key, "day").orderBy("ts"))).join(wakes, [*key, "day"], "left")
     before = F.when(F.col("ts") <= F.col("wake"), F.col("ts"))
-    return df.groupBy("day").agg(
+    return df.groupBy(*key, "day").agg(
         F.max("level").alias("high_level"), F.min("level").alias("low_level"), F.sum(F.greatest(F.coalesce("_diff", F.lit(0.0)), F.lit(0.0))).alias("charged"),
         F.sum(F.greatest(-F.coalesce("_diff", F.lit(0.0)), F.lit(0.0))).alias("drained"), F.max_by(F.when(before.isNotNull(), F.col("level")), before).alias("wake_level"),
     )
@@ -89,4 +92,4 @@ def daily(levels: DataFrame, wakes: DataFrame, zone: str) -> DataFrame:
 
 def informative_days(buckets: DataFrame, zone: str, least: int = 60) -> DataFrame:
     """Days with at least ``least`` buckets (not minutes) that say something."""
-    return buckets.filter("state <> 'unmeasurable'").groupBy(local_day(F.col("ts"), zone).alias("day")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("day")
+    return buckets.filter("state <> 'unmeasurable'").groupBy(*subject_of(buckets), local_day(F.col("ts"), zone).alias("day")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).drop("n")

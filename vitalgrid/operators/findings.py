@@ -68,16 +68,18 @@ def seasons(parts: DataFrame, s: C.Shape) -> DataFrame:
     g = D.annual(parts).join(D.reproducibility(profile), "series").join(span, "series").filter((F.col("strength") >= s.season_strength) & (F.col("reproducibility") >= s.reproducibility))
     r = lambda x: F.round(x, 4)
     details = {"strength": r("strength"), "reproducibility": r("reproducibility"), "amplitude": r("amplitude"), "peak_month": F.col("peak_month"), "trough_month": F.col("trough_month"), "phase_confident": F.col("phase_confident")}
-    return finding(g, "seasonality", details, metric_a=F.col("series"), window_start=F.col("a"), window_end=F.col("b"), severity=F.col("strength"), note=F.when(~F.col("phase_confident"), "phase uncertain"))
+    return finding(g, "seasonality", details, metric_a=F.col("series"), window_start=F.col("a"), window_end=F.col("b"), severity=F.col("strength"), note=F.when(~F.col("phase_confident"), "annual phase uncertain (peak and trough too close)"))
 
 
 def recovery(series: DataFrame, r: C.Recovery, window: int = 28) -> DataFrame:
-    found = robust.recovery_pairs(series, "resting_heart_rate", "heart_rate_variability", window, r.z)
-    last = series.filter(F.col("series").isin("resting_heart_rate", "heart_rate_variability")).agg(F.max("day").alias("_last"))
+    """Days of high resting rate and low variability, within ``recent_days`` of the last day on which both have a score."""
+    both = robust.scored_pairs(series, "resting_heart_rate", "heart_rate_variability", window)
+    last = both.agg(F.max("day").alias("_last"))
+    found = robust.alarming(both, r.z)
     sleep = robust.robust_z(series.filter("series = 'sleep_total_h'"), window).select("day", F.col("z").alias("_s"))
     found = found.crossJoin(F.broadcast(last)).filter(F.col("day") >= F.date_sub("_last", r.recent_days)).join(sleep, "day", "left")
     short = F.coalesce(F.col("_s") <= r.sleep_z, F.lit(False))
-    return finding(found, "recovery_alert", {"resting_heart_rate_z": F.round("rest_z", 4), "heart_rate_variability_z": F.round("variability_z", 4), "short_sleep": short}, metric_a=F.lit("recovery"), ref_date=F.col("day"), severity=F.col("severity"), note=F.when(short, "short sleep"))
+    return finding(found, "recovery_alert", {"resting_heart_rate_z": F.round("rest_z", 4), "heart_rate_variability_z": F.round("variability_z", 4), "short_sleep": short}, metric_a=F.lit("recovery"), ref_date=F.col("day"), severity=F.col("severity"), note=F.concat(F.lit("low HRV and high resting HR"), F.when(short, " with short sleep").otherwise("")))
 
 
 def stress_alerts(days: DataFrame, s: C.Stress) -> DataFrame:
@@ -92,7 +94,7 @@ def energy_alerts(days: DataFrame, e: C.Energy) -> DataFrame:
 
 def consistency(regular: DataFrame, c: C.Consistency) -> DataFrame:
     limit = F.when(F.col("series") == "bedtime", F.lit(c.bedtime_std)).otherwise(F.lit(c.duration_std))
-    note = F.when(F.col("std_hours") > limit, "irregular").otherwise("stable")
+    note = F.concat(F.when(F.col("std_hours") > limit, "irregular").otherwise("stable"), F.when(F.col("series") == "bedtime", " bedtime").otherwise(" sleep duration"))
     return finding(regular, "consistency", {"std_hours": F.round("std_hours", 4), "threshold": limit}, metric_a=F.col("series"), window_start=F.col("window_start"), window_end=F.col("window_end"), severity=F.col("std_hours"), note=note)
 
 
@@ -109,13 +111,27 @@ def training_load(loads: DataFrame, c: C.Load) -> DataFrame:
     w = Window.partitionBy("series").orderBy(F.desc("day"))
     now = training.acwr_history(loads).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").join(training.active_days(loads), "series")
     out = now.filter((F.col("active_days") >= c.min_active_days) & ((F.col("ratio") > c.acwr_high) | (F.col("ratio") < c.acwr_low)))
-    return finding(out, "training_load", {**{k: F.round(k, 4) for k in ("acute", "chronic", "ratio")}, "acute_days": F.lit(C.ACUTE_DAYS), "chronic_days": F.lit(C.CHRONIC_DAYS)}, metric_a=F.col("series"), ref_date=F.col("day"), severity=F.col("ratio"))
+    return finding(out, "training_load", {**{k: F.round(k, 4) for k in ("acute", "chronic", "ratio")}, "acute_days": F.lit(C.ACUTE_DAYS), "chronic_days": F.lit(C.CHRONIC_DAYS)}, metric_a=F.col("series"), ref_date=F.col("day"), severity=F.col("ratio"), note=F.when(F.col("ratio") > c.acwr_high, "training load spike (acute load high vs. chronic)").otherwise("detraining (acute load low vs. chronic)"))
 
 
-def training_status(loads: DataFrame) -> DataFrame:
-    s = training.training_status(training.smoothed(loads))
-    details = {**{k: F.round(k, 4) for k in ("ctl", "atl", "tsb", "tsb_pct")}, "zone": F.col("zone"), "ctl_days": F.lit(C.CTL_TAU), "atl_days": F.lit(C.ATL_TAU), "ctl_ago": F.round("ctl_ago", 4), "ctl_trend": F.col("ctl_trend"), "ctl_trend_days": F.lit(C.CTL_LOOKBACK)}
-    return finding(s, "training_status", details, metric_a=F.col("series"), ref_date=F.col("day"), severity=F.abs("tsb_pct"), note=F.col("zone"))
+# The note of each zone.
+ZONE_NOTES = {
+    "detraining": "form strongly positive (load well below fitness - base shrinking)",
+    "fresh": "fresh / tapered (form positive)",
+    "neutral": "neutral (load matches fitness)",
+    "productive": "productive training (moderate negative form)",
+    "overreaching_risk": "overreaching risk (deeply negative form)",
+}
+
+
+def training_status(loads: DataFrame, c: C.Load = C.Load()) -> DataFrame:
+    """One finding at most, of all sports together: of the impulse series where there is one, else of the energy one."""
+    whole = loads.filter(F.col("series").isin("workout_trimp", "workout_load"))
+    first = whole.agg(F.max("series").alias("_first"))  # by name the impulse series comes last
+    whole = whole.join(F.broadcast(first), F.col("series") == F.col("_first")).drop("_first")
+    s = training.training_status(training.smoothed(whole), c)
+    details = {**{k: F.round(k, 4) for k in ("ctl", "atl", "tsb", "tsb_pct")}, "zone": F.col("zone"), "ctl_days": F.lit(C.CTL_TAU), "atl_days": F.lit(C.ATL_TAU), "ctl_ago": F.round("ctl_ago", 4), "ctl_trend": F.col("ctl_trend"), "ctl_trend_days": F.when(F.col("ctl_trend").isNotNull(), C.CTL_LOOKBACK)}
+    return finding(s, "training_status", details, metric_a=F.col("series"), ref_date=F.col("day"), severity=F.abs("tsb_pct"), note=F.create_map(*[F.lit(x) for pair in ZONE_NOTES.items() for x in pair])[F.col("zone")])
 
 
 def collect_kinds(builders: dict[str, Callable[[], DataFrame]], written: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame | None, dict[str, str]]:

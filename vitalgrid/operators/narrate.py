@@ -24,12 +24,24 @@ def label(series: str, known: dict[str, str] | None = None) -> str:
     return (known or {}).get(series) or series.replace("_", " ").capitalize()
 
 
-def z_label(z: float) -> str:
-    return "far above usual" if z >= 5 else "above usual" if z > 0 else "far below usual" if z <= -5 else "below usual"
+# Bands with their words, English and German.
+Z_BANDS = [(1.5, "normal", "normal"), (2.5, "mildly notable", "leicht auffällig"), (3.5, "clearly outside normal range", "deutlich außerhalb Normalbereich"), (float("inf"), "strong outlier", "starker Ausreißer")]
+ACWR_LOW, ACWR_BEST, ACWR_CAUTION = 0.8, 1.3, 1.5
+ACWR_ZONES = {"low": ("undertraining zone", "Untertrainingszone"), "best": ("optimal zone", "optimale Zone"), "caution": ("caution zone", "Vorsichtszone"), "high": ("high overtraining risk", "hohes Übertrainingsrisiko")}
+TSB_ZONES = {
+    "detraining": ("detraining - load well below fitness", "Detraining – Belastung weit unter Fitnessniveau"), "fresh": ("fresh / tapered", "frisch / erholt (Taper)"),
+    "neutral": ("neutral - load matches fitness", "neutral – Belastung entspricht Fitnessniveau"), "productive": ("productive training", "produktives Training"), "overreaching_risk": ("overreaching risk", "Überlastungsrisiko"),
+}
 
 
-def acwr_zone(ratio: float) -> str:
-    return "high" if ratio > 1.5 else "low" if ratio < 0.8 else "balanced"
+def z_label(z: float, language: str = "en") -> str:
+    """The band of a score's size, either way."""
+    return next(words[language == "de"] for limit, *words in Z_BANDS if abs(z) < limit)
+
+
+def acwr_zone(ratio: float, language: str = "en") -> str:
+    zone = "low" if ratio < ACWR_LOW else "best" if ratio <= ACWR_BEST else "caution" if ratio <= ACWR_CAUTION else "high"
+    return ACWR_ZONES[zone][language == "de"]
 
 
 def stress_zone(score: float) -> str:
@@ -46,7 +58,7 @@ def select_findings(findings: DataFrame, lookback_days: int, as_of: date, max_co
     return other + pairs.orderBy(F.desc("_p"), "metric_a", "metric_b").limit(max_correlations).collect(), max(0, pairs.count() - max_correlations)
 
 
-def _line(row) -> str:
+def _line(row, language: str = "en") -> str:
     d = json.loads(row["details"]) if row["details"] else {}
     a, when = label(row["metric_a"]), f" on {row['ref_date']}" if row["ref_date"] else ""
     kind = row["kind"]
@@ -54,9 +66,11 @@ def _line(row) -> str:
         lag = f", {row['lag_days']} d later" if row["lag_days"] else ""
         return f"{a} and {label(row['metric_b'])}{lag}: r = {row['coefficient']:.2f} (n = {d.get('n', '?')})"
     if kind == "anomaly":
-        return f"{a}{when}: {d.get('value')} ({z_label(d.get('z', 0))}, z = {d.get('z')})"
+        return f"{a}{when}: {d.get('value')} ({z_label(d.get('z') or 0.0, language)}, z = {d.get('z')})"
     if kind == "training_load":
-        return f"{a}{when}: acute to chronic {d.get('ratio')} ({acwr_zone(d.get('ratio', 1))})"
+        return f"{a}{when}: acute to chronic {d.get('ratio')} ({acwr_zone(d.get('ratio', 1), language)})"
+    if kind == "training_status" and d.get("zone") in TSB_ZONES:
+        return f"{a}{when}: {TSB_ZONES[d['zone']][language == 'de']} (form {d.get('tsb')}, fitness {d.get('ctl')})"
     if kind == "stress":
         return f"Stress{when}: {d.get('score')} ({stress_zone(d.get('score', 0))})"
     rest = ", ".join(f"{k} {v}" for k, v in d.items())
@@ -68,7 +82,7 @@ def context(findings: DataFrame, lookback_days: int, as_of: date, language: str
     rows, more = select_findings(findings, lookback_days, as_of, max_correlations)
     out = [f"# {as_of}"]
     for kind, english, german in SECTIONS:
-        own = [_line(r) for r in rows if r["kind"] == kind]
+        own = [_line(r, language) for r in rows if r["kind"] == kind]
         if own:
             out += ["", f"## {german if language == 'de' else english}", *[f"- {x}" for x in own]]
             if kind == "correlation" and more:

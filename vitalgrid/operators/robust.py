@@ -38,9 +38,17 @@ def anomalies(series: DataFrame, window: int = 28, threshold: float = 3.5, recen
     return out if min_global is None else out.filter(F.abs("global_z") >= min_global)
 
 
-def recovery_pairs(series: DataFrame, rest: str, variability: str, window: int = 28, z: float = 1.5) -> DataFrame:
-    """Days on which resting rate is high and variability low at once."""
+def scored_pairs(series: DataFrame, rest: str, variability: str, window: int = 28) -> DataFrame:
+    """(day, rest_z, variability_z) of the days on which both series have a score."""
     scored = robust_z(series.filter(F.col("series").isin(rest, variability)), window)
     pick = lambda name, out: scored.filter(F.col("series") == name).select("day", F.col("z").alias(out))
-    both = pick(rest, "rest_z").join(pick(variability, "variability_z"), "day")
+    return pick(rest, "rest_z").join(pick(variability, "variability_z"), "day").dropna()
+
+
+def alarming(both: DataFrame, z: float = 1.5) -> DataFrame:
     return both.filter((F.col("rest_z") >= z) & (F.col("variability_z") <= -z)).withColumn("severity", (F.col("rest_z") - F.col("variability_z")) / 2.0)
+
+
+def recovery_pairs(series: DataFrame, rest: str, variability: str, window: int = 28, z: float = 1.5) -> DataFrame:
+    """Days on which resting rate is high and variability low at once."""
+    return alarming(scored_pairs(series, rest, variability, window), z)

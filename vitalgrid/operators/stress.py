@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from vitalgrid import config as C
@@ -10,11 +10,23 @@ from vitalgrid.functions.clock import local_day, seconds
 from vitalgrid.functions.impulse import clamp
 
 
+def subject_of(*frames: DataFrame) -> list[str]:
+    """["subject"] where all ``frames`` have that column, [] where none has. One with and one without would mix people up, so that raises."""
+    have = {"subject" in f.columns for f in frames}
+    if len(have) > 1:
+        raise ValueError("either all tables have a subject column or none")
+    return ["subject"] if have == {True} else []
+
+
+def within(key: list[str], *more: str) -> WindowSpec:
+    """A window a subject. Without subjects, a table is one person's and so is its one partition."""
+    return Window.partitionBy(*key, *more)
+
+
 def merged(intervals: DataFrame) -> DataFrame:
     """Overlapping or touching [start, end) made one, by gaps and islands within each ``subject`` if there is one."""
-    key = ["subject"] if "subject" in intervals.columns else []
-    part = Window.partitionBy(*key) if key else Window.partitionBy(F.lit(0))
-    w = part.orderBy("start", "end")
+    key = subject_of(intervals)
+    w = within(key).orderBy("start", "end")
     df = intervals.filter(F.col("end") > F.col("start"))
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     df = df.withColumn("_new", F.coalesce((F.col("start") > before).cast("int"), F.lit(1)))
@@ -28,65 +40,73 @@ def _by_day(intervals: DataFrame) -> DataFrame:
 
 
 def inside(points: DataFrame, intervals: DataFrame, out: str = "inside", ts: str = "ts") -> DataFrame:
-    """``points`` (unique by ts) with a boolean: in any [start, end). An equi join on the day with a residual test, not a nested loop."""
-    iv = _by_day(merged(intervals.select("start", "end")))
-    hit = points.select(ts, F.to_date(ts).alias("_day")).join(iv, "_day").filter((F.col(ts) >= F.col("start")) & (F.col(ts) < F.col("end"))).select(F.col(ts).alias("_hit")).distinct()
-    return points.join(hit, F.col(ts) == F.col("_hit"), "left").withColumn(out, F.col("_hit").isNotNull()).drop("_hit")
+    """``points`` (unique by subject and ts) with a boolean: in any [start, end). An equi join on the day with a residual test, not a nested loop."""
+    key = subject_of(points, intervals)
+    iv = _by_day(merged(intervals.select(*key, "start", "end")))
+    return _met(points, iv, key, ts).select(*points.columns, F.col("_start").isNotNull().alias(out))  # merged intervals hold a point once at most
+
+
+def _met(points: DataFrame, by_day: DataFrame, key: list[str], ts: str) -> DataFrame:
+    """``points`` beside the intervals that hold them, or nulls; an interval's columns start with an underscore."""
+    iv = by_day.select(*[F.col(c).alias(c if c == "_day" else f"_{c}") for c in by_day.columns])
+    on = (F.to_date(points[ts]) == iv["_day"]) & (points[ts] >= iv["_start"]) & (points[ts] < iv["_end"])
+    for k in key:
+        on &= points[k] == iv[f"_{k}"]
+    return points.join(iv, on, "left")
 
 
 def first_match(points: DataFrame, intervals: DataFrame, value: str, out: str, ts: str = "ts") -> DataFrame:
     """``points`` with ``value`` of the earliest-starting interval that holds them."""
-    iv = _by_day(intervals)
-    hit = points.select(ts, F.to_date(ts).alias("_day")).join(iv, "_day").filter((F.col(ts) >= F.col("start")) & (F.col(ts) < F.col("end")))
-    best = hit.groupBy(F.col(ts).alias("_t")).agg(F.min_by(value, F.struct("start", "end")).alias(out))
-    return points.join(best, F.col(ts) == F.col("_t"), "left").drop("_t")
+    met = _met(points, _by_day(intervals), subject_of(points, intervals), ts)
+    return met.groupBy(*points.columns).agg(F.min_by(f"_{value}", F.struct("_start", "_end")).alias(out))
 
 
 def intraday_hr(samples: DataFrame) -> DataFrame:
     """(ts, bpm): mean over sources at each instant."""
-    return samples.filter("metric = 'heart_rate'").groupBy(F.col("time").alias("ts")).agg(F.avg(F.coalesce("vavg", "qty")).alias("bpm"))
+    return samples.filter("metric = 'heart_rate'").groupBy(*subject_of(samples), F.col("time").alias("ts")).agg(F.avg(F.coalesce("vavg", "qty")).alias("bpm"))
 
 
 def intraday_steps(samples: DataFrame) -> DataFrame:
     """(ts, steps): largest over sources at each instant, so that two devices do not count twice."""
-    return samples.filter("metric = 'step_count'").groupBy(F.col("time").alias("ts")).agg(F.max("qty").alias("steps"))
+    return samples.filter("metric = 'step_count'").groupBy(*subject_of(samples), F.col("time").alias("ts")).agg(F.max("qty").alias("steps"))
 
 
 def workout_intervals(workouts: DataFrame) -> DataFrame:
     end = F.coalesce(F.col("end_time"), F.timestamp_micros(F.unix_micros("start_time") + (F.col("duration_s") * 1e6).cast("long")))
-    return workouts.select(F.col("start_time").alias("start"), end.alias("end")).dropna()
+    return workouts.select(*subject_of(workouts), F.col("start_time").alias("start"), end.alias("end")).dropna()
 
 
 def cadence_is_fine(steps: DataFrame, most_s: float = 120.0) -> DataFrame:
-    """One row: whether steps come about by the minute (median gap; two rows at least)."""
-    w = Window.partitionBy(F.lit(0)).orderBy("ts")
-    gaps = steps.select(seconds(F.col("ts"), F.lag("ts").over(w)).alias("gap"))
-    return gaps.agg(F.percentile("gap", 0.5).alias("median_gap")).withColumn("fine", F.coalesce(F.col("median_gap") <= most_s, F.lit(False)))
+    """One row (a subject): whether steps come about by the minute (median gap; two rows at least)."""
+    key = subject_of(steps)
+    gaps = steps.select(*key, seconds(F.col("ts"), F.lag("ts").over(within(key).orderBy("ts"))).alias("gap"))
+    return gaps.groupBy(*key).agg(F.percentile("gap", 0.5).alias("median_gap")).withColumn("fine", F.coalesce(F.col("median_gap") <= most_s, F.lit(False)))
 
 
 def state(stress: Column, s: C.Stress) -> Column:
     return F.when(stress < s.low, "rest").when(stress < s.medium, "low").when(stress < s.high, "medium").otherwise("high")
 
 
-def timeline(hr: DataFrame, rest: DataFrame, hrv_z: DataFrame, workouts: DataFrame, steps: DataFrame, zone: str, s: C.Stress, hr_max: float, rest_default: float) -> DataFrame:
+def timeline(hr: DataFrame, rest: DataFrame, hrv_z: DataFrame, workouts: DataFrame, steps: DataFrame, zone: str, s: C.Stress, hr_max: float | Column, rest_default: float | Column) -> DataFrame:
     """(ts, day, stress, hr, state) of each heart-rate bucket: 0 to 100, null and ``active`` in workouts or above the step threshold,
     null and ``unmeasurable`` without a positive reserve. The zone follows the unrounded score; the stored one is rounded half-even.
+    ``hr_max`` and ``rest_default`` are numbers, or columns of ``hr``.
     """
-    df = inside(hr, workouts, "_workout").join(steps, "ts", "left").withColumn("day", local_day(F.col("ts"), zone))
-    df = df.join(rest.select("day", "rest"), "day", "left").join(hrv_z.select("day", "hrv_z"), "day", "left")
+    key = subject_of(hr, rest, hrv_z, workouts, steps)
+    df = inside(hr, workouts, "_workout").join(steps, [*key, "ts"], "left").withColumn("day", local_day(F.col("ts"), zone))
+    df = df.join(rest.select(*key, "day", "rest"), [*key, "day"], "left").join(hrv_z.select(*key, "day", "hrv_z"), [*key, "day"], "left")
     r = F.coalesce("rest", F.lit(rest_default))
     span = F.lit(s.reserve_full) * (F.lit(hr_max) - r)
     mod = clamp(1 - F.lit(s.hrv_weight) * F.coalesce("hrv_z", F.lit(0.0)), 1 - s.hrv_weight, 1 + s.hrv_weight)
     df = df.withColumn("_raw", F.when((F.lit(hr_max) > r) & F.col("bpm").isNotNull(), clamp(100 * clamp((F.col("bpm") - r) / F.nullif(span, F.lit(0.0)), 0.0, 1.0) * mod, 0.0, 100.0)))
     active = F.col("_workout") | F.coalesce(F.col("steps") >= s.steps_per_min, F.lit(False))
     df = df.withColumn("state", F.when(active, "active").when(F.col("_raw").isNull(), "unmeasurable").otherwise(state(F.col("_raw"), s)))
-    return df.select("ts", "day", F.when(active, F.lit(None)).otherwise(F.rint("_raw")).cast("int").alias("stress"), F.col("bpm").alias("hr"), "state")
+    return df.select(*key, "ts", "day", F.when(active, F.lit(None)).otherwise(F.rint("_raw")).cast("int").alias("stress"), F.col("bpm").alias("hr"), "state")
 
 
 def dwell(buckets: DataFrame, *keys: str) -> DataFrame:
-    """``buckets`` with ``dwell`` (minutes to the next, 10 at most; 1 for the last) and ``excess`` (the rest of the gap), within ``keys``."""
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("ts")
-    gap = seconds(F.lead("ts").over(w), F.col("ts")) / 60.0
+    """``buckets`` with ``dwell`` (minutes to the next, 10 at most; 1 for the last) and ``excess`` (the rest of the gap), within ``keys`` and subject."""
+    gap = seconds(F.lead("ts").over(within(subject_of(buckets), *keys).orderBy("ts")), F.col("ts")) / 60.0
     df = buckets.withColumn("_gap", gap)
     return df.withColumns({"dwell": F.when(F.col("_gap").isNull(), F.lit(C.BUCKET_MIN)).otherwise(F.least("_gap", F.lit(C.GAP_CAP_MIN))), "excess": F.greatest(F.coalesce("_gap", F.lit(0.0)) - C.GAP_CAP_MIN, F.lit(0.0))}).drop("_gap")
 
@@ -96,7 +116,7 @@ def daily(buckets: DataFrame) -> DataFrame:
     df = dwell(buckets, "day")
     minutes = lambda name: F.sum(F.when(F.col("state") == name, F.col("dwell")).otherwise(F.lit(0.0)))
     measured = F.sum(F.when(F.col("stress").isNotNull(), F.col("dwell")).otherwise(F.lit(0.0)))
-    g = df.groupBy("day").agg(
+    g = df.groupBy(*subject_of(buckets), "day").agg(
         *[minutes(x).alias(f"{x}_min") for x in ("rest", "low", "medium", "high", "active")], (minutes("unmeasurable") + F.sum("excess")).alias("unmeasurable_min"),
         measured.alias("measured_min"), F.try_divide(F.sum(F.col("stress") * F.col("dwell")), measured).alias("score"),
     )
@@ -106,16 +126,22 @@ def daily(buckets: DataFrame) -> DataFrame:
 def stored_daily(days: DataFrame, s: C.Stress) -> DataFrame:
     """As stored: measured long enough, score to one decimal, whole minutes."""
     keep = days.filter((F.col("measured_min") >= s.min_measured) & F.col("score").isNotNull())
-    return keep.select("day", F.bround("score", 1).alias("score"), *[F.rint(c).cast("int").alias(c) for c in days.columns if c.endswith("_min") and c != "measured_min"])
+    return keep.select(*subject_of(days), "day", F.bround("score", 1).alias("score"), *[F.rint(c).cast("int").alias(c) for c in days.columns if c.endswith("_min") and c != "measured_min"])
 
 
 def recent(days: DataFrame, n: int) -> DataFrame:
     """The last n days before the newest stored day, both ends in."""
-    last = days.agg(F.max("day").alias("_last"))
-    return days.crossJoin(F.broadcast(last)).filter(F.col("day") >= F.date_sub("_last", n)).drop("_last")
+    key = subject_of(days)
+    last = days.groupBy(*key).agg(F.max("day").alias("_last"))
+    return (days.join(last, key) if key else days.crossJoin(F.broadcast(last))).filter(F.col("day") >= F.date_sub("_last", n)).drop("_last")
 
 
-def window_bounds(hr: DataFrame, zone: str, days: int) -> DataFrame:
-    """One row (start, end): local midnight ``days`` - 1 days before the newest sample's day, to a second after it."""
-    newest = hr.agg(F.max("ts").alias("m"))
-    return newest.select(F.to_utc_timestamp(F.date_sub(local_day(F.col("m"), zone), days - 1).cast("timestamp"), zone).alias("start"), (F.col("m") + F.expr("interval 1 second")).alias("end"))
+def window_bounds(hr: DataFrame, zone: str, days: int | None) -> DataFrame:
+    """One row (a subject) of (start, end, first_day): local midnight ``days`` - 1 days before the newest sample's day, to a second after it.
+    Without ``days``, from the oldest sample on.
+    """
+    key = subject_of(hr)
+    span = hr.groupBy(*key).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).filter("hi is not null")
+    first = local_day(F.col("lo"), zone) if days is None else F.date_sub(local_day(F.col("hi"), zone), days - 1)
+    start = F.col("lo") if days is None else F.to_utc_timestamp(first.cast("timestamp"), zone)
+    return span.select(*key, start.alias("start"), (F.col("hi") + F.expr("interval 1 second")).alias("end"), first.alias("first_day"))

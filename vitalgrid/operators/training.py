@@ -79,16 +79,22 @@ def resolve_hr_max(profile: C.Profile, observed: Column, as_of_year: int | None
 
 def rolling_rest(resting: DataFrame) -> DataFrame:
     """(day, rest): 28-day median on the dense grid where seven values are there, else null."""
-    grid = dense(resting.withColumn("series", F.lit("rest")), ["series"])
+    return rolling_rest_of(resting.withColumn("series", F.lit("rest"))).select("day", "rest")
+
+
+def rolling_rest_of(resting: DataFrame) -> DataFrame:
+    """The same of each ``series``: (series, day, rest)."""
+    grid = dense(resting.select("series", "day", "value"), ["series"])
     w = Window.partitionBy("series").orderBy("day").rowsBetween(1 - C.REST_WINDOW, 0)
-    return grid.select("day", F.when(F.count("value").over(w) >= C.REST_MIN, F.percentile("value", 0.5).over(w)).alias("rest"))
+    return grid.select("series", "day", F.when(F.count("value").over(w) >= C.REST_MIN, F.percentile("value", 0.5).over(w)).alias("rest"))
 
 
 def load_by_group(workouts: DataFrame, groups: DataFrame, zone: str) -> DataFrame:
     """Hours, distance and sessions by week and display group."""
     df = workouts.filter("start_time is not null").join(F.broadcast(groups), "canonical_type", "left").withColumn("display_group", F.coalesce("display_group", F.lit("Other")))
     week = F.to_date(F.date_trunc("week", local_day(F.col("start_time"), zone)))
-    return df.groupBy(week.alias("week"), "display_group").agg(F.sum(F.col("duration_s") / 3600.0).alias("hours"), F.count(F.lit(1)).alias("sessions"))
+    far = [F.sum("distance_km").alias("distance_km")] if "distance_km" in workouts.columns else []
+    return df.groupBy(week.alias("week"), "display_group").agg(F.sum(F.col("duration_s") / 3600.0).alias("hours"), *far, F.count(F.lit(1)).alias("sessions"))
 
 
 def load_focus(workouts: DataFrame, hr: DataFrame, zone: str, hr_max: float) -> DataFrame:
@@ -129,15 +135,15 @@ def smoothed(loads: DataFrame) -> DataFrame:
     return loads.select("series", "day", "value").groupBy("series").applyInPandas(walk, "series string, day date, value double, ctl double, atl double")
 
 
-def training_status(path: DataFrame) -> DataFrame:
+def training_status(path: DataFrame, c: C.Load = C.Load()) -> DataFrame:
     """(series, day, ctl, atl, tsb, tsb_pct, zone, ctl_ago, ctl_trend) at each series' last day, from 42 days of positive chronic load on."""
     w = Window.partitionBy("series").orderBy(F.desc("day"))
     df = path.withColumns({"_rn": F.row_number().over(w), "_n": F.count(F.lit(1)).over(Window.partitionBy("series")), "ctl_ago": F.lead("ctl", C.CTL_LOOKBACK).over(w)})
     df = df.filter(F.col("_rn") == 1).filter((F.col("_n") >= C.CTL_TAU) & (F.col("ctl") > 0))
     df = df.withColumns({"tsb": F.col("ctl") - F.col("atl"), "tsb_pct": (F.col("ctl") - F.col("atl")) / F.col("ctl")})
-    p, rel = F.col("tsb_pct"), (F.col("ctl") - F.col("ctl_ago")) / F.col("ctl_ago")
-    zone = F.when(p >= 0.15, "detraining").when(p >= 0.05, "fresh").when(p > -0.05, "neutral").when(p > -0.30, "optimal").otherwise("overreaching")
-    trend = F.when(F.col("ctl_ago").isNull(), F.lit(None)).when(F.col("ctl_ago") <= 0, F.when(F.col("ctl") > 0, "rising").otherwise("steady")).when(rel > C.CTL_REL, "rising").when(rel < -C.CTL_REL, "falling").otherwise("steady")
+    p, rel = F.col("tsb_pct"), F.try_divide("ctl", "ctl_ago") - 1.0
+    zone = F.when(p >= c.detraining, "detraining").when(p >= c.fresh, "fresh").when(p > -c.fresh, "neutral").when(p > c.overreach, "productive").otherwise("overreaching_risk")
+    trend = F.when(F.col("ctl_ago").isNull(), F.lit(None)).when(F.col("ctl_ago") <= 0, F.when(F.col("ctl") > 0, "rising").otherwise("flat")).when(rel >= C.CTL_REL, "rising").when(rel <= -C.CTL_REL, "falling").otherwise("flat")
     return df.select("series", "day", "ctl", "atl", "tsb", "tsb_pct", zone.alias("zone"), "ctl_ago", trend.alias("ctl_trend"))
 
 

@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 from vitalgrid import config as C
 from vitalgrid.functions.clock import dense
 from vitalgrid.functions.text import slug, with_canonical_type
-from vitalgrid.operators import audit, correlation, daily, decompose, energy, findings, robust, sleep, stress, training
+from vitalgrid.operators import audit, correlation, daily, decompose, energy, findings, passes, robust, series, sleep, stress, training
 from vitalgrid.plans.fixtures import HR_MAX, ZONE, Tables
 from vitalgrid.schema import NAMES, groups
 from vitalgrid.sources import merge, payload
 
+#: Names whose domains metric_domains shows.
+DOMAIN_NAMES = [
+    "sleep_total_h", "respiratory_rate", "heart_rate_variability", "cardio_recovery", "heart_rate", "resting_heart_rate", "walking_heart_rate_average", "vo2_max", "apple_sleeping_wrist_temperature", "weight_body_mass",
+    "blood_oxygen_saturation", "body_temperature", "breathing_disturbances", "physical_effort", "time_in_daylight", "step_count", "active_energy", "workout_trimp", "workout_intensity", "workout_duration_h_running", "workouts", "environmental_audio_exposure",
+]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -44,12 +49,12 @@ def daily_by_registry(t):
 
 @query
 def dense_grid(t):
-    return _round(daily.gaps_as_null(_series(t).filter(F.dayofmonth("day") % 3 != 0)))
+    return _round(daily.gaps_as_null(_series(t)))
 
 
 @query
 def zero_fill(t):
-    return _round(daily.gaps_as_zero(_series(t).filter(F.dayofmonth("day") % 3 != 0)))
+    return _round(daily.gaps_as_zero(_series(t)))
 
 
 @query
@@ -187,8 +192,9 @@ def collapse_sleep(t):
 @query
 def hash_dedup(t):
     docs = t.raw("documents").select("doc_id", "text")
+    """The archive's hashes after two batches, the second of which holds repeats of the first."""
     seen = merge.unseen(docs.filter("doc_id % 2 = 0").select("text"), t.spark.createDataFrame([], "content_hash string"), "text").select("content_hash")
-    return merge.unseen(docs.filter("doc_id % 2 = 1").select("text"), seen, "text").select("content_hash")
+    return seen.unionByName(merge.unseen(docs.filter("doc_id % 2 <> 0").select("text"), seen, "text").select("content_hash"))
 
 
 @query
@@ -501,3 +507,38 @@ def projected_decay(t):
     ahead = now.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(30))))
     fall = lambda c, tau: F.col(c) * F.pow(F.lit(1 - 1 / tau), F.col("k"))
     return _round(ahead.select("series", "k", fall("ctl", C.CTL_TAU).alias("ctl"), fall("atl", C.ATL_TAU).alias("atl")), 3)
+
+
+@query
+def metric_domains(t):
+    """The domain, and whether it counts as activity volume, of every registered metric and some series made of workouts."""
+    names = t.spark.createDataFrame([(n,) for n in DOMAIN_NAMES], "series string")
+    return names.select("series", correlation.domain(F.col("series")).alias("domain"), correlation.is_volume(F.col("series")).alias("volume"))
+
+
+def _pass(t, subjects=None, since_days=None):
+    c = C.Config(zone=ZONE)
+    buckets, days = passes.stress_pass(t.vital_samples(subjects), t.vital_workouts(subjects), c, since_days)
+    return c, buckets, days
+
+
+@query
+def stress_pass(t):
+    return _round(_pass(t)[2])
+
+
+@query
+def stress_pass_by_subject(t):
+    return _round(_pass(t, subjects=3)[2])
+
+
+@query
+def energy_pass(t):
+    c, buckets, _ = _pass(t)
+    return passes.energy_pass(buckets, t.vital_sleep(), c)[1]
+
+
+@query
+def workout_series(t):
+    """Load series of all sessions and of each type, zero on rest days; intensity keeps its gaps."""
+    return _round(series.workouts(_workout_daily(t), _workout_daily(t, ["canonical_type"])))

@@ -94,3 +94,24 @@ class Tables:
         m = F.concat(F.lit('{"name":"'), F.col("event_type"), F.lit('","units":"count","data":['), point, F.lit("]}"))
         g = e.groupBy("user_id", F.to_date("ts").alias("d")).agg(F.array_join(F.array_sort(F.collect_list(m)), ",").alias("m"))
         return g.select(F.concat(F.col("user_id").cast("string"), F.lit(" "), F.col("d").cast("string")).alias("seq"), F.concat(F.lit('{"data":{"metrics":['), F.col("m"), F.lit('],"workouts":[]}}')).alias("body"))
+
+    def vital_samples(self, subjects: int | None = None) -> DataFrame:
+        """Metric rows of heart rate, resting rate, variability and steps out of the events; of several subjects if asked."""
+        e, v = self.raw("events"), F.col("value")
+        kinds = {"view": "heart_rate", "purchase": "resting_heart_rate", "signup": "heart_rate_variability", "click": "step_count"}
+        metric = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[F.col("event_type")]
+        who = [(F.col("user_id") % subjects).alias("subject")] if subjects else []
+        qty = F.when(F.col("event_type") == "view", 50 + F.least(v, F.lit(140.0))).when(F.col("event_type") == "purchase", 45 + v % 20).otherwise(v)
+        none = F.lit(None).cast("double")
+        return e.select(*who, utc(F.col("ts")).alias("time"), metric.alias("metric"), F.lit("").alias("source"), F.lit("").alias("unit"), qty.alias("qty"), none.alias("vmin"), none.alias("vavg"), none.alias("vmax")).filter("metric is not null")
+
+    def vital_workouts(self, subjects: int | None = None) -> DataFrame:
+        """Ten minutes of exercise from each purchase."""
+        p = self.raw("events").filter("event_type = 'purchase'")
+        who = [(F.col("user_id") % subjects).alias("subject")] if subjects else []
+        return p.select(*who, utc(F.col("ts")).alias("start_time"), F.lit(None).cast("timestamp").alias("end_time"), F.lit(600.0).alias("duration_s"))
+
+    def vital_sleep(self, subjects: int | None = None) -> DataFrame:
+        e = self.raw("events").filter("event_type = 'signup'")
+        who = [(F.col("user_id") % subjects).alias("subject")] if subjects else []
+        return e.select(*who, utc(F.col("ts")).alias("start"), (utc(F.col("ts")) + F.expr("interval 40 minutes")).alias("end"), ((F.col("user_id") % 4 + 1) / 4.0).alias("efficiency"))

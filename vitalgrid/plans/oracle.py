@@ -24,7 +24,7 @@ DAILY = f"""daily as (select {_day('time')} as day, metric, avg(coalesce(vavg, q
 SERIES = """series as (select metric as series, day, case agg when 'sum' then sum when 'avg' then avg when 'min' then min when 'max' then max end as value from daily join registry using (metric)),
   observed as (select * from series where value is not null)"""
 BASE = f"with {REGISTRY}, {SAMPLES}, {DAILY}, {SERIES}"
-GRID = """thin as (select * from observed where day(day) % 3 <> 0),
+GRID = """thin as (select * from observed),
   grid as (select series, unnest(generate_series(min(day), max(day), interval 1 day))::date as day from thin group by series)"""
 SLEEP = """sleep as (select event_id as id, ts - interval 8 hour as sleep_start, date_trunc('hour', ts) as sleep_end, ts - interval 9 hour as in_bed_start, case when event_id % 2 = 0 then date_trunc('hour', ts) end as in_bed_end,
   cast(user_id % 3 as varchar) as source, ts::date as sleep_date, value / 10 as total_sleep_h, value / 50 as deep_h, value / 40 as rem_h, value / 10 * 0.9 as asleep_h, value / 10 * 0.1 as awake_h,
@@ -154,7 +154,7 @@ ORACLE_SQL = {
     "last_wins": f"with {WORKOUTS}, {HR} select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity from line",
     "best_wins_sleep": f"with {SLEEP} select id, sleep_end, source, round(total_sleep_h, 4) as total_sleep_h from sleep qualify row_number() over (partition by sleep_end, source order by coalesce(total_sleep_h, -1) desc, id) = 1",
     "collapse_sleep": f"with {SLEEP} select id, sleep_end, source from sleep qualify row_number() over (partition by sleep_end, source order by total_sleep_h desc nulls last, sleep_start asc nulls last, id) = 1",
-    "hash_dedup": "select distinct sha256(text) as content_hash from documents where doc_id % 2 = 1 and sha256(text) not in (select sha256(text) from documents where doc_id % 2 = 0)",
+    "hash_dedup": "select distinct sha256(text) as content_hash from documents",
     "anti_register": f"with {REGISTRY} select distinct event_type as metric, 'count' as unit, 'sum' as agg, null::varchar as category, 'secondary' as tier from events where event_type not in (select metric from registry where agg = 'sum')",
     "upsert_samples": f"""with {HALVES}, u as (select *, 0 as age from stored union all select *, 1 from fresh)
       select time, metric, round(value, 4) as value, seq from u qualify row_number() over (partition by metric, time order by age desc, seq desc) = 1""",
@@ -176,8 +176,8 @@ ORACLE_SQL = {
     "ewma_status": f"""with recursive {EWMA}, r as (select *, row_number() over (partition by series order by day desc) as rn, count(*) over (partition by series) as n, lead(ctl, 28) over (partition by series order by day desc) as ctl_ago from ew),
       s as (select *, (ctl - atl) / ctl as p from r where rn = 1 and n >= 42 and ctl > 0)
       select series, day, round(ctl, 3) as ctl, round(atl, 3) as atl, round(ctl - atl, 3) as tsb, round(p, 3) as tsb_pct,
-        case when p >= 0.15 then 'detraining' when p >= 0.05 then 'fresh' when p > -0.05 then 'neutral' when p > -0.30 then 'optimal' else 'overreaching' end as zone, round(ctl_ago, 3) as ctl_ago,
-        case when ctl_ago is null then null when ctl_ago <= 0 then 'rising' when (ctl - ctl_ago) / ctl_ago > 0.05 then 'rising' when (ctl - ctl_ago) / ctl_ago < -0.05 then 'falling' else 'steady' end as ctl_trend from s""",
+        case when p >= 0.15 then 'detraining' when p >= 0.05 then 'fresh' when p > -0.05 then 'neutral' when p > -0.30 then 'productive' else 'overreaching_risk' end as zone, round(ctl_ago, 3) as ctl_ago,
+        case when ctl_ago is null then null when ctl_ago <= 0 then 'rising' when ctl / ctl_ago - 1 >= 0.05 then 'rising' when ctl / ctl_ago - 1 <= -0.05 then 'falling' else 'flat' end as ctl_trend from s""",
     "active_days": f"with {LOADS}, k as (select * from loads qualify row_number() over (partition by series order by day desc) <= 28) select series, count(*) filter (value > 0) as active_days from k group by 1",
     "robust_z": f"with {ZSCORE} select series, day, round(value, 4) as value, round(z, 4) as z from zs",
     "anomalies": f"with {ZSCORE}, {GLOBAL} select zs.series, zs.day, round(zs.value, 4) as value, round(z, 4) as z, round(global_z, 4) as global_z from zs join gz on zs.series = gz.series and zs.day = gz.day where abs(z) > 2.5",
@@ -186,7 +186,7 @@ ORACLE_SQL = {
       where a.series = '1-URGENT' and b.series = '2-HIGH' and a.z >= 0.8 and b.z <= -0.8""",
     "spearman_lags": f"with {LAGS} select a, b, lag, round(coef, 6) as coef, n, window_start, window_end from sp",
     "corr_best_lag": f"""with {LAGS} select a, b, lag, round(coef, 6) as coef, n, window_start, window_end from sp qualify row_number() over (partition by least(a, b), greatest(a, b) order by abs(round(coef, 6)) desc, lag, a) = 1""",
-    "bh_fdr": """with c as (select distinct o_orderkey as a, (o_orderkey * 7919 % 100003 + 1) / 100004.0 as p from orders where o_orderkey % 50 = 7),
+    "bh_fdr": """with c as (select distinct o_orderkey as a, (o_orderkey * 7919 % 100003 + 1) / 100004.0 as p from orders),
       r as (select *, row_number() over (order by p, a) as rn, count(*) over () as m from c)
       select a, round(p, 6)::double as p_value, round(least(1, min(p * m / rn) over (order by rn desc rows unbounded preceding)), 6)::double as p_adj from r""",
     "trend_slope": f"with {ORDERS} select series, round(regr_slope(value, epoch(day) / 86400), 4) as slope_per_day from o_series group by 1",
@@ -237,4 +237,10 @@ ORACLE_SQL = {
       select a, b, lag, da, db, tier, round(10 * tier + abs(coef) + 0.05 * least(lag, 3), 5)::double as priority from t""",
     "projected_decay": f"""with recursive {EWMA}, l as (select * from ew qualify row_number() over (partition by series order by day desc) = 1)
       select series, k::int as k, round(ctl * pow(1 - 1 / 42.0, k), 3) as ctl, round(atl * pow(1 - 1 / 7.0, k), 3) as atl from l, (select unnest(range(1, 31)) as k)""",
+    "metric_domains": """with n(series, domain, volume) as (values
+        ('sleep_total_h', 'sleep', false), ('respiratory_rate', 'autonomic', false), ('heart_rate_variability', 'autonomic', false), ('cardio_recovery', 'autonomic', false),
+        ('heart_rate', 'hr_rate', false), ('resting_heart_rate', 'hr_rate', false), ('walking_heart_rate_average', 'hr_rate', false),
+        ('vo2_max', 'vital', false), ('apple_sleeping_wrist_temperature', 'vital', false), ('weight_body_mass', 'vital', false), ('blood_oxygen_saturation', 'vital', false), ('body_temperature', 'vital', false), ('breathing_disturbances', 'vital', false),
+        ('physical_effort', 'activity', false), ('time_in_daylight', 'env', false), ('step_count', 'activity', true), ('active_energy', 'activity', true),
+        ('workout_trimp', 'activity', true), ('workout_intensity', 'activity', true), ('workout_duration_h_running', 'activity', true), ('workouts', 'other', false), ('environmental_audio_exposure', 'other', false)) select * from n""",
 }

@@ -39,13 +39,13 @@ def metric_points(bodies: DataFrame, body: str = "body") -> DataFrame:
 
 
 def samples(points: DataFrame) -> DataFrame:
-    """Metric rows from points: min/avg/max where such a key is present, even if null, else qty. Bad times go; bounds are not yet applied."""
+    """Metric rows from points, a point's own unit before its metric's: min/avg/max where such a key is present, even if null, else qty. Bad times go; bounds are not yet applied."""
     keys = F.json_object_keys("point")
     ranged = F.arrays_overlap(keys, F.array(F.lit("Min"), F.lit("Avg"), F.lit("Max")))
     value = lambda k, on: F.when(on, _get("point", k, "double"))
     return points.filter("name <> 'sleep_analysis'").select(
         *[c for c in points.columns if c not in ("name", "units", "point")],
-        parse_instant(_get("point", "date")).alias("time"), F.col("name").alias("metric"), F.coalesce(_get("point", "source"), F.lit("")).alias("source"), F.col("units").alias("unit"),
+        parse_instant(_get("point", "date")).alias("time"), F.col("name").alias("metric"), F.coalesce(_get("point", "source"), F.lit("")).alias("source"), F.coalesce(F.nullif(_get("point", "units"), F.lit("")), "units").alias("unit"),
         value("qty", ~ranged).alias("qty"), value("Min", ranged).alias("vmin"), value("Avg", ranged).alias("vavg"), value("Max", ranged).alias("vmax"),
     ).filter("time is not null")
 
@@ -109,17 +109,26 @@ def workouts(bodies: DataFrame, body: str = "body", type_map: dict[str, str] | N
     return with_canonical_type(rows, type_map), w.filter(~good).select("hae_id", "name")
 
 
+def _origin(sessions: DataFrame) -> list[str]:
+    return [c for c in ("_path", "pos") if c in sessions.columns]
+
+
+def _seq(points: DataFrame) -> Column:
+    """Where a point stood: file, session, place. Of two points with one key the later one counts, in every run."""
+    return F.struct(*_origin(points), "at").alias("seq")
+
+
 def hr_samples(sessions: DataFrame) -> DataFrame:
     """(workout, ts, bpm): the average if there, else the quantity; both time and value are needed."""
-    p = sessions.select("hae_id", F.explode(_array(F.get_json_object("w", "$.heartRateData"))).alias("p"))
+    p = sessions.select("hae_id", *_origin(sessions), F.posexplode(_array(F.get_json_object("w", "$.heartRateData"))).alias("at", "p"))
     bpm = F.coalesce(_get("p", "Avg", "double"), _get("p", "qty", "double"))
-    return p.select(F.col("hae_id").alias("workout_hae_id"), parse_instant(_get("p", "date")).alias("ts"), bpm.alias("bpm")).dropna()
+    return p.select(F.col("hae_id").alias("workout_hae_id"), parse_instant(_get("p", "date")).alias("ts"), bpm.alias("bpm"), _seq(p)).dropna(subset=["ts", "bpm"])
 
 
 def route_points(sessions: DataFrame) -> DataFrame:
-    p = sessions.select("hae_id", F.explode(_array(F.get_json_object("w", "$.route"))).alias("p"))
+    p = sessions.select("hae_id", *_origin(sessions), F.posexplode(_array(F.get_json_object("w", "$.route"))).alias("at", "p"))
     first = lambda a, b: F.coalesce(_get("p", a, "double"), _get("p", b, "double"))
-    rows = p.select(F.col("hae_id").alias("workout_hae_id"), parse_instant(_get("p", "timestamp")).alias("ts"), first("latitude", "lat").alias("lat"), first("longitude", "lon").alias("lon"), _get("p", "altitude", "double").alias("altitude_m"), _get("p", "speed", "double").alias("speed_mps"))
+    rows = p.select(F.col("hae_id").alias("workout_hae_id"), parse_instant(_get("p", "timestamp")).alias("ts"), first("latitude", "lat").alias("lat"), first("longitude", "lon").alias("lon"), _get("p", "altitude", "double").alias("altitude_m"), _get("p", "speed", "double").alias("speed_mps"), _seq(p))
     return rows.dropna(subset=["ts", "lat", "lon"])
 
 

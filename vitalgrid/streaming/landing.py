@@ -83,7 +83,7 @@ def ingest(store: Store, bodies: DataFrame, type_map: dict[str, str] | None = No
         order = F.struct(F.col("_path"), F.col("pos").alias("pos"))
         store.upsert("workouts", sessions.withColumn("seq", order).drop("w", "pos", "_path"))
         for name, part in (("workout_hr_samples", payload.hr_samples(sessions)), ("workout_route_points", payload.route_points(sessions))):
-            store.upsert(name, part.withColumn("seq", F.struct("ts")))
+            store.upsert(name, part)
         store.replace("metric_registry", known.unionByName(stubs))
         done = fresh.withColumn("received_at", F.current_timestamp())
         store.replace("raw_ingest", done if archive is None else archive.unionByName(done))
@@ -102,6 +102,6 @@ def stream(spark: SparkSession, landing: str, store: Store, checkpoint: str, mos
 def rederive_hr(store: Store) -> int:
     """Heart-rate samples out of all archived bodies again, for fields that came to be read later; the number of samples stored."""
     archive = store.read("raw_ingest")
-    sessions, _ = payload.workouts(archive.select("body"))
-    store.upsert("workout_hr_samples", payload.hr_samples(sessions).withColumn("seq", F.struct("ts")))
+    sessions, _ = payload.workouts(archive.select(F.col("path").alias("_path"), "body"))
+    store.upsert("workout_hr_samples", payload.hr_samples(sessions))
     return store.read("workout_hr_samples").count()
