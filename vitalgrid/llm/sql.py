@@ -12,7 +12,7 @@ _LOW = lambda c: f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmno
 def quality(source: str = "documents") -> str:
     """Every column of ``source`` with the measures, base_failed and kept."""
     stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
-    failed = " or ".join(r.sql() for r in RULES).replace("cast(", "cast(")
+    failed = " or ".join(r.sql() for r in RULES)
     return f"""
     with q_words as (select doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') as w, coalesce(text, '') as t from {source}),
     q_gram as (select doc_id, unnest(range(1, len(w) - 3)) as p, w from q_words where len(w) > 5),
@@ -75,7 +75,36 @@ select page_id, payload_bytes, p.payload_digest, case when first is not null and
   case when first is not null and first <> page_id then first end as refers_to
 from p left join f on p.payload_digest = f.payload_digest and payload_bytes >= 100"""
 
+OP1 = """
+with d as (select doc_id, encode(coalesce(text, '')) as b from documents),
+s as (select doc_id, p, b[p:p + 49] as g from (select doc_id, b, unnest(range(1, octet_length(b) - 48)) as p from d)),
+f as (select g, min(doc_id) as first from s group by g),
+w as (select doc_id, p, case when p - lag(p) over (partition by doc_id order by p) <= 50 then 0 else 1 end as fresh from s join f using (g) where first < doc_id),
+n as (select doc_id, p, sum(fresh) over (partition by doc_id order by p) as run from w),
+r as (select doc_id, run, min(p) as a, max(p) + 49 as z from n group by doc_id, run),
+k as (select doc_id, coalesce(lag(z) over (partition by doc_id order by a), 0) + 1 as x, a - 1 as y from r
+  union all select d.doc_id, coalesce(max(z), 0) + 1, any_value(octet_length(b)) from d left join r on d.doc_id = r.doc_id group by d.doc_id),
+t as (select k.doc_id, unhex(coalesce(string_agg(hex(b[x:y]), '' order by x) filter (y >= x), '')) as kept from k join d on k.doc_id = d.doc_id group by k.doc_id),
+c as (select doc_id, sum(z - a + 1)::bigint as n_removed, count(*)::bigint as n_spans from r group by doc_id)
+select d.doc_id, octet_length(b)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(kept) as kept_sha256
+from d join t on d.doc_id = t.doc_id left join c on d.doc_id = c.doc_id"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+OP9 = f"""
+with d as (select doc_id, regexp_extract_all({_LOW("coalesce(text, '')")}, '{_TERM}') as w from documents),
+i as (select item_id, regexp_extract_all({_LOW("coalesce(text, '')")}, '{_TERM}') as w from benchmark),
+x as (select item_id, n, array_to_string(list_slice(w, p, p + n - 1), ' ') as g from (select item_id, w, least(10, len(w)) as n, unnest(range(1, len(w) - least(10, len(w)) + 2)) as p from i where len(w) > 0)),
+m as (select distinct n from x),
+y as (select doc_id, n, p, array_to_string(list_slice(w, p, p + n - 1), ' ') as g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as p from d cross join m where len(w) >= n)),
+h as (select distinct doc_id, p, y.n as n, item_id from y join x on y.n = x.n and y.g = x.g),
+c as (select doc_id, count(distinct q)::bigint as n_hit from (select doc_id, unnest(range(p, p + n)) as q from h) group by doc_id),
+o as (select doc_id, count(*)::bigint as n_items, string_agg(item_id, ',' order by item_id) as items from (select distinct doc_id, item_id::varchar as item_id from h) group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join c on d.doc_id = c.doc_id left join o on d.doc_id = o.doc_id"""
+
 ORACLE_SQL = {
+    "op1_suffix_dedup": OP1,
+    "op9_decontaminate": OP9,
     "op2_jaccard_join": components(),
     "op3_url_filter": OP3,
     "op5_warc": OP5,
