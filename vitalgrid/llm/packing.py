@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import os
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +20,13 @@ CAPACITY = 2048
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # fixed value: the vocabulary file's own pre-tokenizer
 
 
+def _little(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Encoder:
     """Little-endian 32-bit ids of a text by a word-level vocabulary file, with white-space-delimited chunks kept in a bounded cache.
 
@@ -30,7 +40,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model, self.split, self.most = self.whole.model, regex.compile(SPLIT).findall, most
+        self.model, self.split, self.most = self.whole.model.tokenize, regex.compile(SPLIT).findall, most
         self.plain = regex.compile("[!-~\u00a1-\u012f\u0131-\u024f]*").fullmatch  # no space or control; lower case as in any library
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         hidden = iter(range(256, 512))
@@ -38,13 +48,17 @@ class Encoder:
         self.cache, self.pieces = _Lazy(self._chunk), _Lazy(self._piece)
 
     def _piece(self, piece: str) -> bytes:
-        text = piece if piece.isascii() else "".join(self.shown[b] for b in piece.encode())
-        return np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
+        text = piece if piece.isascii() else "".join(map(self.shown.__getitem__, piece.encode()))
+        return _little([t.id for t in self.model(text)])
 
     def _chunk(self, chunk: str) -> bytes:
+        if chunk.isalpha() and (chunk.isascii() or self.plain(chunk)):  # the common cases, without a search for pieces
+            return self.pieces[chunk.lower()]
         if "<|" not in chunk and self.plain(chunk):
+            if chunk[:-1].isalpha() and not chunk[-1].isalnum():
+                return self.pieces[chunk[:-1].lower()] + self.pieces[chunk[-1]]
             return b"".join(map(self.pieces.__getitem__, self.split(chunk.lower())))
-        return np.array(self.whole.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        return _little(self.whole.encode(chunk, add_special_tokens=False).ids)
 
     def __call__(self, text: str) -> bytes:
         for c in "\t\n\x0b\x0c\r":
@@ -69,6 +83,12 @@ class _Lazy(dict):
         return value
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder a Python worker: Spark keeps its workers from task to task, and so the file is read and the caches are filled once."""
+    return Encoder(path)
+
+
 def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, keep_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces of at most ``capacity`` tokens: doc_id, piece, start, length, ids_crc32 (and ``ids`` as little-endian bytes where asked for).
 
@@ -77,7 +97,7 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int =
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
 
     def cut(batches):
-        encode = Encoder(path)
+        encode = encoder(path)
         tail = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = [[] for _ in range(6)]
