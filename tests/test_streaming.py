@@ -26,7 +26,38 @@ def test_landing_folder_is_idempotent(spark, tmp_path):
     assert (counts["new"], counts["implausible"], counts["dropped_workouts"]) == (1, 1, 1)
     assert store.read("metric_samples").filter("metric = 'heart_rate'").first().vavg == 63 and store.read("metric_samples").count() == 3
     assert store.read("metric_registry").filter("metric = 'brand_new' and tier = 'secondary' and agg = 'sum'").count() == 1
-    assert landing.rederive_hr(store) == 2
+    assert landing.rederive_hr(store, dry_run=True) == landing.rederive_hr(store) == 2
+
+
+def test_dry_run_stores_nothing(spark, tmp_path):
+    store = landing.Store(spark, str(tmp_path / "store"))
+    bodies = spark.createDataFrame([("a", json.dumps(BODY)), ("b", "{")], "path string, body string")
+    dry = landing.ingest(store, bodies, dry_run=True)
+    assert store.read("raw_ingest") is None and store.read("metric_samples") is None and landing.rederive_hr(store) == 0
+    assert dry == landing.ingest(store, bodies) and (dry["files"], dry["bad"], dry["new"]) == (2, 1, 1)
+
+
+def _points(spark, *rows):
+    return spark.createDataFrame(rows, "metric string, time string, source string, qty double, seq int").withColumn("time", F.col("time").cast("timestamp"))
+
+
+def test_a_merge_writes_the_days_it_touches(spark, tmp_path):
+    store = landing.Store(spark, str(tmp_path))
+    store.upsert("metric_samples", _points(spark).limit(0))
+    assert store.read("metric_samples").count() == 0
+    days = ["2024-01-01 23:59:59", "2024-01-02 00:00:00", "1969-12-31 23:00:00"]
+    store.upsert("metric_samples", _points(spark, *[("m", d, "", 1.0, 1) for d in days]))
+    before = store._days("metric_samples", store._versions("metric_samples"))
+    store.upsert("metric_samples", _points(spark, ("m", days[1], "", 2.0, 1), ("m", days[1], "", 3.0, 2), ("m", "2024-01-03 10:00:00", "", 4.0, 1)))
+    after = store._days("metric_samples", store._versions("metric_samples"))
+    assert {d for d in after if before.get(d) != after[d]} == {"utc_day=2024-01-02", "utc_day=2024-01-03"}
+    got = sorted((str(r.time), r.qty) for r in store.read("metric_samples").collect())
+    assert got == sorted([(days[0], 1.0), (days[1], 3.0), (days[2], 1.0), ("2024-01-03 10:00:00", 4.0)])
+    for n in range(4):  # the state before the last stays readable, older ones go
+        old = store.read("metric_samples")
+        store.upsert("metric_samples", _points(spark, ("m", days[1], "", 10.0 + n, 1)))
+        assert old.filter(F.col("time") == F.lit(days[1]).cast("timestamp")).first().qty == (3.0 if n == 0 else 9.0 + n)
+    assert len(store._versions("metric_samples")) <= 4 and store.read("metric_samples").count() == 4
 
 
 def test_report_has_sections_in_order(spark, tmp_path):

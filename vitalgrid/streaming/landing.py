@@ -16,36 +16,70 @@ KEYS = {
 }
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+#: Tables of points in time, kept by the UTC day of this column; the same key always falls on the same day.
+BY_DAY = {"metric_samples": "time", "workout_hr_samples": "ts", "workout_route_points": "ts"}
+#: Tables that only grow.
+APPENDED = {"raw_ingest"}
 
 
 class Store:
-    """Versioned Parquet tables under one folder: a merge writes the next version, then names it current, so readers see old or new, never half."""
+    """Parquet tables under one folder as numbered versions; a version counts once it is whole, so readers see old or new, never half.
+
+    A version of most tables is the table. A version of a table of ``BY_DAY`` holds the days its merge touched, and each day is read from the
+    newest version that has it: a merge reads and writes the touched days only, however large the table. Of ``APPENDED`` tables all versions
+    are read. What neither the newest nor the last state needs is deleted.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _versions(self, name: str) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(p):
-            return []
-        found = [s.getPath() for s in fs.listStatus(p)]
-        return sorted(int(x.getName()[1:]) for x in found if x.getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS")))
+    def _at(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _inside(self, path: str) -> list[str]:
+        p, fs = self._at(path)
+        return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+    def _delete(self, path: str) -> None:
+        p, fs = self._at(path)
+        fs.delete(p, True)
+
+    def _versions(self, name: str) -> dict[int, list[str]]:
+        """What is in each whole version, oldest first."""
+        folders = [x for x in self._inside(f"{self.root}/{name}") if x[:1] == "v" and x[1:].isdigit()]
+        found = {int(x[1:]): self._inside(f"{self.root}/{name}/{x}") for x in folders}
+        return {v: found[v] for v in sorted(found) if "_SUCCESS" in found[v]}
+
+    def _days(self, name: str, versions: dict[int, list[str]]) -> dict[str, str]:
+        """The folder of each day in the newest version that has it."""
+        return {d: f"{self.root}/{name}/v{v}/{d}" for v, inside in versions.items() for d in inside if d.startswith("utc_day=")}
+
+    def _read_days(self, name: str, days: list[str]) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{name}/empty", *days)
 
     def read(self, name: str) -> DataFrame | None:
-        v = self._versions(name)
-        return self.spark.read.parquet(f"{self.root}/{name}/v{v[-1]}") if v else None
+        versions = self._versions(name)
+        if not versions:
+            return None
+        if name in BY_DAY:
+            return self._read_days(name, sorted(self._days(name, versions).values()))
+        return self.spark.read.parquet(*[f"{self.root}/{name}/v{v}" for v in (versions if name in APPENDED else [max(versions)])])
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        v = self._versions(name)
-        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/v{(v[-1] if v else 0) + 1}")
+        versions = self._versions(name)
+        last = max(versions, default=0)
+        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/v{last + 1}")
+        for v in versions:
+            if v < last:
+                self._delete(f"{self.root}/{name}/v{v}")
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/v{max(self._versions(name), default=0) + 1}")
 
     def upsert(self, name: str, rows: DataFrame) -> None:
+        if name in BY_DAY:
+            return self._upsert_days(name, rows)
         keys, old = KEYS[name], self.read(name)
         best = name == "sleep_sessions"
         new = merge.best_wins(rows, keys, "total_sleep_h", "seq") if best else merge.last_wins(rows, keys, "seq")
@@ -53,9 +87,31 @@ class Store:
             new = merge.upsert_best(old, new, keys, "total_sleep_h", "seq") if best else merge.upsert(old, new, keys, "seq", ["canonical_type"] if name == "workouts" else None)
         self.replace(name, new)
 
-
-def ingest(store: Store, bodies: DataFrame, type_map: dict[str, str] | None = None) -> dict[str, int]:
-    """One batch of (path, body): hash, leave out seen bodies, archive, parse, upsert. Returns data-quality counts.
+    def _upsert_days(self, name: str, rows: DataFrame) -> None:
+        path, keys, versions = f"{self.root}/{name}", KEYS[name], self._versions(name)
+        day = F.date_from_unix_date(F.floor(F.unix_seconds(BY_DAY[name]) / 86400).cast("int"))
+        new = merge.last_wins(rows, keys, "seq").persist()
+        try:
+            touched = [f"utc_day={r[0]}" for r in new.select(day).distinct().collect()]  # the days of one batch
+            if not versions:
+                new.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{path}/empty")
+            before, last = self._days(name, versions), max(versions, default=0)
+            if touched or not versions:
+                old = self._read_days(name, [before[d] for d in touched if d in before])
+                both = merge.upsert(old, new, keys, "seq").withColumn("utc_day", day)
+                both.hint("rebalance", "utc_day").write.mode("overwrite").partitionBy("utc_day").parquet(f"{path}/v{last + 1}")
+        finally:
+            new.unpersist()
+        kept = set(before.values()) | set(self._days(name, self._versions(name)).values())
+        for v, inside in versions.items():
+            folders = [f"{path}/v{v}/{d}" for d in inside if d.startswith("utc_day=")]
+            gone = [f for f in folders if f not in kept]
+            for f in [f"{path}/v{v}"] if len(gone) == len(folders) and v < last else gone:
+                self._delete(f)
+
+
+def ingest(store: Store, bodies: DataFrame, type_map: dict[str, str] | None = None, dry_run: bool = False) -> dict[str, int]:
+    """One batch of (path, body): hash, leave out seen bodies, archive, parse, upsert. Returns data-quality counts; ``dry_run`` stores nothing.
 
     Replaying a batch changes nothing: its bodies are in the archive already.
     """
@@ -65,28 +121,30 @@ def ingest(store: Store, bodies: DataFrame, type_map: dict[str, str] | None = No
     good = payload.status(bodies)
     fresh = merge.unseen(good.filter("status = 'ok'"), seen, "body").select("content_hash", "path", "body").persist()
     try:
-        counts = {"files": bodies.count(), "bad": good.filter("status = 'bad'").count(), "new": fresh.count()}
+        counts = good.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("status") == "bad").alias("bad")).first().asDict() | {"new": fresh.count()}
         if not counts["new"]:
-            return counts | {"implausible": 0, "flagged": 0, "dropped_workouts": 0}
+            return counts | dict.fromkeys(("implausible", "flagged", "skipped_sleep", "dropped_workouts", "flagged_energy"), 0)
         tagged = fresh.select(F.col("path").alias("_path"), "body")
         points = payload.metric_points(tagged)
         rows = payload.plausible(payload.normalise_units(payload.samples(points))).withColumn("seq", F.struct("_path", "pos"))
-        counts["implausible"], counts["flagged"] = rows.filter("implausible").count(), rows.filter("flagged").count()
+        sessions, dropped = payload.workouts(tagged, type_map=type_map)
+        counts |= rows.agg(F.count_if("implausible").alias("implausible"), F.count_if("flagged").alias("flagged")).first().asDict()
+        nights = payload.sleep_rows(points)
+        counts |= {"skipped_sleep": points.filter("name = 'sleep_analysis'").count() - nights.count(), "dropped_workouts": dropped.count(), "flagged_energy": sessions.filter("energy_flagged").count()}
+        if dry_run:
+            return counts
         known = store.read("metric_registry")
         known = known if known is not None else registry(spark).select("metric", "unit", "agg", "category", "tier")
         stubs = payload.unregistered(rows.filter("not implausible").withColumn("pos", F.col("seq")), known)
         kept = rows.filter("not implausible").select("time", "metric", "source", "unit", "qty", "vmin", "vavg", "vmax", F.lit(None).cast("int").alias("n"), "seq")
         store.upsert("metric_samples", kept)
-        store.upsert("sleep_sessions", payload.sleep_rows(points).withColumn("seq", F.struct("_path", "pos")).drop("_path", "pos"))
-        sessions, dropped = payload.workouts(tagged, type_map=type_map)
-        counts["dropped_workouts"] = dropped.count()
+        store.upsert("sleep_sessions", nights.withColumn("seq", F.struct("_path", "pos")).drop("_path", "pos"))
         order = F.struct(F.col("_path"), F.col("pos").alias("pos"))
         store.upsert("workouts", sessions.withColumn("seq", order).drop("w", "pos", "_path"))
         for name, part in (("workout_hr_samples", payload.hr_samples(sessions)), ("workout_route_points", payload.route_points(sessions))):
             store.upsert(name, part)
         store.replace("metric_registry", known.unionByName(stubs))
-        done = fresh.withColumn("received_at", F.current_timestamp())
-        store.replace("raw_ingest", done if archive is None else archive.unionByName(done))
+        store.append("raw_ingest", fresh.withColumn("received_at", F.current_timestamp()))
         return counts
     finally:
         fresh.unpersist()
@@ -99,9 +157,15 @@ def stream(spark: SparkSession, landing: str, store: Store, checkpoint: str, mos
     return bodies.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, _: ingest(store, df, type_map)).start()
 
 
-def rederive_hr(store: Store) -> int:
-    """Heart-rate samples out of all archived bodies again, for fields that came to be read later; the number of samples stored."""
+def rederive_hr(store: Store, dry_run: bool = False) -> int:
+    """Heart-rate samples out of all archived bodies again, for fields that came to be read later; the number of samples stored, or with
+    ``dry_run`` of those found, with nothing stored.
+    """
     archive = store.read("raw_ingest")
-    sessions, _ = payload.workouts(archive.select(F.col("path").alias("_path"), "body"))
-    store.upsert("workout_hr_samples", payload.hr_samples(sessions))
+    if archive is None:
+        return 0
+    found = payload.hr_samples(payload.workouts(archive.select(F.col("path").alias("_path"), "body"))[0])
+    if dry_run:
+        return merge.last_wins(found, KEYS["workout_hr_samples"], "seq").count()
+    store.upsert("workout_hr_samples", found)
     return store.read("workout_hr_samples").count()
