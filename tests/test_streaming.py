@@ -3,7 +3,9 @@ import json
 
 from pyspark.sql import functions as F
 
+from vitalgrid.__main__ import main
 from vitalgrid.operators import findings, narrate
+from vitalgrid.schema import registry
 from vitalgrid.streaming import landing
 from tests.test_operators import BODY
 
@@ -60,6 +62,34 @@ def test_a_merge_writes_the_days_it_touches(spark, tmp_path):
     assert len(store._versions("metric_samples")) <= 4 and store.read("metric_samples").count() == 4
 
 
+def test_commands_over_a_store(spark, tmp_path, capsys):
+    (tmp_path / "a.json").write_text(json.dumps(BODY))
+    at = [str(tmp_path / "store")]
+    main([*at, "backfill", str(tmp_path), str(tmp_path / "a.json")], spark)
+    assert "'files': 1" in capsys.readouterr().out
+    states = []
+    for _ in range(2):
+        main([*at, "analyze"], spark)
+        assert capsys.readouterr().out == "ok\n"
+        states.append(sorted(map(str, spark.read.parquet(f"{at[0]}/derived/workout_load_daily").drop("computed_at").collect())))
+    assert states[0] == states[1] and any("workout_trimp'" in x for x in states[0])
+    assert spark.read.parquet(f"{at[0]}/derived/findings_history").select("computed_at").distinct().count() == (2 if spark.read.parquet(f"{at[0]}/derived/findings").count() else 0)
+    main([*at, "audit"], spark)
+    out = capsys.readouterr().out
+    assert all(x in out for x in ("coverage", "units", "unmapped", "last_run", "heart_rate"))
+    main([*at, "check-workout-hr", "--limit", "1"], spark)
+    assert "heartRateData" in capsys.readouterr().out
+    main([*at, "narrate", str(tmp_path / "text")], spark)
+    assert capsys.readouterr().out.strip().endswith(".md")
+
+
+def test_labels_and_standing_kinds(spark):
+    rows = [("trend", "step_count", None, "2020-01-01"), ("anomaly", "workout_trimp_trail_run", "vo2_max", "2024-01-05"), ("anomaly", "heart_rate", None, "2020-01-01"), ("stress", "odd_one", "bedtime", "2024-01-05")]
+    df = spark.createDataFrame(rows, "kind string, metric_a string, metric_b string, ref_date string").withColumn("ref_date", F.col("ref_date").cast("date"))
+    got = {r.metric_a: (r.metric_a_label, r.metric_b_label) for r in narrate.labelled(narrate.current(df, dt.date(2024, 1, 1)), narrate.labels(registry(spark))).collect()}
+    assert got == {"step_count": ("Steps", None), "workout_trimp_trail_run": ("Training Load (TRIMP) — Trail Run", "VO2 Max"), "odd_one": ("odd_one", "Bedtime")}
+
+
 def test_report_has_sections_in_order(spark, tmp_path):
     rows = spark.createDataFrame([("a", "b", i, 0.5 - i / 100) for i in range(4)], "a string, b string, lag int, coef double")
     f = findings.finding(rows, "correlation", {"n": F.lit(50), "priority_tier": F.lit(2)}, metric_a=F.col("a"), metric_b=F.col("b"), lag_days=F.col("lag"), coefficient=F.col("coef"), severity=F.col("coef"))

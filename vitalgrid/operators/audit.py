@@ -38,6 +38,22 @@ def by_kind(findings: DataFrame) -> DataFrame:
     return findings.groupBy("kind").agg(F.count(F.lit(1)).alias("count"))
 
 
+def last_run(findings: DataFrame) -> DataFrame:
+    """One row: the newest ``computed_at``."""
+    return findings.agg(F.max("computed_at").alias("last_run"))
+
+
+def newest(archive: DataFrame, n: int = 20) -> DataFrame:
+    """The ``n`` payloads received last."""
+    return archive.orderBy(F.desc("received_at"), "content_hash").limit(n)
+
+
+def report(daily: DataFrame, samples: DataFrame, registry: DataFrame, workouts: DataFrame, findings: DataFrame | None, min_overlap: int = 42, type_map: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """All parts of an audit by name, lazily; without findings there are none of theirs."""
+    parts = {"coverage": by_rank(coverage(daily, registry, min_overlap)), "units": unit_anomalies(samples, registry), "unmapped": unmapped(workouts, type_map)}
+    return parts | ({} if findings is None else {"findings": by_kind(findings), "last_run": last_run(findings)})
+
+
 def census(bodies: DataFrame, body: str = "body") -> DataFrame:
     """(field, sessions, least, most, median) of the array fields of the payloads' workouts; the median is cut to a whole number."""
     w = bodies.select(F.explode(F.from_json(F.get_json_object(body, "$.data.workouts"), "array<map<string,string>>")).alias("w"))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
-from datetime import date
+from datetime import date, timedelta
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.operators.correlation import priority
+from vitalgrid.schema import registry
 
 # The sections in order, with their headings.
 SECTIONS = [
@@ -19,9 +20,47 @@ SECTIONS = [
 ]
 
 
-def label(series: str, known: dict[str, str] | None = None) -> str:
-    """The registry's label, else the name in words."""
-    return (known or {}).get(series) or series.replace("_", " ").capitalize()
+# Kinds shown only within the lookback; all other kinds stand until the next run.
+DATED = ("anomaly", "recovery_alert", "training_load", "stress", "body_battery")
+# Labels of metrics that are not their names in words.
+METRIC_LABELS = {
+    "step_count": "Steps", "apple_exercise_time": "Exercise Time", "walking_running_distance": "Walking + Running Distance", "apple_stand_time": "Stand Time",
+    "apple_sleeping_wrist_temperature": "Sleeping Wrist Temperature", "time_in_daylight": "Time in Daylight", "vo2_max": "VO2 Max", "weight_body_mass": "Body Mass",
+    "walking_asymmetry_percentage": "Walking Asymmetry", "walking_double_support_percentage": "Double Support", "six_minute_walking_test_distance": "Six-Minute Walking Test Distance",
+    "basal_energy_burned": "Basal Energy", "apple_stand_hour": "Stand Hours", "atrial_fibrillation_burden": "AFib History", "swimming_stroke_count": "Swimming Strokes",
+    "handwashing": "Handwashing Duration", "dietary_water": "Water Intake",
+}
+# Labels of series without a registry row; of the loads there are more by sport.
+LOAD_LABELS = {"workout_trimp": "Training Load (TRIMP)", "workout_load": "Training Load", "workout_edwards": "Training Load (Edwards TRIMP)"}
+SERIES_LABELS = LOAD_LABELS | {
+    "sleep_total_h": "Total Sleep", "sleep_deep_h": "Deep Sleep", "sleep_rem_h": "REM Sleep", "sleep_efficiency": "Sleep Efficiency",
+    "bedtime": "Bedtime", "recovery": "Recovery", "stress": "Stress", "body_battery": "Body Battery",
+}
+
+
+def labels(registry: DataFrame) -> DataFrame:
+    """(metric, display_name) of the registered metrics."""
+    given = F.create_map(*[F.lit(x) for pair in METRIC_LABELS.items() for x in pair])
+    return registry.select("metric", F.coalesce(given[F.col("metric")], F.initcap(F.regexp_replace("metric", "_", " "))).alias("display_name"))
+
+
+def labelled(findings: DataFrame, names: DataFrame) -> DataFrame:
+    """``findings`` with ``metric_a_label`` and ``metric_b_label``: the name in ``names`` (metric, display_name), else that of a series the
+    analysis makes itself, else the series' own name.
+    """
+    known = F.create_map(*[F.lit(x) for pair in SERIES_LABELS.items() for x in pair])
+    out = findings
+    for side in ("metric_a", "metric_b"):
+        own = names.select(F.col("metric").alias("_m"), F.col("display_name").alias("_n"))
+        key = F.col(side)
+        sport = F.concat(known[F.regexp_extract(key, "^(workout_(?:trimp|load|edwards))_.", 1)], F.lit(" — "), F.initcap(F.regexp_replace(F.regexp_replace(key, "^workout_(trimp|load|edwards)_", ""), "_", " ")))
+        out = out.join(F.broadcast(own), key == F.col("_m"), "left").withColumn(f"{side}_label", F.coalesce("_n", known[key], sport, key)).drop("_m", "_n")
+    return out
+
+
+def current(findings: DataFrame, cutoff) -> DataFrame:
+    """Findings of the dated kinds from ``cutoff`` on, and all of the others."""
+    return findings.filter((F.col("kind").isin(*DATED) & (F.col("ref_date") >= F.lit(cutoff).cast("date"))) | ~F.col("kind").isin(*DATED))
 
 
 # Bands with their words, English and German.
@@ -49,10 +88,9 @@ def stress_zone(score: float) -> str:
 
 
 def select_findings(findings: DataFrame, lookback_days: int, as_of: date, max_correlations: int = 15) -> tuple[list, int]:
-    """Rows of the lookback (dated kinds) and all undated ones, sorted; the correlations beyond the cap are counted, not shown."""
-    dated = F.col("ref_date").isNull() | (F.col("ref_date") >= F.date_sub(F.lit(as_of), lookback_days))
+    """Rows of the lookback (dated kinds) and all standing ones, sorted; the correlations beyond the cap are counted, not shown."""
     tier = F.coalesce(F.get_json_object("details", "$.priority_tier").cast("int"), F.lit(1))
-    df = findings.filter(dated).withColumn("_p", F.when(F.col("kind") == "correlation", priority(tier, F.col("coefficient"), F.coalesce("lag_days", F.lit(0)))))
+    df = labelled(current(findings, as_of - timedelta(days=lookback_days)), labels(registry(findings.sparkSession))).withColumn("_p", F.when(F.col("kind") == "correlation", priority(tier, F.col("coefficient"), F.coalesce("lag_days", F.lit(0)))))
     other = df.filter("kind <> 'correlation'").orderBy("kind", F.desc_nulls_last("ref_date"), F.desc_nulls_last("severity")).collect()
     pairs = df.filter("kind = 'correlation'")
     return other + pairs.orderBy(F.desc("_p"), "metric_a", "metric_b").limit(max_correlations).collect(), max(0, pairs.count() - max_correlations)
@@ -60,11 +98,11 @@ def select_findings(findings: DataFrame, lookback_days: int, as_of: date, max_co
 
 def _line(row, language: str = "en") -> str:
     d = json.loads(row["details"]) if row["details"] else {}
-    a, when = label(row["metric_a"]), f" on {row['ref_date']}" if row["ref_date"] else ""
+    a, when = row["metric_a_label"], f" on {row['ref_date']}" if row["ref_date"] else ""
     kind = row["kind"]
     if kind == "correlation":
         lag = f", {row['lag_days']} d later" if row["lag_days"] else ""
-        return f"{a} and {label(row['metric_b'])}{lag}: r = {row['coefficient']:.2f} (n = {d.get('n', '?')})"
+        return f"{a} and {row['metric_b_label']}{lag}: r = {row['coefficient']:.2f} (n = {d.get('n', '?')})"
     if kind == "anomaly":
         return f"{a}{when}: {d.get('value')} ({z_label(d.get('z') or 0.0, language)}, z = {d.get('z')})"
     if kind == "training_load":

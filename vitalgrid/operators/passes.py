@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid import config as C
-from vitalgrid.operators import daily, decompose, energy, findings, robust, series, stress, training
+from vitalgrid.operators import daily, decompose, energy, findings, robust, series, sleep, stress, training
 from vitalgrid.operators.stress import subject_of
 from vitalgrid.sources import merge
 
@@ -113,14 +113,17 @@ def refresh(read: Callable[[str], DataFrame], c: C.Config, root: str, since_days
         return {"stress": 0, "battery": 0}
     last = hr.agg(F.max(daily.local_day(F.col("ts"), c.zone))).first()[0]
 
+    def table(name: str, like: DataFrame) -> DataFrame:  # its schema is given: it may be empty
+        return spark.read.schema(like.schema).parquet(f"{root}/{name}")
+
     def put(name: str, rows: DataFrame) -> int:
         merge.replace_window(f"{root}/{name}", rows, "day", bounds["first_day"], last)
-        return spark.read.parquet(f"{root}/{name}").filter(F.col("day").between(bounds["first_day"], last)).count()
+        return table(name, rows).filter(F.col("day").between(bounds["first_day"], last)).count()
 
     buckets, days = stress_pass(samples, workouts, c, since_days)
     put("stress_intraday", buckets)
     done = {"stress": put("stress_daily", days)}
-    stored = spark.read.parquet(f"{root}/stress_intraday").drop("day").withColumn("day", daily.local_day(F.col("ts"), c.zone))
+    stored = table("stress_intraday", buckets).drop("day").withColumn("day", daily.local_day(F.col("ts"), c.zone))
     levels, days = energy_pass(stored, read("sleep_intervals"), c, since_days)
     put("battery_intraday", levels.withColumn("day", daily.local_day(F.col("ts"), c.zone)))
     return done | {"battery": put("battery_daily", days)}
@@ -131,6 +134,46 @@ def all_series(samples: DataFrame, registry: DataFrame, nights: DataFrame, by_da
     return series.core(samples, registry, c.zone).unionByName(series.sleep(nights)).unionByName(series.workouts(by_day, by_type, c.load.metric))
 
 
+def loads(workouts: DataFrame, hr: DataFrame, resting: DataFrame, c: C.Config) -> tuple[DataFrame, DataFrame]:
+    """Daily load sums of all sessions, and by type. Maximum and resting rate follow the profile, then the data, then fixed values."""
+    ends = workouts.agg(F.max("max_hr").alias("_seen")).crossJoin(resting.agg(F.percentile("value", 0.5).alias("_usual")))
+    given = F.lit(c.profile.hr_rest).cast("double")
+    one = ends.select(training.resolve_hr_max(c.profile, F.col("_seen")).cast("double").alias("most"), F.coalesce(given, "_usual", F.lit(C.REST_DEFAULT)).alias("rest")).first()
+    zones, rest = training.edwards(workouts, hr, one["most"]), training.rolling_rest(resting)
+    daily_of = lambda by: training.workout_daily(workouts, zones, rest, c.zone, one["rest"], one["most"], c.profile.sex, by)
+    return daily_of(None), daily_of(["canonical_type"])
+
+
+def analyze(read: Callable[[str], DataFrame], c: C.Config, root: str, written: Callable[[DataFrame, str], DataFrame], computed_at) -> dict[str, str]:
+    """The whole analysis of one subject's stored tables: series, the snapshot of load series, both passes, all kinds of findings, snapshot and
+    history of them under ``root``. Returns what went wrong with any part; the others are stored all the same.
+    """
+    samples, registry, workouts = read("metric_samples"), read("metric_registry"), read("workouts")
+    sessions = read("sleep_sessions").withColumn("id", F.xxhash64("sleep_end", "source"))
+    nights = sleep.frame(sleep.nightly(sessions), c.zone)
+    resting = series.core(samples, registry.filter("metric = 'resting_heart_rate'"), c.zone)
+    by_day, by_type = loads(workouts, read("workout_hr_samples"), resting, c)
+    values = written(all_series(samples, registry, nights, by_day, by_type, c), "all_series")
+    failed: dict[str, str] = {}
+
+    def contained(name: str, part: Callable):
+        try:
+            return part()
+        except Exception as e:  # one part's fault stops no other
+            failed[name] = f"{type(e).__name__}: {e}"[:500]
+
+    stamp = F.lit(computed_at).cast("timestamp").alias("computed_at")
+    contained("workout_load_daily", lambda: values.filter("series like 'workout\\_%' and value is not null").select("series", "day", "value", stamp).write.mode("overwrite").parquet(f"{root}/workout_load_daily"))
+    done = contained("refresh", lambda: refresh(lambda n: sleep.intervals(sessions) if n == "sleep_intervals" else read(n), c, root, c.stress.window_days)) or {}
+    days = {k: samples.sparkSession.read.parquet(f"{root}/{k}_daily") if done.get(k) else None for k in ("stress", "battery")}
+    offset = nights.select(F.lit("bedtime").alias("series"), "day", sleep.bedtime_offset(F.col("bedtime")).alias("value"))
+    length = nights.select(F.lit("sleep_total_h").alias("series"), "day", F.col("sleep_total_h").alias("value"))
+    found, more = run(values, sleep.regularity(length.unionByName(offset), c.consistency.window), c, written, days["stress"], days["battery"])
+    if found is not None:
+        findings.store(found, f"{root}/findings", f"{root}/findings_history", computed_at)
+    return failed | more
+
+
 def run(values: DataFrame, regular: DataFrame, c: C.Config, written: Callable[[DataFrame, str], DataFrame], stress_days: DataFrame | None = None, energy_days: DataFrame | None = None) -> tuple[DataFrame | None, dict[str, str]]:
     """All ten kinds of findings from the analysis series (series, day, value), the regularity of sleep, and the stored days of both passes.
 

@@ -71,9 +71,16 @@ def intraday_steps(samples: DataFrame) -> DataFrame:
     return samples.filter("metric = 'step_count'").groupBy(*subject_of(samples), F.col("time").alias("ts")).agg(F.max("qty").alias("steps"))
 
 
-def workout_intervals(workouts: DataFrame) -> DataFrame:
+def stored(buckets: DataFrame, start, end) -> DataFrame:
+    """Stored buckets of [start, end), in order."""
+    return buckets.filter((F.col("ts") >= F.lit(start)) & (F.col("ts") < F.lit(end))).orderBy("ts")
+
+
+def workout_intervals(workouts: DataFrame, start=None, until=None) -> DataFrame:
+    """(start, end) of each session, the end from its length where there is none; with bounds, of sessions that meet [start, until)."""
     end = F.coalesce(F.col("end_time"), F.timestamp_micros(F.unix_micros("start_time") + (F.col("duration_s") * 1e6).cast("long")))
-    return workouts.select(*subject_of(workouts), F.col("start_time").alias("start"), end.alias("end")).dropna()
+    found = workouts.select(*subject_of(workouts), F.col("start_time").alias("start"), end.alias("end")).dropna()
+    return found if start is None else found.filter((F.col("end") >= F.lit(start)) & (F.col("start") < F.lit(until)))
 
 
 def cadence_is_fine(steps: DataFrame, most_s: float = 120.0) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vitalgrid import config as C
 from vitalgrid.functions.clock import dense
 from vitalgrid.functions.text import slug, with_canonical_type
-from vitalgrid.operators import audit, correlation, daily, decompose, energy, findings, passes, robust, series, sleep, stress, training
+from vitalgrid.operators import audit, correlation, daily, decompose, energy, findings, narrate, passes, robust, series, sleep, stress, training
 from vitalgrid.plans.fixtures import HR_MAX, ZONE, Tables
 from vitalgrid.schema import NAMES, groups
 from vitalgrid.sources import merge, payload
@@ -466,6 +466,15 @@ def findings_feed(t):
     return findings.feed(_findings(t)).select("kind", "metric_a", "metric_b", "lag_days", "day", "detail")
 
 
+@query
+def findings_labelled(t):
+    """Dated findings of 1998 on and all standing ones, with names of the series where there are any."""
+    o = F.col("o_orderpriority")
+    names = t.raw("orders").filter(o != "5-LOW").select(o.alias("metric"), F.initcap(F.substr(o, F.lit(3))).alias("display_name")).distinct()
+    shown = narrate.labelled(narrate.current(_findings(t), "1998-01-01"), names)
+    return shown.select("kind", "metric_a", "metric_a_label", "metric_b", "metric_b_label", "lag_days", F.coalesce("ref_date", "window_end").alias("day"))
+
+
 @query
 def findings_by_kind(t):
     return audit.by_kind(_findings(t))

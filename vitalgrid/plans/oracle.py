@@ -229,6 +229,8 @@ ORACLE_SQL = {
     "payload_census": "with g as (select count(*) as n from lineitem group by l_orderkey) select 'heartRateData' as field, count(*) as sessions, min(n)::int as least, max(n)::int as most, floor(quantile_cont(n, 0.5))::int as median from g",
     "findings_feed": f"""with {FOUND} select kind, metric_a, metric_b, lag_days, day, case kind when 'anomaly' then {_text('z', 1)} || 'σ (val: ' || {_text('v', 2)} || ')' when 'training_load' then 'ACWR ' || {_text('ratio', 2)}
       else 'r=' || {_text('coef', 2)} || ' lag=' || lag_days || 'd' end as detail from fnd""",
+    "findings_labelled": f"""with {FOUND}, nm as (select p, case p when '1-URGENT' then 'Urgent' when '2-HIGH' then 'High' when '3-MEDIUM' then 'Medium' when '4-NOT SPECIFIED' then 'Not Specified' else p end as label from (select distinct o_orderpriority as p from orders))
+      select kind, metric_a, x.label as metric_a_label, metric_b, y.label as metric_b_label, lag_days, day from fnd left join nm x on x.p = metric_a left join nm y on y.p = metric_b where kind = 'correlation' or day >= date '1998-01-01'""",
     "findings_by_kind": f"with {FOUND} select kind, count(*) as count from fnd group by 1",
     "alert_markers": f"with {FOUND} select kind, count(distinct day) as n from fnd where kind <> 'correlation' group by 1",
     "priority_rank": f"""with {LAGS}, d as (select *, {DOMAIN('a')} as da, {DOMAIN('b')} as db from sp),

@@ -12,9 +12,14 @@ from vitalgrid.schema import conversions, registry
 UUID = "^[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}$"
 
 
-def files(spark: SparkSession, path: str, pattern: str = "*.json", most_bytes: int = 32 << 20) -> DataFrame:
-    """(path, body) of the files of a folder, those over ``most_bytes`` left out before they are read."""
+def files(spark: SparkSession, path: str | list[str], pattern: str = "*.json", most_bytes: int = 32 << 20) -> DataFrame:
+    """(path, body) of the files of a folder or of several folders and files, those over ``most_bytes`` left out before they are read.
+
+    A file that several paths lead to comes once; a path that leads to nothing raises.
+    """
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    if not isinstance(path, str) and len(path) > 1:
+        found = found.dropDuplicates(["path"])
     return found.filter(F.col("length") <= most_bytes).select("path", F.col("content").cast("string").alias("body"))
 
 
