@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vitalgrid.llm import decontaminate, jaccard_join, language_id, line_dedup, packing, quality_rules, suffix_dedup, toxicity, url_filter, warc
+from vitalgrid.llm import decontaminate, jaccard_join, language_id, line_dedup, packing, piece_codec, quality_rules, suffix_dedup, toxicity, url_filter, warc
 from vitalgrid.llm.common import table
 
 # The url rules (host, path, verdict).
@@ -82,4 +82,11 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held, "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op2_jaccard_links, op3_url_filter, op4_best_fit_packing, op5_warc, op6_line_dedup, op7_language_id, op8_quality_rules, op9_decontaminate, op10_toxicity)}
+def op11_sentencepiece(spark, sf_dir):
+    model = piece_codec.read_model(vocabulary("piece_bpe_32k.model"))
+    out = piece_codec.decode(piece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op2_jaccard_links, op3_url_filter, op4_best_fit_packing, op5_warc, op6_line_dedup, op7_language_id, op8_quality_rules, op9_decontaminate, op10_toxicity, op11_sentencepiece)}
