@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vitalgrid.llm import decontaminate, jaccard_join, language_id, line_dedup, packing, piece_codec, quality_rules, suffix_dedup, toxicity, url_filter, warc
-from vitalgrid.llm.common import table
+from vitalgrid.llm import decontaminate, jaccard_join, language_id, line_dedup, packing, periodic, piece_codec, quality_rules, suffix_dedup, toxicity, url_filter, warc
+from vitalgrid.llm.common import let, table
 
 # The url rules (host, path, verdict).
 URL_RULES = [
@@ -89,4 +89,34 @@ def op11_sentencepiece(spark, sf_dir):
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op2_jaccard_links, op3_url_filter, op4_best_fit_packing, op5_warc, op6_line_dedup, op7_language_id, op8_quality_rules, op9_decontaminate, op10_toxicity, op11_sentencepiece)}
+def _planted():
+    """The contract's planted periods: in a tenth of the documents, by crc32 of doc_id, the words from some place on repeat."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(w):
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        return F.when(n > 0, F.array_join(F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, a + (i - a) % p))), " ")).otherwise(F.lit(""))
+
+    words = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+", -1), lambda x: x != "")
+    return F.when(h % 10 == 0, let(words, repeated)).otherwise(F.col("text"))
+
+
+def op12_periodic_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", _planted().alias("text"))
+    out = periodic.periodic_runs(docs)
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    # The greatest length, then the smallest start, then the smallest period.
+    best = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("start"), r["period"].alias("period")))), 1)
+    text = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    out = out.select("doc_id", "runs", "collapsed", F.when(F.size("runs") > 0, best).alias("best"), text.alias("lines"))
+    length = -F.col("best.l")
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), length.alias("length"), F.col("best.period").alias("period"),
+        F.floor(length * 1000 / F.col("best.period")).alias("exponent_milli"), F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op2_jaccard_links, op3_url_filter, op4_best_fit_packing, op5_warc, op6_line_dedup, op7_language_id, op8_quality_rules, op9_decontaminate, op10_toxicity, op11_sentencepiece, op12_periodic_runs)}

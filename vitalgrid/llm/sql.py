@@ -102,7 +102,33 @@ o as (select doc_id, count(*)::bigint as n_items, string_agg(item_id, ',' order
 select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join c on d.doc_id = c.doc_id left join o on d.doc_id = o.doc_id"""
 
+# crc32 (reflected polynomial 0xEDB88320): a table of 256 entries made by the rule, then a fold over the bytes.
+_CRC_TABLE = """crc_table as materialized (select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) as crc_of)"""
+_crc = lambda codes: f"xor(list_reduce({codes}, lambda c, b: xor(c >> 8, crc_of[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+_bytes = lambda s: f"flatten(list_transform(string_split({s}, ''), lambda x: case when unicode(x) < 128 then [unicode(x)::bigint] else [192 + (unicode(x) >> 6)::bigint, 128 + (unicode(x) & 63)::bigint] end))"
+
+# A run shows as a stretch of places whose 6 words are those q places on.
+OP12 = f"""
+with {_CRC_TABLE},
+a as (select doc_id, {_crc(_bytes("doc_id::varchar"))} as h, regexp_extract_all(coalesce(text, ''), '{_WORD}') as w from documents, crc_table),
+b as (select doc_id, h % 10 = 0 and len(w) > 0 as planted, w, len(w) as n, (h // 10) % greatest(len(w), 1) as a, h // 10 as g from a),
+d as materialized (select doc_id, case when planted then list_transform(range(n), lambda i: w[1 + case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end]) else w end as w from b),
+k as materialized (select doc_id, p, array_to_string(list_slice(w, p + 1, p + 6), ' ') as g from (select doc_id, w, unnest(range(0, len(w) - 5)) as p from d where len(w) >= 12)),
+e as (select x.doc_id, x.p, y.p - x.p as q from k x join k y on x.doc_id = y.doc_id and x.g = y.g and x.p < y.p),
+s as (select doc_id, q, p, p - row_number() over (partition by doc_id, q order by p) as island from e),
+r as (select doc_id, min(p) as start, max(p) + 6 + q - min(p) as length, q from s group by doc_id, q, island),
+v as materialized (select doc_id, start, length, min(q) as period from r where length >= greatest(12, 2 * q) group by doc_id, start, length),
+o as (select doc_id, count(*)::bigint as n_runs, arg_min({{'s': start, 'l': length, 'q': period}}, (-length, start, period)) as best,
+  string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines from v group by doc_id),
+x as (select distinct doc_id, unnest(range(start + period, start + length)) as p from v),
+z as (select doc_id, p, w[p + 1] as word from (select doc_id, w, unnest(range(0, len(w))) as p from d)),
+c as (select z.doc_id, string_agg(word, ' ' order by z.p) as collapsed from z anti join x on z.doc_id = x.doc_id and z.p = x.p group by z.doc_id)
+select d.doc_id, coalesce(n_runs, 0)::bigint as n_runs, best.s::bigint as start, best.l::bigint as length, best.q::bigint as period, (best.l * 1000 // best.q)::bigint as exponent_milli,
+  sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(collapsed, '')) as collapsed_sha256
+from d left join o on d.doc_id = o.doc_id left join c on d.doc_id = c.doc_id"""
+
 ORACLE_SQL = {
+    "op12_periodic_runs": OP12,
     "op1_suffix_dedup": OP1,
     "op9_decontaminate": OP9,
     "op2_jaccard_join": components(),
