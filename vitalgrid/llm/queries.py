@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vitalgrid.llm import decontaminate, jaccard_join, language_id, line_dedup, packing, periodic, piece_codec, quality_rules, suffix_dedup, toxicity, url_filter, warc
+from vitalgrid.llm import decontaminate, jaccard_join, language_id, line_dedup, packing, periodic, piece_codec, quality_rules, spelling, suffix_dedup, toxicity, url_filter, warc
 from vitalgrid.llm.common import let, table
 
 # The url rules (host, path, verdict).
@@ -119,4 +119,8 @@ def op12_periodic_runs(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op2_jaccard_links, op3_url_filter, op4_best_fit_packing, op5_warc, op6_line_dedup, op7_language_id, op8_quality_rules, op9_decontaminate, op10_toxicity, op11_sentencepiece, op12_periodic_runs)}
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), respell=spelling.misspelt))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op2_jaccard_links, op3_url_filter, op4_best_fit_packing, op5_warc, op6_line_dedup, op7_language_id, op8_quality_rules, op9_decontaminate, op10_toxicity, op11_sentencepiece, op12_periodic_runs, op13_spelling_variants)}

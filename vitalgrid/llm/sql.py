@@ -127,7 +127,24 @@ select d.doc_id, coalesce(n_runs, 0)::bigint as n_runs, best.s::bigint as start,
   sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(collapsed, '')) as collapsed_sha256
 from d left join o on d.doc_id = o.doc_id left join c on d.doc_id = c.doc_id"""
 
+# One edit: the same remainder without the same place (a replaced letter), or a remainder that is a word (a letter more or less).
+OP13 = f"""
+with recursive {_CRC_TABLE},
+r as (select doc_id, {_LOW("unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+'))")} as run from documents),
+s as (select doc_id, run, count(*) as n from r group by doc_id, run),
+h as (select run, n, {_crc(_bytes("doc_id || ':' || run"))} as h from s, crc_table),
+t as (select case when h % 31 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, n from h),
+w as materialized (select word, sum(n)::bigint as n from t where length(word) >= 7 group by word having sum(n) >= 2),
+d as materialized (select word, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest from (select word, unnest(range(1, length(word) + 1)) as i from w)),
+p as materialized (select x.word as a, y.word as b from d x join d y on x.rest = y.rest and x.i = y.i and x.word <> y.word
+  union select word, rest from d where rest in (select word from w) union select rest, word from d where rest in (select word from w)),
+m as (select a, count(*)::bigint as n_near, arg_min({{'o': b, 'n': n}}, (-n, b)) as best from p join w on w.word = b group by a),
+f as materialized (select w.word, w.n, coalesce(n_near, 0)::bigint as n_near, case when best.n >= 10 * w.n then best.o end as form, case when best.n >= 10 * w.n then best.n end as form_n from w left join m on w.word = a),
+c as (select word, word as at from f union all select c.word, form from c join f on c.at = f.word where form is not null)
+select f.word, f.form, e.at as root, f.n, f.n_near, f.form_n::bigint as form_n from f join (select c.word, c.at from c join f on c.at = f.word where f.form is null) e on e.word = f.word"""
+
 ORACLE_SQL = {
+    "op13_spelling_variants": OP13,
     "op12_periodic_runs": OP12,
     "op1_suffix_dedup": OP1,
     "op9_decontaminate": OP9,
