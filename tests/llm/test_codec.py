@@ -34,6 +34,7 @@ def test_encode_and_decode_equal_the_library(spark):
         want = lib.encode(TEXTS[r.doc_id % len(TEXTS)] or "", add_eos=True)
         assert r.ids == want, repr(r.text)
         assert r.decoded == lib.decode(want), repr(r.text)
+    assert sorted(map(repr, piece_codec.round_trip(docs, MODEL).collect())) == sorted(map(repr, got))
     assert piece_codec.encode(docs.limit(0), MODEL).count() == 0
     assert piece_codec.encode(docs, MODEL, end=False).filter("doc_id = 1").first().ids == []
 

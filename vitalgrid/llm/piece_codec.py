@@ -25,7 +25,7 @@ from vitalgrid.llm.common import chunks, shielded
 
 SPACE = "▁"
 #: Bounds of what a worker remembers: stretches of at most so many characters, so many of them, and so many pairs of pieces.
-LONGEST, STRETCHES, PAIRS = 48, 400_000, 2_000_000
+LONGEST, STRETCHES, PAIRS = 48, 150_000, 300_000
 # Kinds of pieces in the model file.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
@@ -168,15 +168,29 @@ def _lists(parts: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
 
-def _extended(df: DataFrame, column: str, name: str, kind: str, model: bytes, make, cut) -> DataFrame:
+def _encoded(c: Codec, values: pa.Array, end: bool) -> pa.Array:
+    tail = np.array([c.end], np.int32).tobytes() if end else b""
+    parts = [c.encode(t) + tail for t in values.to_pylist()]
+    cuts = np.cumsum([0, *[len(p) // 4 for p in parts]])
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+
+
+def _decoded(c: Codec, values: pa.Array) -> pa.Array:
+    lists = [v.values.drop_null().to_numpy().astype(np.int64) if v.is_valid else np.zeros(0, np.int64) for v in values]
+    return pa.array([c.decode(x) for x in lists], pa.string())
+
+
+def _extended(df: DataFrame, more: str, model: bytes, make, column: str | None = None) -> DataFrame:
+    """``df`` with the columns ``more`` (a schema) that ``make(codec, batch)`` gives."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     names = df.columns
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"{name} {kind}"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [more])
+    added = [m.split()[0] for m in more.split(", ")]
 
     def run(batches):
         c = codec(shared.value)
-        for b in cut(batches):
-            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], make(c, b.column(column))], [*names, name])
+        for b in chunks(batches, column) if column else batches:
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], *make(c, b)], [*names, *added])
 
     return df.mapInArrow(run, schema)
 
@@ -189,13 +203,7 @@ def encode(docs: DataFrame, model: bytes, end: bool = True, text: str = "text")
     an empty one; a column named ``ids`` is replaced, any other stays, whatever its name. A text of any length takes time and
     memory linear in it. Models that rewrite texts, have pieces of other kinds or inner spaces are refused with ValueError.
     """
-    def make(c, values):
-        tail = np.array([c.end], np.int32).tobytes() if end else b""
-        parts = [c.encode(t) + tail for t in values.to_pylist()]
-        cuts = np.cumsum([0, *[len(p) // 4 for p in parts]])
-        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
-
-    return _extended(docs, text, "ids", "array<int>", model, make, lambda batches: chunks(batches, text))
+    return _extended(docs, "ids array<int>", model, lambda c, b: [_encoded(c, b.column(text), end)], text)
 
 
 @shielded(("decoded",), "ids")
@@ -205,8 +213,14 @@ def decode(docs: DataFrame, model: bytes, ids: str = "ids") -> DataFrame:
     Null and empty lists are the empty text, nulls within a list are passed over; ids that the model has not raise IndexError.
     Repeated rows, empty tables and other columns as in ``encode``.
     """
-    def make(c, values):
-        lists = [v.values.drop_null().to_numpy().astype(np.int64) if v.is_valid else np.zeros(0, np.int64) for v in values]
-        return pa.array([c.decode(x) for x in lists], pa.string())
+    return _extended(docs, "decoded string", model, lambda c, b: [_decoded(c, b.column(ids))])
+
+
+@shielded(("ids", "decoded"), "text")
+def round_trip(docs: DataFrame, model: bytes, end: bool = True, text: str = "text") -> DataFrame:
+    """``encode`` and ``decode`` of its ids in one pass of one worker."""
+    def make(c, b):
+        ids = _encoded(c, b.column(text), end)
+        return [ids, _decoded(c, ids)]
 
-    return _extended(docs, ids, "decoded", "string", model, make, lambda batches: batches)
+    return _extended(docs, "ids array<int>, decoded string", model, make, text)

@@ -84,7 +84,7 @@ def op10_toxicity(spark, sf_dir):
 
 def op11_sentencepiece(spark, sf_dir):
     model = piece_codec.read_model(vocabulary("piece_bpe_32k.model"))
-    out = piece_codec.decode(piece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    out = piece_codec.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
