@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -177,6 +178,30 @@ def _powers(base: int, n: int) -> np.ndarray:
     return _POWERS[base][:n]
 
 
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_SALT = mix(np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each stretch of bytes: eight bytes a round, each scrambled before and after it is joined; stretches of over 64 bytes by XXH3.
+
+    Sums of bytes times powers would not do: modulo 2^64 whole families of strings have equal sums, whatever the base.
+    """
+    size = ends - starts
+    eights = np.lib.stride_tricks.as_strided(np.concatenate([data, np.zeros(8, np.uint8)]), (len(data) + 1, 8), (1, 1))
+    out = mix(size.astype(np.uint64) + np.uint64(0x51_7C_C1_B7))
+    at = np.arange(len(size))
+    for k in range(8):
+        block = eights[starts[at] + 8 * k].view("<u8").ravel() & _KEEP[np.minimum(size[at] - 8 * k, 8)]
+        out[at] = mix(out[at] ^ mix(block + _SALT[k]))
+        at = at[size[at] > 8 * (k + 1)]
+        if not len(at):
+            return out
+    for i in at.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].data)
+    return out
+
+
 def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, heads: tuple[int, ...] = ()):
     """Words are maximal runs, within a value, of bytes that ``inside`` marks (256 booleans).
 
@@ -201,13 +226,12 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, heads: tupl
     lowered = data.copy()
     upper = (data >= 65) & (data <= 90)
     lowered[upper] += 32
+    out = (s, e, _hashes(lowered, s, e), np.searchsorted(s, offsets))
+    if not heads:
+        return out
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[lowered] * _powers(_BASE, n), out=sums[1:])
     scale = _powers(_UNBASE, n)[s]
-    hashed = mix((sums[e] - sums[s]) * scale + (e - s).astype(np.uint64))
-    out = (s, e, hashed, np.searchsorted(s, offsets))
-    if not heads:
-        return out
     return *out, np.stack([mix((sums[np.minimum(s + k, e)] - sums[s]) * scale + np.uint64(1000 + k)) for k in heads])
 
 
@@ -221,5 +245,5 @@ def shingles(hashed: np.ndarray, width: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = hashed[:n].copy()
     for k in range(1, width):
-        out = out * _STEP + hashed[k : k + n]
+        out = (out ^ (out >> np.uint64(29))) * _STEP + hashed[k : k + n]
     return mix(out)

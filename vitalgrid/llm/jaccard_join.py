@@ -203,9 +203,10 @@ def _candidates(docs: DataFrame, signs: DataFrame, doc_id: str, text: str, hot:
     reps = signs.filter("id = rep").select("id", "n", "empty")
     rows = shared(keys(docs, doc_id, text)).join(reps.select(F.col("id").alias("_i")).distinct(), F.col("id") == F.col("_i"), "left_semi").distinct()
     every = written(rows, "keys")
-    many = every.groupBy(F.col("key").alias("_k")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    # Aggregates are written before they are joined: Spark splits a hot key only where both sides of a join come from an exchange.
+    many = written(every.groupBy(F.col("key").alias("_k")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "counts")
     met = written(every.join(many, F.col("key") == F.col("_k")).select("key", "id", "_n"), "keys")
-    free(every)
+    free(every, many)
     rows = written(_affordable(met, reps, hot), "keys")
     free(met)
     return rows
@@ -217,7 +218,7 @@ def _open_keys(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
     """
     now = rows.withColumn("comp", F.col("id")) if comp is None else rows.join(comp.select(F.col("id").alias("_i"), "comp"), F.col("id") == F.col("_i"), "left").drop("_i").withColumn("comp", F.coalesce("comp", "id"))
     sizes = now.groupBy(F.col("key").alias("_k")).agg(F.count(F.lit(1)).alias("_n"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.bit_xor(F.xxhash64("id")).alias("_x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("_y")).filter("_lo <> _hi")
-    one = sizes.groupBy("_n", "_x", "_y").agg(F.min("_k").alias("_k")).select("_k", F.col("_n").alias("size"))
+    one = written(sizes.groupBy("_n", "_x", "_y").agg(F.min("_k").alias("_k")).select("_k", F.col("_n").alias("size")), "sizes")
     return written(now.join(one, F.col("key") == F.col("_k")).drop("_k"), "open")
 
 
@@ -241,6 +242,7 @@ def _all_cells(now: DataFrame, block: int) -> DataFrame:
     is sent once.
     """
     tops = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("_m")).groupBy(F.col("key").alias("_k")).agg(F.max(F.struct("_m", "comp")).alias("_top"))
+    tops = written(tops, "tops")
     rows = now.join(tops, F.col("key") == F.col("_k")).withColumn("lv", F.col("key").bitwiseAND(31).cast("int")).withColumn("block", _block(block))
     rows = rows.select("key", "id", "comp", "size", "block", (F.col("comp") == F.col("_top.comp")).alias("main"), F.ceil((F.col("size") - F.col("_top._m")) / F.col("block")).cast("int").alias("outer"), F.ceil(F.col("_top._m") / F.col("block")).cast("int").alias("inner"))
     rows = rows.withColumn("home", F.pmod(F.xxhash64("id"), F.when(F.col("main"), F.col("inner")).otherwise(F.col("outer"))).cast("int"))
@@ -407,7 +409,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     signs = written(signatures(docs, doc_id, text), "signs")
     classes = signs.filter("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
     same = [F.col(c) == F.col(f"_{c}") for c in ("n", "h1", "h2")]
-    classes = classes.select(*[F.col(c).alias(f"_{c}") for c in ("n", "h1", "h2")], "rep")
+    classes = written(classes.select(*[F.col(c).alias(f"_{c}") for c in ("n", "h1", "h2")], "rep"), "classes")
     return written(signs.join(classes, same, "left").drop("_n", "_h1", "_h2").withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))), "signs")
 
 
@@ -447,7 +449,7 @@ def _counts(cell, sid, size, side, n, bits, tokens):
 
 def _within(comp: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
     """(cell, sid, comp, side) in which any two documents of a component meet once; ``comp`` holds the size of the document's class."""
-    many = comp.groupBy(F.col("comp").alias("_c")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    many = written(comp.groupBy(F.col("comp").alias("_c")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "blocks")
     rows = comp.join(many, F.col("comp") == F.col("_c")).join(sizes, F.col("id") == F.col("_r")).withColumn("home", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     side = lambda j: F.when(F.col("home") == j, F.lit(-1)).otherwise((F.col("home") > j).cast("int"))
     met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("home", j).alias("x"), F.greatest("home", j).alias("y"), side(j).alias("side")))

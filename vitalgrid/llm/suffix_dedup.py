@@ -200,14 +200,15 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, most_segments: int = 2
     rows = rows.filter(F.col("_id").isNotNull() & (F.octet_length("_text") >= length))
     # Equal texts are one document to the arrays: the smallest id stands for them, the others are covered from end to end.
     hashed = written(rows.select("_id", "_row", F.sha2(F.col("_text").cast("binary"), 256).alias("_hash"), F.octet_length("_text").cast("long").alias("_size")), "texts")
-    first = hashed.groupBy(F.col("_hash").alias("_h")).agg(F.min("_id").alias("_first"))
+    first = written(hashed.groupBy(F.col("_hash").alias("_h")).agg(F.min("_id").alias("_first")), "firsts")  # written, so that a hot text is split in the join
     texts = written(hashed.join(first, F.col("_hash") == F.col("_h")).select("_id", "_row", "_size", (F.col("_id") == F.col("_first")).alias("_is_first")), "texts")
     copies = texts.groupBy("_id").agg(F.max("_is_first").alias("_any")).filter("not _any").select(F.col("_id").alias("_copy"))
+    copies = written(copies, "copies")
     whole = texts.filter("not _is_first").select(F.col("_id").alias("doc"), F.col("_row").alias("row"), F.array(F.lit(0).cast("long"), F.col("_size")).alias("spans")).distinct()
     keys = written(shared(anchor_keys(rows, length)).join(copies, F.col("id") == F.col("_copy"), "left_anti"), "anchors")
-    still = keys.groupBy(F.col("key").alias("_k")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    still = written(keys.groupBy(F.col("key").alias("_k")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_k"), "still")
     found = tables = written(segments(rows, keys.join(still, F.col("key") == F.col("_k"), "left_semi"), length), "segments")
-    free(keys)
+    free(keys, still, copies)
     distinct = several = written(found.groupBy("key", "mark", "seg").agg(F.min("doc").alias("doc")), "distinct")
     crowded = written(distinct.groupBy(F.col("key").alias("_c")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most_segments).select("_c"), "crowded")
     is_crowded = F.col("key") == F.col("_c")
@@ -225,7 +226,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, most_segments: int = 2
     met = found.select("key", "mark", "row", "doc", "start").join(firsts, (F.col("key") == F.col("_k")) & (F.col("mark") == F.col("_m")))
     spans = _covered(met, length).unionByName(whole).groupBy(F.col("doc").alias("_doc"), F.col("row").alias("_in")).agg(F.flatten(F.collect_list("spans")).alias("_spans"))
     spans = written(spans, "spans")
-    free(hashed, texts, tables, several, crowded, *([alone] if alone is not None else []))
+    free(hashed, first, texts, tables, several, crowded, *([alone] if alone is not None else []))
     return spans
 
 

@@ -116,6 +116,7 @@ def deduplicate(pages: DataFrame, path: str | None = None, min_bytes: int = MIN_
     back = written(read_archives(spark, path).withColumn("n", F.length("payload").cast("long")).drop("payload"), "records")  # read and parsed once
     heads = back.filter("record_type = 'revisit'").select("page_id", "url", "record_type", "payload_digest", "refers_to")
     originals = back.filter("record_type = 'response'").groupBy(F.col("payload_sha256").alias("_d"), F.col("page_id").alias("_page")).agg(F.max("n").alias("payload_bytes"))
+    originals = written(originals, "originals")  # so that a digest of many revisits is split in the join
     responses = back.filter("record_type = 'response'").select("page_id", "url", F.col("n").alias("payload_bytes"), F.col("payload_sha256").alias("payload_digest"), "record_type", "refers_to")
     revisits = heads.join(originals, (F.col("payload_digest") == F.col("_d")) & (F.col("refers_to") == F.col("_page"))).select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")
     return responses.unionByName(revisits)
