@@ -218,7 +218,8 @@ def test_sleep_efficiency_definitions(spark):
     rows = [(1, dt.date(2024, 1, 1), at(0), at(480), at(0), at(600), 8.0, 0.0, 0.0, 0.0), (2, dt.date(2024, 1, 1), at(0), at(60), None, None, 1.0, None, None, None), (3, dt.date(2024, 1, 2), at(0), at(60), None, None, 6.0, 6.0, 2.0, 0.0)]
     n = sleep.nightly(spark.createDataFrame(rows, schema))
     assert {r.id: r.efficiency_pct for r in sleep.with_efficiency(n).collect()} == {1: 80.0, 3: 75.0}
-    assert all(0 < r.efficiency <= 1 for r in sleep.intervals(n).collect()) and sleep.intervals(n).count() > 0
+    got = sorted((r.start, r.end, r.efficiency) for r in sleep.intervals(spark.createDataFrame(rows, schema).withColumn("sleep_end", F.col("sleep_start") + F.expr("interval 8 hours"))).collect())
+    assert got == [(at(0), at(480), 0.8), (at(0), at(480), 1.0), (at(0), at(480), 1.0)]  # by time in bed; unknown; no time in bed
 
 
 def test_findings_store_and_feed(spark, tmp_path):

@@ -6,116 +6,136 @@ from dataclasses import dataclass, field, fields, is_dataclass
 from typing import Any
 
 
+def within(default: Any, least: float | None = None, most: float | None = None, above: float | None = None, one_of: tuple = ()):
+    """A setting with a range: from ``least``, over ``above``, up to ``most``, or one of some values. None passes where it is the default."""
+    return field(default=default, metadata={"least": least, "most": most, "above": above, "one_of": one_of})
+
+
+class Ranged:
+    """Checks every setting that has a range."""
+
+    def __post_init__(self):
+        for f in fields(self):
+            value, m = getattr(self, f.name), f.metadata
+            if not m or value is None and f.default is None:
+                continue
+            if m["one_of"]:
+                ok = value in m["one_of"]
+            else:
+                ok = isinstance(value, (int, float)) and not isinstance(value, bool) and (m["least"] is None or value >= m["least"]) and (m["most"] is None or value <= m["most"]) and (m["above"] is None or value > m["above"])
+            if not ok:
+                raise ValueError(f"{type(self).__name__}.{f.name}: {value!r} is out of range")
+
+
 @dataclass(frozen=True)
-class Profile:
+class Profile(Ranged):
     age: int | None = None
-    sex: str | None = None
-    hr_max: float | None = None
-    hr_rest: float | None = None
+    sex: str | None = within(None, one_of=("male", "female", "unspecified"))
+    hr_max: float | None = within(None, 120, 230)
+    hr_rest: float | None = within(None, 25, 120)
 
     def __post_init__(self):
-        if self.age is not None and not 5 <= self.age <= 120:
+        super().__post_init__()
+        if self.age is not None and not 10 <= self.age <= 120:
             raise ValueError("age is implausible")
         if self.hr_max is not None and self.hr_rest is not None and self.hr_max <= self.hr_rest:
             raise ValueError("hr_max must exceed hr_rest")
 
 
 @dataclass(frozen=True)
-class Correlation:
-    max_lag: int = 3
-    min_overlap: int = 42
-    keep_alpha: float = 0.10
-    fdr_alpha: float = 0.05
-    min_active: int = 10
-    min_abs: float = 0.25
-    raw_min_abs: float = 0.15
+class Correlation(Ranged):
+    max_lag: int = within(3, 0, 14)
+    min_overlap: int = within(42, 2)
+    keep_alpha: float = within(0.10, most=1, above=0)
+    fdr_alpha: float = within(0.05, most=1, above=0)
+    min_active: int = within(10, 0)
+    min_abs: float = within(0.25, 0, 1)
+    raw_min_abs: float = within(0.15, 0, 1)
 
 
 @dataclass(frozen=True)
-class Anomaly:
-    window: int = 28
-    threshold: float = 3.5
-    recent_days: int = 14
-    min_global_z: float = 2.5
+class Anomaly(Ranged):
+    window: int = within(28, 2)
+    threshold: float = within(3.5, above=0)
+    recent_days: int = within(14, 1)
+    min_global_z: float = within(2.5, 0)
 
 
 @dataclass(frozen=True)
-class Shape:
-    trend_strength: float = 0.30
-    min_monotonicity: float = 0.70
-    season_strength: float = 0.20
-    reproducibility: float = 0.30
+class Shape(Ranged):
+    trend_strength: float = within(0.30, 0, 1)
+    min_monotonicity: float = within(0.70, 0, 1)
+    season_strength: float = within(0.20, 0, 1)
+    reproducibility: float = within(0.30, 0, 1)
 
 
 @dataclass(frozen=True)
-class Recovery:
-    recent_days: int = 14
-    z: float = 1.5
+class Recovery(Ranged):
+    recent_days: int = within(14, 1)
+    z: float = within(1.5, above=0)
     sleep_z: float = -1.0
 
 
 @dataclass(frozen=True)
-class Consistency:
-    window: int = 28
-    duration_std: float = 1.0
-    bedtime_std: float = 1.0
+class Consistency(Ranged):
+    window: int = within(28, 2)
+    duration_std: float = within(1.0, 0)
+    bedtime_std: float = within(1.0, 0)
 
 
 @dataclass(frozen=True)
-class Load:
-    metric: str = "both"  # trimp, energy or both
-    acwr_high: float = 1.5
-    acwr_low: float = 0.8
-    min_active_days: int = 8
-    fresh: float = 0.05
-    detraining: float = 0.15
-    overreach: float = -0.30
-
-    def __post_init__(self):
-        if self.metric not in ("trimp", "energy", "both"):
-            raise ValueError("load metric must be trimp, energy or both")
+class Load(Ranged):
+    metric: str = within("both", one_of=("trimp", "energy", "both"))
+    edwards: bool = True  # zone load beside the others, where heart rates of sessions are stored
+    acwr_high: float = within(1.5, above=0)
+    acwr_low: float = within(0.8, above=0)
+    min_active_days: int = within(8, 1, 28)
+    fresh: float = within(0.05, 0, 1)
+    detraining: float = within(0.15, 0, 1)
+    overreach: float = within(-0.30, -1, 0)
 
 
 @dataclass(frozen=True)
-class Stress:
+class Stress(Ranged):
     enabled: bool = True
-    window_days: int = 90
-    reserve_full: float = 0.5
-    hrv_weight: float = 0.3
-    steps_per_min: float = 60.0
-    low: float = 25.0
-    medium: float = 50.0
-    high: float = 75.0
-    min_measured: float = 60.0
-    alert: float = 60.0
-    recent_days: int = 14
+    window_days: int = within(90, 1, 3650)
+    reserve_full: float = within(0.5, most=1, above=0)
+    hrv_weight: float = within(0.3, 0, 1)
+    steps_per_min: float = within(60.0, 0)
+    low: float = within(25.0, 0, 100)
+    medium: float = within(50.0, 0, 100)
+    high: float = within(75.0, 0, 100)
+    min_measured: float = within(60.0, 0)
+    alert: float = within(60.0, 0, 100)
+    recent_days: int = within(14, 1)
 
     def __post_init__(self):
+        super().__post_init__()
         if not self.low < self.medium < self.high:
             raise ValueError("stress zones must ascend")
 
 
 @dataclass(frozen=True)
-class Energy:
+class Energy(Ranged):
     enabled: bool = True
-    window_days: int = 90
-    neutral: float | None = None
-    charge: float = 0.03
-    drain: float = 0.2
-    sleep: float = 0.15
-    active: float = 0.3
-    seed: float = 50.0
-    min_measured: int = 60
-    alert: float = 20.0
-    recent_days: int = 14
+    window_days: int = within(90, 1, 3650)
+    neutral: float | None = within(None, 0, 100)
+    charge: float = within(0.03, 0)
+    drain: float = within(0.2, 0)
+    sleep: float = within(0.15, 0)
+    active: float = within(0.3, 0)
+    seed: float = within(50.0, 0, 100)
+    min_measured: int = within(60, 0)
+    alert: float = within(20.0, 0, 100)
+    recent_days: int = within(14, 1)
 
 
 @dataclass(frozen=True)
-class Report:
-    lookback_days: int = 7
-    max_correlations: int = 15
-    words: int = 700
-    language: str = "en"
+class Report(Ranged):
+    lookback_days: int = within(7, 1, 90)
+    max_correlations: int = within(15, 0, 200)
+    words: int = within(700, 100, 3000)
+    language: str = within("en", one_of=("en", "de"))
 
 
 @dataclass(frozen=True)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid import config as C
+from vitalgrid.functions import scan
 from vitalgrid.functions.clock import local_day, seconds
 from vitalgrid.functions.impulse import clamp
+from vitalgrid.functions.tables import kept
 from vitalgrid.operators.stress import dwell, first_match, inside, subject_of, within
 
 
@@ -36,40 +37,42 @@ def rates(buckets: DataFrame, sleep: DataFrame, neutral: Column, e: C.Energy) ->
     return df.withColumn("rate", rate).withColumn("delta", F.col("rate") * F.col("dwell")).drop("_eff")
 
 
-def integrate(steps: DataFrame, seed: float = 50.0) -> DataFrame:
-    """(ts, level) after each bucket, clamped to 0..100, per ``subject`` if there is one.
+_TRIPLE = "struct<d:double,lo:double,hi:double>"
 
-    A step x -> min(hi, max(lo, x + d)) composes with the next into one of its kind. So days are summed up to a triple each, the triples are
-    composed along the days, and the levels within each day follow from its start: no task holds more than a day's buckets or a subject's days.
-    """
-    import pandas as pd
 
+def _then(f: Column, g: Column) -> Column:
+    """The clamped step f, then g, as one: x -> min(hi, max(lo, x + d))."""
+    within_g = lambda x: F.least(g["hi"], F.greatest(g["lo"], x + g["d"]))
+    return F.struct((f["d"] + g["d"]).alias("d"), within_g(f["lo"]).alias("lo"), within_g(f["hi"]).alias("hi"))
+
+
+def _applied(f: Column, x: Column) -> Column:
+    return F.when(f.isNull(), x).otherwise(F.least(f["hi"], F.greatest(f["lo"], x + f["d"])))
+
+
+def integrate(steps: DataFrame, seed: float = 50.0, slot: int = 64) -> DataFrame:
+    """(ts, level) after each bucket, clamped to 0..100, per ``subject`` if there is one; a null delta changes nothing.
+
+    A step x -> min(hi, max(lo, x + d)) composes with the next into one of its kind. So each ``slot`` rows of a day are summed up to a triple,
+    the triples are folded along a day's slots and along the days, and levels within a slot follow from its start. All of it is arrays of
+    bounded length in the JVM: a slot's rows, a day's slots, a subject's days.
+    """
     key = subject_of(steps)
-    df = steps.withColumn("_d", F.to_date("ts"))
-
-    def compose(pdf):
-        d, lo, hi = 0.0, -np.inf, np.inf
-        for x in pdf.sort_values("ts")["delta"]:
-            d, lo, hi = d + x, min(100.0, max(0.0, lo + x)), min(100.0, max(0.0, hi + x))
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in key), pdf["_d"].iloc[0], d, max(lo, -1e300), min(hi, 1e300)]], columns=[*key, "_d", "d", "lo", "hi"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in steps.schema}
-    head = "".join(f"{k} {kinds[k]}, " for k in key)
-    days = df.select(*key, "_d", "ts", "delta").groupBy(*key, "_d").applyInPandas(compose, f"{head}_d date, d double, lo double, hi double")
-    one = F.struct("_d", "d", "lo", "hi")
-    w = within(key).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
-    step = lambda acc, x: F.least(x["hi"], F.greatest(x["lo"], acc + x["d"]))
-    starts = days.withColumn("_start", F.aggregate(F.array_sort(F.collect_list(one).over(w)), F.lit(float(seed)), step)).select(*key, "_d", "_start")
-
-    def levels(pdf):
-        pdf = pdf.sort_values("ts")
-        x, out = float(pdf["_start"].iloc[0]), []
-        for d in pdf["delta"]:
-            x = min(100.0, max(0.0, x + d))
-            out.append(x)
-        return pdf[[*key, "ts"]].assign(level=out)
-
-    return df.select(*key, "_d", "ts", "delta").join(starts, [*key, "_d"]).groupBy(*key, "_d").applyInPandas(levels, f"{head}ts timestamp, level double")
+    rows = steps.select(*key, "ts", F.coalesce("delta", F.lit(0.0)).alias("delta"), F.to_date("ts").alias("_d"))
+    rows = rows.withColumn("_slot", F.floor((F.row_number().over(within(key, "_d").orderBy("ts")) - 1) / slot))
+    held = kept(rows.groupBy(*key, "_d", "_slot").agg(F.array_sort(F.collect_list(F.struct("ts", "delta"))).alias("_steps")), "slots")  # read for days, starts and levels
+    one = lambda x: F.struct(x["delta"].alias("d"), F.lit(0.0).alias("lo"), F.lit(100.0).alias("hi"))
+    none, full = F.lit(None).cast(_TRIPLE), scan.either(_then)
+    whole = lambda items, of: F.aggregate(items, none, lambda acc, x: full(acc, of(x)))
+    days = held.select(*key, "_d", F.struct("_slot", whole(F.col("_steps"), one).alias("t")).alias("_s")).groupBy(*key, "_d").agg(F.array_sort(F.collect_list("_s")).alias("_slots"))
+    days = days.withColumn("_all", whole(F.col("_slots"), lambda x: x["t"]))
+    before = scan.carried(days.select(*key, "_d", "_all"), key, "_d", "_all", _TRIPLE, _then)
+    starts = scan.fold(F.col("_slots"), none, f"struct<slot:bigint,t:{_TRIPLE}>", lambda acc, x: full(acc, x["t"]), lambda acc, x: F.struct(x["_slot"].alias("slot"), acc.alias("t")))
+    starts = days.join(before, [*key, "_d"]).select(*key, "_d", _applied(F.col("carry"), F.lit(float(seed))).alias("_day_start"), F.explode(starts).alias("_s"))
+    starts = starts.select(*key, "_d", F.col("_s.slot").alias("_slot"), _applied(F.col("_s.t"), F.col("_day_start")).alias("_start"))
+    after = lambda x, item: F.least(F.lit(100.0), F.greatest(F.lit(0.0), x + item["delta"]))
+    levels = scan.fold(F.col("_steps"), F.col("_start"), "struct<ts:timestamp,level:double>", after, lambda x, item: F.struct(item["ts"].alias("ts"), after(x, item).alias("level")))
+    return held.join(starts, [*key, "_d", "_slot"]).select(*key, F.explode(levels).alias("_l")).select(*key, "_l.ts", "_l.level")
 
 
 def wake_ends(sleep: DataFrame, zone: str) -> DataFrame:

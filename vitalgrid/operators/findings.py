@@ -83,13 +83,18 @@ def recovery(series: DataFrame, r: C.Recovery, window: int = 28) -> DataFrame:
 
 
 def stress_alerts(days: DataFrame, s: C.Stress) -> DataFrame:
+    """Days whose score reaches the alert level; the day's variability score only where there is one."""
     d = days.filter(F.col("score") >= s.alert)
-    return finding(d, "stress", {c: F.col(c) for c in ("score", "high_min", "medium_min", "rest_min")}, metric_a=F.lit("stress"), ref_date=F.col("day"), severity=F.col("score"))
+    hrv = F.round("hrv_z", 4) if "hrv_z" in days.columns else F.lit(None).cast("double")
+    details = {"score": F.round("score", 1), **{c: F.col(c).cast("int") for c in ("high_min", "medium_min", "rest_min")}, "hrv_z": hrv}
+    return finding(d, "stress", details, metric_a=F.lit("stress"), ref_date=F.col("day"), severity=F.col("score"), note=F.lit("elevated daily stress"))
 
 
 def energy_alerts(days: DataFrame, e: C.Energy) -> DataFrame:
+    """Days whose lowest level is at or below the alert level; severity is how far it is from full."""
     d = days.filter(F.col("low_level") <= e.alert)
-    return finding(d, "body_battery", {c: F.col(c) for c in ("low_level", "high_level", "wake_level", "charged", "drained")}, metric_a=F.lit("body_battery"), ref_date=F.col("day"), severity=100 - F.col("low_level"))
+    details = {**{c: F.col(c).cast("int") for c in ("low_level", "high_level", "wake_level")}, **{c: F.round(F.col(c).cast("double"), 1) for c in ("charged", "drained")}}
+    return finding(d, "body_battery", details, metric_a=F.lit("body_battery"), ref_date=F.col("day"), severity=100 - F.col("low_level"), note=F.lit("low energy reserve"))
 
 
 def consistency(regular: DataFrame, c: C.Consistency) -> DataFrame:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid import config as C
+from vitalgrid.functions.tables import kept
 from vitalgrid.operators import daily, decompose, energy, findings, robust, series, sleep, stress, training
-from vitalgrid.operators.stress import subject_of
+from vitalgrid.operators.stress import beside, subject_of
 from vitalgrid.sources import merge
 
 
@@ -17,16 +19,22 @@ def _bounded(rows: DataFrame, bounds: DataFrame, early_days: int = 0, ts: str =
     """``rows`` of [start, end), and of ``early_days`` more before; bounds are a row (a subject)."""
     key = subject_of(rows, bounds)
     own = bounds.select(*key, (F.col("start") - F.expr(f"interval {24 * early_days} hours")).alias("_from"), F.col("end").alias("_to"))
-    met = rows.join(F.broadcast(own), key) if key else rows.crossJoin(F.broadcast(own))
-    return met.filter((F.col(ts) >= F.col("_from")) & (F.col(ts) < F.col("_to"))).select(*rows.columns)
+    return beside(rows, own, key).filter((F.col(ts) >= F.col("_from")) & (F.col(ts) < F.col("_to"))).select(*rows.columns)
 
 
-def _daily_value(samples: DataFrame, metric: str, agg: str, zone: str) -> DataFrame:
-    """(day, value) of one metric."""
-    key = subject_of(samples)
-    own = samples.filter(F.col("metric") == metric).withColumn("day", daily.local_day(F.col("time"), zone))
-    value = {"max": F.max(F.coalesce("vmax", "qty")), "avg": F.avg(F.coalesce("vavg", "qty"))}[agg]
-    return own.groupBy(*key, "day").agg(value.alias("value")).filter("value is not null")
+def _meeting(intervals: DataFrame, bounds: DataFrame) -> DataFrame:
+    """``intervals`` that meet [start, end) of their subject's bounds, before anything is merged."""
+    key = subject_of(intervals, bounds)
+    own = bounds.select(*key, F.col("start").alias("_from"), F.col("end").alias("_to"))
+    return beside(intervals, own, key).filter((F.col("end") >= F.col("_from")) & (F.col("start") < F.col("_to"))).select(*intervals.columns)
+
+
+def _vitals(samples: DataFrame, zone: str) -> DataFrame:
+    """(day, metric, value): the daily values the stress pass needs, in one scan."""
+    kinds = {"resting_heart_rate": F.avg(F.coalesce("vavg", "qty")), "heart_rate_variability": F.avg(F.coalesce("vavg", "qty")), "heart_rate": F.max(F.coalesce("vmax", "qty"))}
+    own = samples.filter(F.col("metric").isin(*kinds)).withColumn("day", daily.local_day(F.col("time"), zone))
+    picked = F.when(F.col("metric") == "heart_rate", kinds["heart_rate"]).otherwise(kinds["resting_heart_rate"])
+    return own.groupBy(*subject_of(samples), "day", "metric").agg(picked.alias("value")).filter("value is not null")
 
 
 def _scored(values: DataFrame) -> DataFrame:
@@ -52,24 +60,25 @@ def stress_pass(samples: DataFrame, workouts: DataFrame, c: C.Config, since_days
     else the overall median, else 60; variability as a trailing score; the maximum by the profile, age or the data. Steps gate activity only
     where they come about by the minute. Days with too little measured are left out, and so is everything where the pass is off.
     """
-    hr = stress.intraday_hr(samples)
+    hr = kept(stress.intraday_hr(samples), "hr")
     key = subject_of(samples, workouts)
+    vitals = kept(_vitals(samples, c.zone), "vitals")  # a row a day and metric
+    daily_value = lambda metric: vitals.filter(F.col("metric") == metric).drop("metric")
     bounds = stress.window_bounds(hr, c.zone, since_days)
-    rest_values = _daily_value(samples, "resting_heart_rate", "avg", c.zone)
-    seen = _daily_value(samples, "heart_rate", "max", c.zone).groupBy(*key).agg(F.max("value").alias("_seen"))
+    rest_values = daily_value("resting_heart_rate")
+    seen = daily_value("heart_rate").groupBy(*key).agg(F.max("value").alias("_seen"))
     usual = rest_values.groupBy(*key).agg(F.percentile("value", 0.5).alias("_usual"))
-    params = bounds.join(seen, key, "left").join(usual, key, "left") if key else bounds.crossJoin(F.broadcast(seen)).crossJoin(F.broadcast(usual))
+    params = bounds.join(seen, key, "left").join(usual, key, "left") if key else bounds.crossJoin(seen).crossJoin(usual)  # a row each
     given = F.lit(c.profile.hr_rest).cast("double") if c.profile.hr_rest is not None else F.lit(None).cast("double")
     params = params.select(*key, training.resolve_hr_max(c.profile, F.col("_seen")).alias("_max"), F.coalesce(given, "_usual", F.lit(C.REST_DEFAULT)).alias("_default"))
     window = _bounded(hr, bounds)
-    window = window.join(F.broadcast(params), key) if key else window.crossJoin(F.broadcast(params))
-    steps = _bounded(stress.intraday_steps(samples), bounds)
+    window = beside(window, params, key)
+    steps = kept(_bounded(stress.intraday_steps(samples), bounds), "steps")
     fine = stress.cadence_is_fine(steps).filter("fine").select(*key, "fine")
-    steps = (steps.join(F.broadcast(fine), key) if key else steps.crossJoin(F.broadcast(fine))).select(*steps.columns)
-    hrv_z = _scored(_daily_value(samples, "heart_rate_variability", "avg", c.zone))
-    buckets = stress.timeline(window, _resting(rest_values), hrv_z, stress.workout_intervals(workouts), steps, c.zone, c.stress, F.col("_max"), F.col("_default"))
-    if not c.stress.enabled:
-        buckets = buckets.limit(0)
+    steps = beside(steps, fine, key).select(*steps.columns)
+    hrv_z = _scored(daily_value("heart_rate_variability"))
+    buckets = stress.timeline(window, _resting(rest_values), hrv_z, _meeting(stress.workout_intervals(workouts), bounds), steps, c.zone, c.stress, F.col("_max"), F.col("_default"))
+    buckets = kept(buckets if c.stress.enabled else buckets.limit(0), "buckets")
     days = stress.stored_daily(stress.daily(buckets), c.stress)
     return buckets, days.join(hrv_z.withColumn("hrv_z", F.round("hrv_z", 4)), [*key, "day"], "left")
 
@@ -92,7 +101,7 @@ def energy_pass(buckets: DataFrame, asleep: DataFrame, c: C.Config, since_days:
     bounds = stress.window_bounds(buckets, c.zone, since_days)
     warm = _bounded(buckets, bounds, C.WARM_UP_DAYS if since_days is not None else 0)
     neutral = neutral_level(buckets, asleep, c.energy)
-    warm = warm.join(F.broadcast(neutral), key) if key else warm.crossJoin(F.broadcast(neutral))
+    warm = beside(warm, neutral, key)
     levels = _bounded(energy.integrate(energy.rates(warm, asleep, F.col("neutral"), c.energy), c.energy.seed), bounds)
     if not c.energy.enabled:
         levels = levels.limit(0)
@@ -123,7 +132,8 @@ def refresh(read: Callable[[str], DataFrame], c: C.Config, root: str, since_days
     buckets, days = stress_pass(samples, workouts, c, since_days)
     put("stress_intraday", buckets)
     done = {"stress": put("stress_daily", days)}
-    stored = table("stress_intraday", buckets).drop("day").withColumn("day", daily.local_day(F.col("ts"), c.zone))
+    early = bounds["start"] - timedelta(days=C.WARM_UP_DAYS if since_days is not None else 0)
+    stored = stress.stored(table("stress_intraday", buckets), early, bounds["end"]).drop("day").withColumn("day", daily.local_day(F.col("ts"), c.zone))
     levels, days = energy_pass(stored, read("sleep_intervals"), c, since_days)
     put("battery_intraday", levels.withColumn("day", daily.local_day(F.col("ts"), c.zone)))
     return done | {"battery": put("battery_daily", days)}
@@ -131,7 +141,7 @@ def refresh(read: Callable[[str], DataFrame], c: C.Config, root: str, since_days
 
 def all_series(samples: DataFrame, registry: DataFrame, nights: DataFrame, by_day: DataFrame, by_type: DataFrame, c: C.Config) -> DataFrame:
     """Core metrics, sleep and workout loads in one long frame."""
-    return series.core(samples, registry, c.zone).unionByName(series.sleep(nights)).unionByName(series.workouts(by_day, by_type, c.load.metric))
+    return series.core(samples, registry, c.zone).unionByName(series.sleep(nights)).unionByName(series.workouts(by_day, by_type, c.load.metric, c.load.edwards))
 
 
 def loads(workouts: DataFrame, hr: DataFrame, resting: DataFrame, c: C.Config) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from vitalgrid.functions.text import slug
 from vitalgrid.operators.daily import daily_series, gaps_as_null, gaps_as_zero
 
-LOADS = {"trimp": ["trimp", "edwards"], "energy": ["load"], "both": ["trimp", "load", "edwards"]}
+LOADS = {"trimp": ["trimp"], "energy": ["load"], "both": ["trimp", "load"]}
+#: Series of all sessions together beside the loads, and the daily sums they come from.
+TOTALS = {"duration": "duration_h", "count": "count", "intensity": "intensity"}
 
 
 def core(samples: DataFrame, registry: DataFrame, zone: str) -> DataFrame:
@@ -21,20 +23,19 @@ def sleep(frame: DataFrame) -> DataFrame:
     return frame.select("day", F.expr(f"stack({len(names)}, {stack}) as (series, value)")).filter("value is not null").select("series", "day", "value")
 
 
-def workouts(daily: DataFrame, by_type: DataFrame, load_metric: str = "both") -> DataFrame:
-    """Load series of all sessions and of each type, zero on rest days within the observed span; intensity keeps its gaps.
-
-    Zone load comes only where some day has any.
+def workouts(daily: DataFrame, by_type: DataFrame, load_metric: str = "both", edwards: bool = True) -> DataFrame:
+    """Series of all sessions (loads, duration, count, intensity) and the loads of each type, zero on rest days within the observed span;
+    intensity keeps its gaps. Zone load, of which ``edwards`` decides, comes only where some day has any.
     """
-    names = [*LOADS[load_metric], "duration_h", "count"]
+    loads = {n: n for n in LOADS[load_metric] + (["edwards"] if edwards else [])}
 
-    def unpivot(df, suffix):
-        stack = ", ".join(f"'workout_{n}', cast({n} as double)" for n in [*names, "intensity"])
-        out = df.select("day", *suffix, F.expr(f"stack({len(names) + 1}, {stack}) as (series, value)")).filter("value is not null")
+    def unpivot(df: DataFrame, names: dict[str, str], suffix: list[str]) -> DataFrame:
+        stack = ", ".join(f"'workout_{n}', cast({c} as double)" for n, c in names.items())
+        out = df.select("day", *suffix, F.expr(f"stack({len(names)}, {stack}) as (series, value)")).filter("value is not null")
         return out.select(F.concat("series", *[F.concat(F.lit("_"), slug(F.col(s))) for s in suffix]).alias("series"), "day", "value")
 
-    both = unpivot(daily, []).unionByName(unpivot(by_type.filter("canonical_type is not null"), ["canonical_type"]))
+    both = unpivot(daily, loads | TOTALS, []).unionByName(unpivot(by_type.filter("canonical_type is not null"), loads, ["canonical_type"]))
     used = both.groupBy("series").agg(F.max("value").alias("_m")).filter(~F.col("series").startswith("workout_edwards") | (F.col("_m") > 0)).select("series")
     both = both.join(used, "series", "left_semi")
-    gap = F.col("series").startswith("workout_intensity")
+    gap = F.col("series") == "workout_intensity"
     return gaps_as_zero(both.filter(~gap)).unionByName(gaps_as_null(both.filter(gap)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from vitalgrid import config as C
+from vitalgrid.functions import scan
 from vitalgrid.functions.clock import local_day, seconds
 from vitalgrid.functions.impulse import clamp
 
@@ -18,19 +19,40 @@ def subject_of(*frames: DataFrame) -> list[str]:
     return ["subject"] if have == {True} else []
 
 
+def beside(rows: DataFrame, one: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` beside their subject's row of ``one``; without subjects that is a single row, so it is sent to all tasks."""
+    return rows.join(one, key) if key else rows.crossJoin(F.broadcast(one))
+
+
 def within(key: list[str], *more: str) -> WindowSpec:
-    """A window a subject. Without subjects, a table is one person's and so is its one partition."""
+    """A window a subject, and by what more is named. Without either there is one partition: see functions.scan for running values."""
     return Window.partitionBy(*key, *more)
 
 
 def merged(intervals: DataFrame) -> DataFrame:
-    """Overlapping or touching [start, end) made one, by gaps and islands within each ``subject`` if there is one."""
+    """Overlapping or touching [start, end) made one, by gaps and islands within each ``subject`` if there is one.
+
+    Islands are made within the day of their start first; a day's islands then go on from what earlier days reach.
+    """
     key = subject_of(intervals)
-    w = within(key).orderBy("start", "end")
-    df = intervals.filter(F.col("end") > F.col("start"))
-    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    df = df.withColumn("_new", F.coalesce((F.col("start") > before).cast("int"), F.lit(1)))
-    return df.withColumn("_i", F.sum("_new").over(w)).groupBy(*key, "_i").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_i")
+    df = intervals.filter(F.col("end") > F.col("start")).select(*key, "start", "end", F.to_date("start").alias("_day"))
+    w = within(key, "_day").orderBy("start", "end")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    fresh = lambda reach: reach.isNull() | (F.col("start") > reach)
+    in_one = df.withColumn("_reach", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    in_day = in_one.withColumn("_i", F.max(F.when(fresh(F.col("_reach")), F.col("start"))).over(upto))
+    days = in_day.groupBy(*key, "_day", F.col("_i").alias("start")).agg(F.max("end").alias("end"))
+    # Along the days: how far intervals reach, and the start of the island that reaches there.
+    ends = days.groupBy(*key, "_day").agg(F.max("start").alias("start"), F.max("end").alias("end"))
+    listed = ends.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_day", "start", "end"))).alias("_all"))
+    state = "struct<reach:timestamp,open:timestamp>"
+    onward = lambda s, x: F.struct(F.greatest(s["reach"], x["end"]).alias("reach"), F.when(s["reach"].isNull() | (x["start"] > s["reach"]), x["start"]).otherwise(s["open"]).alias("open"))
+    none = F.struct(F.lit(None).cast("timestamp").alias("reach"), F.lit(None).cast("timestamp").alias("open"))
+    carry = scan.fold(F.col("_all"), none, f"struct<_day:date,s:{state}>", onward, lambda s, x: F.struct(x["_day"].alias("_day"), s.alias("s")))
+    over = listed.select(*key, F.explode(carry).alias("_c")).select(*key, "_c._day", F.col("_c.s.reach").alias("_reach"), F.col("_c.s.open").alias("_open"))
+    named = days.join(over, [*key, "_day"], "left").withColumn("_i", F.coalesce(F.max(F.when(fresh(F.col("_reach")), F.col("start"))).over(upto), "_open"))
+    return named.groupBy(*key, "_i").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_i")
 
 
 def _by_day(intervals: DataFrame) -> DataFrame:
@@ -86,7 +108,7 @@ def workout_intervals(workouts: DataFrame, start=None, until=None) -> DataFrame:
 def cadence_is_fine(steps: DataFrame, most_s: float = 120.0) -> DataFrame:
     """One row (a subject): whether steps come about by the minute (median gap; two rows at least)."""
     key = subject_of(steps)
-    gaps = steps.select(*key, seconds(F.col("ts"), F.lag("ts").over(within(key).orderBy("ts"))).alias("gap"))
+    gaps = scan.neighbour(steps.select(*key, "ts"), key, "ts", "_last", ahead=False).select(*key, seconds(F.col("ts"), F.col("_last")).alias("gap"))
     return gaps.groupBy(*key).agg(F.percentile("gap", 0.5).alias("median_gap")).withColumn("fine", F.coalesce(F.col("median_gap") <= most_s, F.lit(False)))
 
 
@@ -96,7 +118,7 @@ def state(stress: Column, s: C.Stress) -> Column:
 
 def timeline(hr: DataFrame, rest: DataFrame, hrv_z: DataFrame, workouts: DataFrame, steps: DataFrame, zone: str, s: C.Stress, hr_max: float | Column, rest_default: float | Column) -> DataFrame:
     """(ts, day, stress, hr, state) of each heart-rate bucket: 0 to 100, null and ``active`` in workouts or above the step threshold,
-    null and ``unmeasurable`` without a positive reserve. The zone follows the unrounded score; the stored one is rounded half-even.
+    null and ``unmeasurable`` without a positive reserve; a threshold of 0 asks for no steps at all. The zone follows the unrounded score; the stored one is rounded half-even.
     ``hr_max`` and ``rest_default`` are numbers, or columns of ``hr``.
     """
     key = subject_of(hr, rest, hrv_z, workouts, steps)
@@ -106,16 +128,21 @@ def timeline(hr: DataFrame, rest: DataFrame, hrv_z: DataFrame, workouts: DataFra
     span = F.lit(s.reserve_full) * (F.lit(hr_max) - r)
     mod = clamp(1 - F.lit(s.hrv_weight) * F.coalesce("hrv_z", F.lit(0.0)), 1 - s.hrv_weight, 1 + s.hrv_weight)
     df = df.withColumn("_raw", F.when((F.lit(hr_max) > r) & F.col("bpm").isNotNull(), clamp(100 * clamp((F.col("bpm") - r) / F.nullif(span, F.lit(0.0)), 0.0, 1.0) * mod, 0.0, 100.0)))
-    active = F.col("_workout") | F.coalesce(F.col("steps") >= s.steps_per_min, F.lit(False))
+    walking = F.coalesce(F.col("steps") >= s.steps_per_min, F.lit(False)) if s.steps_per_min > 0 else F.lit(False)
+    active = F.col("_workout") | walking
     df = df.withColumn("state", F.when(active, "active").when(F.col("_raw").isNull(), "unmeasurable").otherwise(state(F.col("_raw"), s)))
     return df.select(*key, "ts", "day", F.when(active, F.lit(None)).otherwise(F.rint("_raw")).cast("int").alias("stress"), F.col("bpm").alias("hr"), "state")
 
 
 def dwell(buckets: DataFrame, *keys: str) -> DataFrame:
     """``buckets`` with ``dwell`` (minutes to the next, 10 at most; 1 for the last) and ``excess`` (the rest of the gap), within ``keys`` and subject."""
-    gap = seconds(F.lead("ts").over(within(subject_of(buckets), *keys).orderBy("ts")), F.col("ts")) / 60.0
-    df = buckets.withColumn("_gap", gap)
-    return df.withColumns({"dwell": F.when(F.col("_gap").isNull(), F.lit(C.BUCKET_MIN)).otherwise(F.least("_gap", F.lit(C.GAP_CAP_MIN))), "excess": F.greatest(F.coalesce("_gap", F.lit(0.0)) - C.GAP_CAP_MIN, F.lit(0.0))}).drop("_gap")
+    key = subject_of(buckets)
+    if keys:
+        df = buckets.withColumn("_next", F.lead("ts").over(within(key, *keys).orderBy("ts")))
+    else:
+        df = scan.neighbour(buckets, key, "ts", "_next", ahead=True)
+    df = df.withColumn("_gap", seconds(F.col("_next"), F.col("ts")) / 60.0)
+    return df.withColumns({"dwell": F.when(F.col("_gap").isNull(), F.lit(C.BUCKET_MIN)).otherwise(F.least("_gap", F.lit(C.GAP_CAP_MIN))), "excess": F.greatest(F.coalesce("_gap", F.lit(0.0)) - C.GAP_CAP_MIN, F.lit(0.0))}).drop("_gap", "_next")
 
 
 def daily(buckets: DataFrame) -> DataFrame:
@@ -140,7 +167,7 @@ def recent(days: DataFrame, n: int) -> DataFrame:
     """The last n days before the newest stored day, both ends in."""
     key = subject_of(days)
     last = days.groupBy(*key).agg(F.max("day").alias("_last"))
-    return (days.join(last, key) if key else days.crossJoin(F.broadcast(last))).filter(F.col("day") >= F.date_sub("_last", n)).drop("_last")
+    return beside(days, last, key).filter(F.col("day") >= F.date_sub("_last", n)).drop("_last")
 
 
 def window_bounds(hr: DataFrame, zone: str, days: int | None) -> DataFrame:

@@ -6,46 +6,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalgrid import config as C
+from vitalgrid.functions import scan
 from vitalgrid.functions.clock import dense, local_day, seconds
 from vitalgrid.functions.impulse import banister, clamp, reserve, weight, zone_weight
+from vitalgrid.operators.stress import beside, subject_of
 
 
 def rest_by_day(days: DataFrame, resting: DataFrame, span: int = C.REST_WINDOW) -> DataFrame:
     """(subject, day, rest) for each of ``days``: the median resting rate of its last ``span`` calendar days, its own included.
 
-    A range frame over the union of both day sets does what a band join would, in one sort.
+    A band join by buckets of a day: each day asks for the ``span`` days before it, an equi join on (subject, day).
     """
-    key = ["subject"] if "subject" in days.columns else []
-    both = resting.select(*key, "day", F.col("value").alias("_v"), F.lit(0).alias("_q")).unionByName(days.select(*key, "day").distinct().withColumns({"_v": F.lit(None).cast("double"), "_q": F.lit(1)}))
-    number = F.unix_date("day")
-    w = (Window.partitionBy(*key) if key else Window.partitionBy(F.lit(0))).orderBy(number).rangeBetween(1 - span, 0)
-    return both.withColumn("rest", F.percentile("_v", 0.5).over(w)).filter("_q = 1").select(*key, "day", "rest").distinct()
+    key = subject_of(days, resting)
+    own = days.select(*key, "day").distinct()
+    asked = own.select(*key, "day", F.explode(F.sequence(F.date_sub("day", span - 1), F.col("day"))).alias("_day"))
+    values = resting.select(*key, F.col("day").alias("_day"), F.col("value").alias("_v"))
+    return asked.join(values, [*key, "_day"], "left").groupBy(*key, "day").agg(F.percentile("_v", 0.5).alias("rest"))
 
 
 def session_impulse(workouts: DataFrame, hr: DataFrame, resting: DataFrame, zone: str, hr_max: float | None = None, since=None) -> DataFrame:
-    """(hae_id, day, trimp) of each session with a start: Banister impulse over its samples, each interval credited to its first sample and all
-    rescaled to the session's length; without samples from the average rate; else 0.
+    """(hae_id, day, trimp) of each session with a start, a ``subject`` at a time if the tables have that column: Banister impulse over its
+    samples, each interval credited to its first sample and all rescaled to the session's length; without samples from the average rate; else 0.
 
     The maximum is the given one, else the largest session maximum within 160 and 210; rest is the 28-day median, else the overall one, else 60.
     """
+    key = subject_of(workouts, hr, resting)
     most = F.lit(float(hr_max)) if hr_max is not None else F.col("_most")
-    params = workouts.agg(F.coalesce(clamp(F.max("max_hr"), C.HR_MAX_LOW, C.HR_MAX_HIGH), F.lit(C.HR_MAX_LOW)).alias("_most")).crossJoin(resting.agg(F.percentile("value", 0.5).alias("_rest")))  # one row
+    seen = workouts.groupBy(*key).agg(F.coalesce(clamp(F.max("max_hr"), C.HR_MAX_LOW, C.HR_MAX_HIGH), F.lit(C.HR_MAX_LOW)).alias("_most"))
+    usual = resting.groupBy(*key).agg(F.percentile("value", 0.5).alias("_rest"))
+    params = seen.join(usual, key, "left") if key else seen.crossJoin(usual)  # one row (a subject)
     base = workouts.filter("start_time is not null").withColumn("day", local_day(F.col("start_time"), zone))
     if since is not None:
         base = base.filter(F.col("day") >= F.lit(since))
-    base = base.join(rest_by_day(base, resting), "day", "left").crossJoin(F.broadcast(params)).withColumn("_r", F.coalesce("rest", "_rest", F.lit(C.REST_DEFAULT)))
-    after = F.lead("ts").over(Window.partitionBy("workout_hae_id").orderBy("ts"))
-    steps = hr.withColumn("_sec", seconds(after, F.col("ts"))).filter("_sec > 0").join(base.select(F.col("hae_id").alias("workout_hae_id"), "_r", "_most"), "workout_hae_id")
+    base = beside(base.join(rest_by_day(base, resting), [*key, "day"], "left"), params, key).withColumn("_r", F.coalesce("rest", "_rest", F.lit(C.REST_DEFAULT)))
+    after = F.lead("ts").over(Window.partitionBy(*key, "workout_hae_id").orderBy("ts"))
+    steps = hr.withColumn("_sec", seconds(after, F.col("ts"))).filter("_sec > 0").join(base.select(*key, F.col("hae_id").alias("workout_hae_id"), "_r", "_most"), [*key, "workout_hae_id"])
     share = reserve(F.col("bpm"), F.col("_r"), most)
-    sums = steps.groupBy(F.col("workout_hae_id").alias("hae_id")).agg(F.sum(F.col("_sec") / 60.0 * share * weight(share)).alias("_raw"), F.sum("_sec").alias("_total"))
+    sums = steps.groupBy(*key, F.col("workout_hae_id").alias("hae_id")).agg(F.sum(F.col("_sec") / 60.0 * share * weight(share)).alias("_raw"), F.sum("_sec").alias("_total"))
     average = reserve(F.col("avg_hr"), F.col("_r"), most)
     by_average = F.col("duration_s") / 60.0 * average * weight(average)
     by_samples = F.col("_raw") * F.when(F.col("duration_s") > 0, F.col("duration_s") / F.col("_total")).otherwise(F.lit(1.0))
-    return base.join(sums, "hae_id", "left").select("hae_id", "day", F.coalesce(by_samples, by_average, F.lit(0.0)).alias("trimp"))
+    return base.join(sums, [*key, "hae_id"], "left").select(*key, "hae_id", "day", F.coalesce(by_samples, by_average, F.lit(0.0)).alias("trimp"))
 
 
 def daily_impulse(sessions: DataFrame) -> DataFrame:
-    return sessions.groupBy("day").agg(F.sum("trimp").alias("trimp"))
+    return sessions.groupBy(*subject_of(sessions), "day").agg(F.sum("trimp").alias("trimp"))
 
 
 def edwards(workouts: DataFrame, hr: DataFrame, hr_max: float) -> DataFrame:
@@ -117,22 +122,26 @@ def acwr_history(loads: DataFrame) -> DataFrame:
     return df.filter((F.col("_n") >= C.CHRONIC_DAYS) & (F.col("chronic") > 0)).select("series", "day", "acute", "chronic", (F.col("acute") / F.col("chronic")).alias("ratio"))
 
 
-def smoothed(loads: DataFrame) -> DataFrame:
-    """(series, day, value, ctl, atl): exponential smoothing from zero, y += (x - y) / tau, of each dense series, in batches of one series' days."""
-    import numpy as np
-
-    def walk(pdf):
-        pdf = pdf.sort_values("day")
-        x = pdf["value"].to_numpy()
-        for name, tau in (("ctl", C.CTL_TAU), ("atl", C.ATL_TAU)):
-            y, out = 0.0, np.empty(len(x))
-            for i, v in enumerate(x):
-                y += (v - y) / tau
-                out[i] = y
-            pdf[name] = out
-        return pdf
+def smoothed(loads: DataFrame, block: int = 32) -> DataFrame:
+    """(series, day, value, ctl, atl): exponential smoothing from zero, y += (x - y) / tau, of each dense series.
 
-    return loads.select("series", "day", "value").groupBy("series").applyInPandas(walk, "series string, day date, value double, ctl double, atl double")
+    A linear scan by blocks of days: from a start y, a block of n days ends at (1 - 1/tau)^n y plus what it gives from zero. Block ends are
+    folded along each series (twelve or so a year), then each block is walked from its start, all in arrays in the JVM.
+    """
+    taus = {"ctl": float(C.CTL_TAU), "atl": float(C.ATL_TAU)}
+    step = lambda y, x, tau: y + (x - y) / F.lit(tau)
+    both = lambda y, x: F.struct(*[step(y[k], x["value"], tau).alias(k) for k, tau in taus.items()])
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in taus])
+    kind = "struct<ctl:double,atl:double>"
+    held = loads.select("series", "day", F.col("value").cast("double").alias("value"), F.floor(F.unix_date("day") / block).alias("_block"))
+    held = held.groupBy("series", "_block").agg(F.array_sort(F.collect_list(F.struct("day", "value"))).alias("_days"))
+    ends = held.select("series", F.struct("_block", F.size("_days").alias("n"), F.aggregate("_days", zero, both).alias("end")).alias("_b"))
+    ends = ends.groupBy("series").agg(F.array_sort(F.collect_list("_b")).alias("_all"))
+    onward = lambda y, x: F.struct(*[(y[k] * F.pow(F.lit(1 - 1 / tau), x["n"]) + x["end"][k]).alias(k) for k, tau in taus.items()])
+    starts = scan.fold(F.col("_all"), zero, f"struct<_block:bigint,y:{kind}>", onward, lambda y, x: F.struct(x["_block"].alias("_block"), y.alias("y")))
+    starts = ends.select("series", F.explode(starts).alias("_s")).select("series", "_s.*")
+    path = scan.fold(F.col("_days"), F.col("y"), f"struct<day:date,value:double,y:{kind}>", both, lambda y, x: F.struct(x["day"].alias("day"), x["value"].alias("value"), both(y, x).alias("y")))
+    return held.join(starts, ["series", "_block"]).select("series", F.explode(path).alias("_p")).select("series", "_p.day", "_p.value", "_p.y.ctl", "_p.y.atl")
 
 
 def training_status(path: DataFrame, c: C.Load = C.Load()) -> DataFrame:

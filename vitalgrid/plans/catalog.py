@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 
 from vitalgrid import config as C
 from vitalgrid.functions.clock import dense
+from vitalgrid.functions.tables import kept
 from vitalgrid.functions.text import slug, with_canonical_type
 from vitalgrid.operators import audit, correlation, daily, decompose, energy, findings, narrate, passes, robust, series, sleep, stress, training
 from vitalgrid.plans.fixtures import HR_MAX, ZONE, Tables
 from vitalgrid.schema import NAMES, groups
 from vitalgrid.sources import merge, payload
 
-#: Names whose domains metric_domains shows.
+#: Names that metric_domains deals to the parts.
 DOMAIN_NAMES = [
     "sleep_total_h", "respiratory_rate", "heart_rate_variability", "cardio_recovery", "heart_rate", "resting_heart_rate", "walking_heart_rate_average", "vo2_max", "apple_sleeping_wrist_temperature", "weight_body_mass",
-    "blood_oxygen_saturation", "body_temperature", "breathing_disturbances", "physical_effort", "time_in_daylight", "step_count", "active_energy", "workout_trimp", "workout_intensity", "workout_duration_h_running", "workouts", "environmental_audio_exposure",
+    "blood_oxygen_saturation", "body_temperature", "breathing_disturbances", "physical_effort", "time_in_daylight", "step_count", "active_energy", "workout_trimp", "workout_intensity", "workout_duration", "workouts", "environmental_audio_exposure",
 ]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -154,7 +155,7 @@ def bounds_guard(t):
 
 
 def _names(t):
-    names = [n for x in NAMES.values() for n in x][::9] + ["  Outdoor   Run ", "Unknown Sport", "LAUFEN"]
+    names = [n for x in NAMES.values() for n in x] + ["  Outdoor   Run ", "Unknown Sport", "LAUFEN"]
     a = F.array(*map(F.lit, names))
     return t.raw("orders").select("o_orderkey", F.element_at(a, (F.col("o_orderkey") % len(names) + 1).cast("int")).alias("name"))
 
@@ -374,7 +375,7 @@ STRESS = C.Stress()
 def _timeline(t):
     rest = t.samples().groupBy(F.to_date("time").alias("day")).agg((55 + F.count(F.lit(1)) % 11).cast("double").alias("rest"))
     hrv = t.samples().groupBy(F.to_date("time").alias("day")).agg(((F.count(F.lit(1)) % 5) / 2.0 - 1.0).alias("hrv_z"))
-    return stress.timeline(t.hr_events(), rest, hrv, t.intervals(), t.steps_events(), ZONE, STRESS, HR_MAX, 60.0)
+    return kept(stress.timeline(t.hr_events(), rest, hrv, t.intervals(), t.steps_events(), ZONE, STRESS, HR_MAX, 60.0), "timeline")  # the reserve is made of a stored timeline
 
 
 @query
@@ -520,9 +521,10 @@ def projected_decay(t):
 
 @query
 def metric_domains(t):
-    """The domain, and whether it counts as activity volume, of every registered metric and some series made of workouts."""
-    names = t.spark.createDataFrame([(n,) for n in DOMAIN_NAMES], "series string")
-    return names.select("series", correlation.domain(F.col("series")).alias("domain"), correlation.is_volume(F.col("series")).alias("volume"))
+    """The domain, and whether it counts as activity volume, of the series that parts are named after, and how many parts each names."""
+    pick = F.element_at(F.array(*map(F.lit, DOMAIN_NAMES)), (F.col("p_partkey") % len(DOMAIN_NAMES) + 1).cast("int"))
+    named = t.raw("part").groupBy(pick.alias("series")).agg(F.count(F.lit(1)).alias("n"))
+    return named.select("series", correlation.domain(F.col("series")).alias("domain"), correlation.is_volume(F.col("series")).alias("volume"), "n")
 
 
 def _pass(t, subjects=None, since_days=None):
@@ -536,6 +538,11 @@ def stress_pass(t):
     return _round(_pass(t)[2])
 
 
+@query
+def stress_pass_buckets(t):
+    return _round(_pass(t)[1])
+
+
 @query
 def stress_pass_by_subject(t):
     return _round(_pass(t, subjects=3)[2])
@@ -549,5 +556,11 @@ def energy_pass(t):
 
 @query
 def workout_series(t):
-    """Load series of all sessions and of each type, zero on rest days; intensity keeps its gaps."""
-    return _round(series.workouts(_workout_daily(t), _workout_daily(t, ["canonical_type"])))
+    """Series of all sessions and loads of each type, zero on rest days; intensity keeps its gaps."""
+    return _round(series.workouts(_workout_daily(t), _workout_daily(t, ["canonical_type"])), 6)
+
+
+@query
+def workout_series_energy(t):
+    """The same with energy loads alone and no zone load."""
+    return _round(series.workouts(_workout_daily(t), _workout_daily(t, ["canonical_type"]), "energy", edwards=False), 6)

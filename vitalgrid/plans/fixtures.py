@@ -47,6 +47,7 @@ class Tables:
         return o.select(
             key.alias("hae_id"), start.alias("start_time"), F.lit(None).cast("timestamp").alias("end_time"), F.col("o_orderpriority").alias("name"), (600 + F.col("o_custkey") % 3600).cast("double").alias("duration_s"),
             hr.alias("avg_hr"), (hr + 20).alias("max_hr"), (F.col("o_totalprice") / 1000).alias("active_energy_kcal"), F.when(key % 3 != 0, (key % 7).cast("double")).alias("intensity"),
+            F.when(key % 4 != 0, (F.col("o_custkey") % 40).cast("double")).alias("distance_km"),
             F.element_at(F.array(*map(F.lit, ("running", "walking", "cycling", "strength", "yoga"))), (key % 5 + 1).cast("int")).alias("canonical_type"),
         )
 

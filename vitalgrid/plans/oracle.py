@@ -33,7 +33,7 @@ SLEEP = """sleep as (select event_id as id, ts - interval 8 hour as sleep_start,
 FRAME = """bed as (select *, coalesce(epoch(in_bed_end - in_bed_start) / 3600.0, in_bed_h) as b, (coalesce(in_bed_start, sleep_start) at time zone 'UTC') at time zone 'Europe/Vienna' as loc from nightly),
   frame as (select sleep_date as day, max(total_sleep_h) as sleep_total_h, max(deep_h) as sleep_deep_h, max(rem_h) as sleep_rem_h, min(hour(loc) + minute(loc) / 60.0) as bedtime, case when max(b) > 0 then max(total_sleep_h) / max(b) end as sleep_efficiency from bed group by 1)"""
 WORKOUTS = """workouts as (select o_orderkey as hae_id, o_orderdate + (o_orderkey % 86400) * interval 1 second as start_time, o_orderpriority as name, cast(600 + o_custkey % 3600 as double) as duration_s,
-  cast(90 + o_orderkey % 90 as double) as avg_hr, cast(110 + o_orderkey % 90 as double) as max_hr, o_totalprice / 1000 as active_energy_kcal, case when o_orderkey % 3 <> 0 then cast(o_orderkey % 7 as double) end as intensity,
+  cast(90 + o_orderkey % 90 as double) as avg_hr, cast(110 + o_orderkey % 90 as double) as max_hr, o_totalprice / 1000 as active_energy_kcal, case when o_orderkey % 3 <> 0 then cast(o_orderkey % 7 as double) end as intensity, case when o_orderkey % 4 <> 0 then cast(o_custkey % 40 as double) end as distance_km,
   (['running', 'walking', 'cycling', 'strength', 'yoga'])[o_orderkey % 5 + 1] as canonical_type from orders)"""
 HR = """line as (select * from lineitem qualify row_number() over (partition by l_orderkey, l_linenumber order by l_partkey desc, l_suppkey desc, l_quantity desc, l_extendedprice desc) = 1),
   hr as (select hae_id, start_time + l_linenumber * interval 60 second as ts, 70 + 2 * l_quantity as bpm from line join workouts on l_orderkey = hae_id)"""
@@ -85,7 +85,7 @@ RATES = f"""{TIMELINE}, {NAPS}, d1 as (select *, epoch(lead(ts) over (order by t
   d3 as (select ts, dwell, case when eff is not null then 0.15 * case when eff > 0 then least(eff, 1.0) else 1.0 end when state = 'active' then -0.3 when state = 'unmeasurable' or stress is null then 0.0
     when stress > 25 then -0.2 * (stress - 25) / 75.0 else 0.03 * (25 - stress) / 25.0 end as rate from d2),
   d4 as (select ts, dwell, rate, rate * dwell as delta from d3)"""
-_FIRSTS = [n for x in NAMES.values() for n in x][::9] + ["  Outdoor   Run ", "Unknown Sport", "LAUFEN"]
+_FIRSTS = [n for x in NAMES.values() for n in x] + ["  Outdoor   Run ", "Unknown Sport", "LAUFEN"]
 _LIST = "[" + ", ".join(f"'{n}'" for n in _FIRSTS) + "]"
 ONAMES = f"""onames as (select o_orderkey, ({_LIST})[o_orderkey % {len(_FIRSTS)} + 1] as name from orders), dim(key, canonical_type) as (values {_values([(n, t) for t, x in NAMES.items() for n in x])}),
   typed as (select o_orderkey, name, canonical_type from onames left join dim on lower(regexp_replace(trim(name), '\\s+', ' ', 'g')) = key)"""
@@ -123,7 +123,76 @@ def _text(x: str, n: int) -> str:
 
 DOMAIN = lambda c: f"case {c} when '1-URGENT' then 'sleep' when '2-HIGH' then 'autonomic' when '3-MEDIUM' then 'activity' when '4-NOT SPECIFIED' then 'env' else 'hr_rate' end"
 
+
+
+def _wseries(loads: list[str]) -> str:
+    """Series of all sessions (loads, duration, count, intensity) and the loads of each type, over the days they span."""
+    totals = [(x, x) for x in loads] + [("duration", "duration_h"), ("count", "count"), ("intensity", "intensity")]
+    rows = [f"select 'workout_{n}' as series, day, {c}::double as value from al" for n, c in totals] + [f"select 'workout_{n}_' || canonical_type, day, {n} from ty" for n in loads]
+    return f"""with {WORKOUTS}, {HR}, {RESTING}, {EDWARDS}, {REST}, {WDAILY}, al as (select day, {WSUM} from wx group by day), ty as (select day, canonical_type, {WSUM} from wx group by day, canonical_type),
+      lo as (select * from ({' union all '.join(rows)}) where value is not null), us as (select series from lo group by series having series not like 'workout_edwards%' or max(value) > 0),
+      gr as (select series, unnest(generate_series(min(day), max(day), interval 1 day))::date as day from lo where series in (select series from us) group by series)
+      select gr.series, gr.day, round(case when gr.series = 'workout_intensity' then value else coalesce(value, 0) end, 6) as value from gr left join lo on gr.series = lo.series and gr.day = lo.day"""
+
+
+def _stress_pass(key: str = "") -> str:
+    """Buckets (sp_b) and days (sp_d) of the whole history, of each ``key`` if there is one."""
+    k, on = (f"{key}, ", f"{key}, ") if key else ("", "")
+    by, part = (f" group by {key}", f"partition by {key} ") if key else ("", "")
+    same = lambda a, b: f"{a}.{key} = {b}.{key} and " if key else ""
+    who = "user_id % 3 as subject, " if key else ""
+    return f"""sp_v as (select {who}ts as time, case event_type when 'view' then 'hr' when 'purchase' then 'rest' when 'signup' then 'hrv' when 'click' then 'step' end as metric,
+      case event_type when 'view' then 50 + least(value, 140) when 'purchase' then 45 + value % 20 else value end as qty from events),
+    sp_hr as (select {k}time as ts, avg(qty) as bpm from sp_v where metric = 'hr' group by {on}time),
+    sp_st as (select {k}time as ts, max(qty) as steps from sp_v where metric = 'step' group by {on}time),
+    sp_w as (select {who}ts as s, ts + interval 600 second as e from events where event_type = 'purchase'),
+    sp_rv as (select {k}{_day('time')} as day, avg(qty) as value from sp_v where metric = 'rest' group by {on}{_day('time')}),
+    sp_hv as (select {k}{_day('time')} as day, avg(qty) as value from sp_v where metric = 'hrv' group by {on}{_day('time')}),
+    sp_mx as (select {k}greatest(160, least(210, max(qty))) as mx from sp_v where metric = 'hr'{by}),
+    sp_us as (select {k}median(value) as us from sp_rv{by}),
+    sp_ga as (select {k}epoch(ts - lag(ts) over ({part}order by ts)) as gap from sp_st where ts between (select min(ts) from sp_hr) and (select max(ts) from sp_hr) + interval 1 second),
+    sp_fi as (select {k}coalesce(median(gap) <= 120, false) as fine from sp_ga{by}),
+    sp_z1 as (select {k}day, value, array_agg(value) over ({part}order by day rows between 28 preceding and 1 preceding) as w from sp_hv),
+    sp_z2 as (select {k}day, value, w, case when len(w) = 28 then list_median(w) end as m from sp_z1),
+    sp_z3 as (select *, case when m is not null then list_median(list_transform(w, lambda x: abs(x - m))) end as d from sp_z2),
+    sp_z as (select {k}day, case when d > 0 then 0.6745 * (value - m) / d end as hrv_z from sp_z3),
+    sp_rg as (select {k}unnest(generate_series(min(day), max(day), interval 1 day))::date as day from sp_rv{by}),
+    sp_rd as (select g.*, value from sp_rg g left join sp_rv v on {same('g', 'v')}g.day = v.day),
+    sp_rr as (select {k}day, case when count(value) over w >= 7 then quantile_cont(value, 0.5) over w end as rest from sp_rd window w as ({part}order by day rows between 27 preceding and current row)),
+    sp_j as (select h.*, {_day('h.ts')} as day, coalesce(rest, us, 60) as r, mx, coalesce(hrv_z, 0) as z, exists (select 1 from sp_w w where {same('w', 'h')}h.ts >= w.s and h.ts < w.e) as workout,
+        coalesce(fine and steps >= 60, false) as walking from sp_hr h join sp_mx m on {same('h', 'm')}true left join sp_us u on {same('h', 'u')}true left join sp_fi f on {same('h', 'f')}true
+        left join sp_st s on {same('h', 's')}h.ts = s.ts left join sp_rr q on {same('h', 'q')}q.day = {_day('h.ts')} left join sp_z z on {same('h', 'z')}z.day = {_day('h.ts')}),
+    sp_x as (select *, case when mx > r and bpm is not null then greatest(0, least(100, 100 * greatest(0, least(1, (bpm - r) / (0.5 * (mx - r)))) * greatest(0.7, least(1.3, 1 - 0.3 * z)))) end as raw from sp_j),
+    sp_b as (select {k}ts, day, case when workout or walking then null else round_even(raw, 0)::int end as stress, bpm as hr,
+        case when workout or walking then 'active' when raw is null then 'unmeasurable' when raw < 25 then 'rest' when raw < 50 then 'low' when raw < 75 then 'medium' else 'high' end as state from sp_x),
+    sp_g as (select *, epoch(lead(ts) over (partition by {on}day order by ts) - ts) / 60.0 as gap from sp_b),
+    sp_w2 as (select *, case when gap is null then 1.0 else least(gap, 10.0) end as dwell, case when gap is null then 0.0 else greatest(gap - 10.0, 0) end as excess from sp_g),
+    sp_d0 as (select {k}day, {', '.join(f"sum(case when state = '{x}' then dwell else 0 end) as {x}_min" for x in ('rest', 'low', 'medium', 'high', 'active'))},
+        sum(case when state = 'unmeasurable' then dwell else 0 end) + sum(excess) as unmeasurable_min, sum(case when stress is not null then dwell else 0 end) as measured_min, sum(stress * dwell) as total from sp_w2 group by {on}day),
+    sp_d as (select d.*, total / measured_min as score, hrv_z from sp_d0 d left join sp_z z on {same('d', 'z')}d.day = z.day where measured_min >= 60)"""
+
+
+_SPD = ", ".join(f"round_even({x}_min, 0)::int as {x}_min" for x in ("rest", "low", "medium", "high", "active", "unmeasurable"))
+_ENERGY_PASS = f"""{_stress_pass()}, naps as (select ts as s, ts + interval 40 minute as e, (user_id % 4 + 1) / 4.0 as eff from events where event_type = 'signup'),
+  ep_a as (select stress from sp_b where stress is not null and ts >= (select max(ts) from sp_b) - interval 60 day and not exists (select 1 from naps where sp_b.ts >= s and sp_b.ts < e)),
+  ep_n as (select case when count(*) >= 1440 then greatest(5, least(50, round_even(quantile_cont(stress, 0.4), 1))) else 25.0 end::double as neutral from ep_a),
+  ep_g as (select *, epoch(lead(ts) over (order by ts) - ts) / 60.0 as gap, (select arg_min(eff, (s, e)) from naps where sp_b.ts >= s and sp_b.ts < e) as eff from sp_b),
+  ep_r as (select ts, day, state, case when gap is null then 1.0 else least(gap, 10.0) end * case when eff is not null then 0.15 * case when eff > 0 then least(eff, 1) else 1 end when state = 'active' then -0.3
+      when state = 'unmeasurable' or stress is null then 0 when stress > neutral then -0.2 * (stress - neutral) / (100 - neutral) else 0.03 * (neutral - stress) / neutral end as delta from ep_g, ep_n),
+  ep_i as materialized (select ts, delta, row_number() over (order by ts) as i from ep_r),
+  ep_f(i, ts, level) as (select i, ts, greatest(0, least(100, 50 + delta))::double from ep_i where i = 1 union all select n.i, n.ts, greatest(0, least(100, level + n.delta))::double from ep_f f join ep_i n on n.i = f.i + 1),
+  ep_w as (select {_day('e')} as day, arg_max(e, (epoch(e - s), -epoch_us(s))) as wake from naps group by 1),
+  ep_l as (select ts, level, {_day('ts')} as day from ep_f), ep_x as (select l.*, level - lag(level) over (partition by l.day order by ts) as diff, wake from ep_l l left join ep_w w on l.day = w.day),
+  ep_k as (select {_day('ts')} as day from sp_b where state <> 'unmeasurable' group by 1 having count(*) >= 60)"""
+
 ORACLE_SQL = {
+    "workout_series": _wseries(["trimp", "load", "edwards"]),
+    "workout_series_energy": _wseries(["load"]),
+    "stress_pass_buckets": f"with {_stress_pass()} select ts, day, stress, round(hr, 4) as hr, state from sp_b",
+    "stress_pass": f"with {_stress_pass()} select day, round_even(score, 1) as score, {_SPD}, round(hrv_z, 4) as hrv_z from sp_d",
+    "stress_pass_by_subject": f"with {_stress_pass('subject')} select subject, day, round_even(score, 1) as score, {_SPD}, round(hrv_z, 4) as hrv_z from sp_d",
+    "energy_pass": f"""with recursive {_ENERGY_PASS} select x.day, round_even(arg_max(level, ts) filter (ts <= wake), 0)::int as wake_level, round_even(max(level), 0)::int as high_level, round_even(min(level), 0)::int as low_level,
+      round_even(sum(greatest(coalesce(diff, 0), 0)), 0)::int as charged, round_even(sum(greatest(-coalesce(diff, 0), 0)), 0)::int as drained from ep_x x join ep_k k on x.day = k.day group by x.day""",
     "daily_metrics": f"with {SAMPLES}, {DAILY} select day, metric, round(avg, 4) as avg, round(min, 4) as min, round(max, 4) as max, round(sum, 4) as sum, n from daily",
     "daily_by_registry": f"{BASE} select series, day, round(value, 4) as value from observed",
     "dense_grid": f"{BASE}, {GRID} select grid.series, grid.day, round(value, 4) as value from grid left join thin on grid.series = thin.series and grid.day = thin.day",
@@ -167,7 +236,7 @@ ORACLE_SQL = {
     "workout_daily": _wdaily(),
     "workout_daily_by_type": _wdaily(", canonical_type"),
     "load_by_group": f"""with {WORKOUTS}, grp(canonical_type, display_group, sort) as (values {_values(GROUPS)})
-      select date_trunc('week', {_day('start_time')})::date as week, coalesce(display_group, 'Other') as display_group, round(sum(duration_s / 3600.0), 4) as hours, count(*) as sessions from workouts left join grp using (canonical_type) group by 1, 2""",
+      select date_trunc('week', {_day('start_time')})::date as week, coalesce(display_group, 'Other') as display_group, round(sum(duration_s / 3600.0), 4) as hours, round(sum(distance_km), 4) as distance_km, count(*) as sessions from workouts left join grp using (canonical_type) group by 1, 2""",
     "load_focus": f"""with {WORKOUTS}, {HR}, s as (select hae_id, bpm, epoch(lead(ts) over (partition by hae_id order by ts) - ts) as sec from hr), k as (select * from s where sec > 0),
       p as (select {_day('start_time')} as day, bpm, sec from workouts join k using (hae_id) union all select {_day('start_time')}, avg_hr, duration_s from workouts where hae_id not in (select hae_id from k))
       select day, round(sum(case when bpm / {HR_MAX} >= 0.5 and bpm / {HR_MAX} < 0.8 then sec / 60.0 else 0 end), 4) as low_min, round(sum(case when bpm / {HR_MAX} >= 0.8 and bpm / {HR_MAX} < 0.9 then sec / 60.0 else 0 end), 4) as high_min,
@@ -239,10 +308,11 @@ ORACLE_SQL = {
       select a, b, lag, da, db, tier, round(10 * tier + abs(coef) + 0.05 * least(lag, 3), 5)::double as priority from t""",
     "projected_decay": f"""with recursive {EWMA}, l as (select * from ew qualify row_number() over (partition by series order by day desc) = 1)
       select series, k::int as k, round(ctl * pow(1 - 1 / 42.0, k), 3) as ctl, round(atl * pow(1 - 1 / 7.0, k), 3) as atl from l, (select unnest(range(1, 31)) as k)""",
-    "metric_domains": """with n(series, domain, volume) as (values
+    "metric_domains": """with d(series, domain, volume) as (values
         ('sleep_total_h', 'sleep', false), ('respiratory_rate', 'autonomic', false), ('heart_rate_variability', 'autonomic', false), ('cardio_recovery', 'autonomic', false),
         ('heart_rate', 'hr_rate', false), ('resting_heart_rate', 'hr_rate', false), ('walking_heart_rate_average', 'hr_rate', false),
         ('vo2_max', 'vital', false), ('apple_sleeping_wrist_temperature', 'vital', false), ('weight_body_mass', 'vital', false), ('blood_oxygen_saturation', 'vital', false), ('body_temperature', 'vital', false), ('breathing_disturbances', 'vital', false),
         ('physical_effort', 'activity', false), ('time_in_daylight', 'env', false), ('step_count', 'activity', true), ('active_energy', 'activity', true),
-        ('workout_trimp', 'activity', true), ('workout_intensity', 'activity', true), ('workout_duration_h_running', 'activity', true), ('workouts', 'other', false), ('environmental_audio_exposure', 'other', false)) select * from n""",
+        ('workout_trimp', 'activity', true), ('workout_intensity', 'activity', true), ('workout_duration', 'activity', true), ('workouts', 'other', false), ('environmental_audio_exposure', 'other', false)) 
+      , n as (select row_number() over () as i, * from d), p as (select p_partkey % (select count(*) from d) + 1 as i, count(*) as n from part group by 1) select series, domain, volume, p.n::bigint as n from n join p using (i)""",
 }

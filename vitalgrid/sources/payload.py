@@ -97,8 +97,16 @@ def _energy(key: str) -> Column:
     return F.when(_get("w", f"{key}.units") == "kJ", _quantity(key) * 0.2390057361).otherwise(_quantity(key))
 
 
+def _strange_energy(key: str) -> Column:
+    """1 where an energy has a quantity and a unit that is neither kJ nor kcal, else 0; no or an empty unit is kcal."""
+    unit = F.nullif(_get("w", f"{key}.units"), F.lit(""))
+    return (F.expr(f"try_cast(get_json_object(w, '$.{key}.qty') as double)").isNotNull() & F.coalesce(~unit.isin("kJ", "kcal"), F.lit(False))).cast("int")
+
+
 def workouts(bodies: DataFrame, body: str = "body", type_map: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(workouts, dropped): sessions with a valid UUID, and id and name of the others. ``w`` holds the session's JSON."""
+    """(workouts, dropped): sessions with a valid UUID, and id and name of the others. ``w`` holds the session's JSON, ``energy_flags``
+    how many of its two energies are in an unknown unit.
+    """
     w = bodies.select("*", F.posexplode(_array(F.get_json_object(body, "$.data.workouts"))).alias("pos", "w")).drop(body)
     w = w.withColumns({"hae_id": F.lower(_get("w", "id")), "name": _get("w", "name")})
     good = F.coalesce(F.col("hae_id").rlike(UUID), F.lit(False))
@@ -107,7 +115,7 @@ def workouts(bodies: DataFrame, body: str = "body", type_map: dict[str, str] | N
     rows = w.filter(good).withColumns({
         "hae_id": canonical, "start_time": parse_instant(_get("w", "start")), "end_time": parse_instant(_get("w", "end")), "location": _get("w", "location"),
         "is_indoor": _get("w", "isIndoor", "boolean"), "duration_s": _get("w", "duration", "double"), "total_energy_kcal": _energy("totalEnergy"), "active_energy_kcal": _energy("activeEnergyBurned"),
-        "energy_flagged": F.coalesce(_get("w", "activeEnergyBurned.units").isin("kJ", "kcal"), F.lit(True)) == F.lit(False),
+        "energy_flags": _strange_energy("totalEnergy") + _strange_energy("activeEnergyBurned"),
         "distance_km": _quantity("distance"), "avg_hr": _quantity("heartRate.avg"), "max_hr": _quantity("heartRate.max"), "intensity": _quantity("intensity"),
         "elevation_up_m": _quantity("elevationUp"), "temperature_c": _quantity("temperature"), "humidity_pct": _quantity("humidity"), "source": _get("w", "source"),
     })

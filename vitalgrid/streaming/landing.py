@@ -130,7 +130,7 @@ def ingest(store: Store, bodies: DataFrame, type_map: dict[str, str] | None = No
         sessions, dropped = payload.workouts(tagged, type_map=type_map)
         counts |= rows.agg(F.count_if("implausible").alias("implausible"), F.count_if("flagged").alias("flagged")).first().asDict()
         nights = payload.sleep_rows(points)
-        counts |= {"skipped_sleep": points.filter("name = 'sleep_analysis'").count() - nights.count(), "dropped_workouts": dropped.count(), "flagged_energy": sessions.filter("energy_flagged").count()}
+        counts |= {"skipped_sleep": points.filter("name = 'sleep_analysis'").count() - nights.count(), "dropped_workouts": dropped.count(), "flagged_energy": sessions.agg(F.coalesce(F.sum("energy_flags"), F.lit(0))).first()[0]}
         if dry_run:
             return counts
         known = store.read("metric_registry")
@@ -140,7 +140,7 @@ def ingest(store: Store, bodies: DataFrame, type_map: dict[str, str] | None = No
         store.upsert("metric_samples", kept)
         store.upsert("sleep_sessions", nights.withColumn("seq", F.struct("_path", "pos")).drop("_path", "pos"))
         order = F.struct(F.col("_path"), F.col("pos").alias("pos"))
-        store.upsert("workouts", sessions.withColumn("seq", order).drop("w", "pos", "_path"))
+        store.upsert("workouts", sessions.withColumn("seq", order).drop("w", "pos", "_path", "energy_flags"))
         for name, part in (("workout_hr_samples", payload.hr_samples(sessions)), ("workout_route_points", payload.route_points(sessions))):
             store.upsert(name, part)
         store.replace("metric_registry", known.unionByName(stubs))
