@@ -1,11 +1,14 @@
 import datetime as dt
 import json
+import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
 from vitalgrid.__main__ import main
-from vitalgrid.operators import findings, narrate
+from vitalgrid.operators import audit, findings, narrate
 from vitalgrid.schema import registry
+from vitalgrid.sources import merge, payload
 from vitalgrid.streaming import landing
 from tests.test_operators import BODY
 
@@ -36,7 +39,65 @@ def test_dry_run_stores_nothing(spark, tmp_path):
     bodies = spark.createDataFrame([("a", json.dumps(BODY)), ("b", "{")], "path string, body string")
     dry = landing.ingest(store, bodies, dry_run=True)
     assert store.read("raw_ingest") is None and store.read("metric_samples") is None and landing.rederive_hr(store) == 0
-    assert dry == landing.ingest(store, bodies) and (dry["files"], dry["bad"], dry["new"]) == (2, 1, 1)
+    done = landing.ingest(store, bodies)
+    assert {k: done[k] for k in dry} == dry and (dry["files"], dry["bad"], dry["new"]) == (2, 1, 1) and not [k for k in dry if k.endswith("_stored")]
+
+
+def test_counts_come_from_the_writes(spark, tmp_path):
+    store = landing.Store(spark, str(tmp_path / "store"))
+    first = landing.ingest(store, spark.createDataFrame([("a", json.dumps(BODY))], "path string, body string"))
+    of = lambda counts, table: (counts[f"{table}_stored"], counts[f"{table}_new"])
+    assert of(first, "metric_samples") == (3, 3) and of(first, "sleep_sessions") == (1, 1) and of(first, "workouts") == (1, 1) and of(first, "workout_hr_samples") == (2, 2)
+    assert first["unknown_metrics"] == 1
+    more = json.loads(json.dumps(BODY))
+    more["data"]["metrics"][1]["data"].append({"date": "2024-05-03 10:00:00 +0200", "qty": 5})  # one new sample, the others again
+    more["data"]["metrics"][3]["data"][0]["totalSleep"] = 1.0  # emptier than what is stored
+    second = landing.ingest(store, spark.createDataFrame([("b", json.dumps(more))], "path string, body string"))
+    assert of(second, "metric_samples") == (4, 1) and of(second, "sleep_sessions") == (0, 0) and of(second, "workouts") == (1, 0) and of(second, "workout_hr_samples") == (2, 0)
+    assert second["unknown_metrics"] == 0
+    bare = landing.ingest(store, spark.createDataFrame([("c", '{"data": {}}')], "path string, body string"))
+    assert bare["new"] == 1 and all(v == 0 for k, v in bare.items() if k.endswith(("_stored", "_new")))
+
+
+def test_a_body_is_parsed_once(spark):
+    bodies = spark.createDataFrame([(json.dumps(BODY),)], "body string")
+    for frame in (payload.samples(payload.metric_points(bodies)), payload.workouts(bodies)[0], audit.census(bodies)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert plan.lower().count("parse_json(") + plan.lower().count("parsejson(") <= 1 and "get_json_object" not in plan.lower()
+
+
+def test_a_replacement_survives_a_crash(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(dt.date(2024, 1, d), d) for d in (1, 2, 3, 4)], "day date, v int")
+    rows.write.partitionBy("day").parquet(path)
+    read = lambda: sorted((r.day.day, r.v) for r in spark.read.schema("v int, day date").parquet(path).collect())
+    new = rows.filter("v in (2, 4)").withColumn("v", F.col("v") * 10)
+    real, calls = merge.complete, []
+
+    def stop(spark, at):
+        calls.append(at)
+        if len(calls) == 2:
+            raise RuntimeError("stopped behind the marker")
+        real(spark, at)
+
+    monkeypatch.setattr(merge, "complete", stop)
+    for half in (False, True):
+        calls.clear()
+        with pytest.raises(RuntimeError):
+            merge.replace_window(path, new, "day", "2024-01-02", "2024-01-04")
+        if half:  # some days are moved already
+            staged = next(p for p in (tmp_path / "t").iterdir() if p.name.startswith("_staged-"))
+            (tmp_path / "t" / "_replacing-days").write_text(json.dumps(["day=2024-01-02", "day=2024-01-04"]))
+            shutil.rmtree(tmp_path / "t" / "day=2024-01-02")
+            (staged / "day=2024-01-02").rename(tmp_path / "t" / "day=2024-01-02")
+        real(spark, path)
+        assert read() == [(1, 1), (2, 20), (4, 40)]
+        assert not [p.name for p in (tmp_path / "t").iterdir() if p.name.startswith(("_staged", "_replacing"))]
+    calls.clear()
+    new.write.partitionBy("day").parquet(f"{path}/_staged-old")  # staged, but never marked
+    monkeypatch.setattr(merge, "complete", real)
+    merge.replace_window(path, new.limit(0), "day", "2024-01-03", "2024-01-04")
+    assert read() == [(1, 1), (2, 20)] and not (tmp_path / "t" / "_staged-old").exists()
 
 
 def _points(spark, *rows):

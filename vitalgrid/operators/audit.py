@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.functions.text import with_canonical_type
+from vitalgrid.sources import payload
 
 
 def coverage(daily: DataFrame, registry: DataFrame, min_overlap: int = 42) -> DataFrame:
@@ -56,6 +57,6 @@ def report(daily: DataFrame, samples: DataFrame, registry: DataFrame, workouts:
 
 def census(bodies: DataFrame, body: str = "body") -> DataFrame:
     """(field, sessions, least, most, median) of the array fields of the payloads' workouts; the median is cut to a whole number."""
-    w = bodies.select(F.explode(F.from_json(F.get_json_object(body, "$.data.workouts"), "array<map<string,string>>")).alias("w"))
-    f = w.select(F.explode("w").alias("field", "v")).filter(F.ltrim("v").startswith("[")).withColumn("n", F.json_array_length("v"))
+    w = payload.parsed(bodies, body).select(F.explode(F.expr("try_variant_get(v, '$.data.workouts', 'array<variant>')")).alias("w"))
+    f = w.select(F.explode(F.expr("try_variant_get(w, '$', 'map<string,variant>')")).alias("field", "x")).withColumn("n", F.size(F.expr("try_variant_get(x, '$', 'array<variant>')"))).filter("n >= 0")
     return f.groupBy("field").agg(F.count(F.lit(1)).alias("sessions"), F.min("n").alias("least"), F.max("n").alias("most"), F.floor(F.percentile("n", 0.5)).cast("int").alias("median"))

@@ -123,6 +123,7 @@ def refresh(read: Callable[[str], DataFrame], c: C.Config, root: str, since_days
     last = hr.agg(F.max(daily.local_day(F.col("ts"), c.zone))).first()[0]
 
     def table(name: str, like: DataFrame) -> DataFrame:  # its schema is given: it may be empty
+        merge.complete(spark, f"{root}/{name}")
         return spark.read.schema(like.schema).parquet(f"{root}/{name}")
 
     def put(name: str, rows: DataFrame) -> int:

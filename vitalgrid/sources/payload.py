@@ -23,30 +23,37 @@ def files(spark: SparkSession, path: str | list[str], pattern: str = "*.json", m
     return found.filter(F.col("length") <= most_bytes).select("path", F.col("content").cast("string").alias("body"))
 
 
+def parsed(bodies: DataFrame, body: str = "body") -> DataFrame:
+    """``bodies`` with ``v``, the body as a VARIANT (null where it is no JSON): parsed once, all fields are read out of it. A ``v`` that is there stays."""
+    return bodies if "v" in bodies.columns else bodies.withColumn("v", F.try_parse_json(body))
+
+
 def status(bodies: DataFrame, body: str = "body") -> DataFrame:
-    """``bodies`` with ``status``: ok, or bad where the body is no JSON object. A bad file stops nothing."""
-    return bodies.withColumn("status", F.when(F.try_parse_json(body).isNotNull() & F.col(body).rlike(r"^\s*\{"), "ok").otherwise("bad"))
+    """``bodies`` with ``v`` and ``status``: ok, or bad where the body is no JSON object. A bad file stops nothing."""
+    return parsed(bodies, body).withColumn("status", F.when(F.col("v").isNotNull() & F.col(body).rlike(r"^\s*\{"), "ok").otherwise("bad"))
 
 
 def _get(point: str, key: str, kind: str = "string") -> Column:
-    return F.get_json_object(point, f"$.{key}") if kind == "string" else F.expr(f"try_cast(get_json_object({point}, '$.{key}') as {kind})")
+    return F.expr(f"try_variant_get({point}, '$.{key}', '{kind}')")
 
 
-def _array(text: Column) -> Column:
-    return F.from_json(text, "array<string>")
+def _array(of: str, key: str) -> Column:
+    """An array's elements as VARIANTs; null for anything else."""
+    return _get(of, key, "array<variant>")
 
 
 def metric_points(bodies: DataFrame, body: str = "body") -> DataFrame:
     """(seq columns of ``bodies``, name, units, pos, point): every point of every named metric."""
-    m = bodies.select("*", F.posexplode(_array(F.get_json_object(body, "$.data.metrics"))).alias("_mp", "_m"))
+    b = parsed(bodies, body)
+    m = b.select("*", F.posexplode(_array("v", "data.metrics")).alias("_mp", "_m")).drop(body, "v")
     m = m.withColumns({"name": _get("_m", "name"), "units": _get("_m", "units")}).filter(F.col("name") != "")
-    return m.select("*", F.posexplode(_array(F.get_json_object("_m", "$.data"))).alias("_pp", "point")).drop("_m", body).withColumn("pos", F.struct("_mp", "_pp")).drop("_mp", "_pp")
+    return m.select("*", F.posexplode(_array("_m", "data")).alias("_pp", "point")).drop("_m").withColumn("pos", F.struct("_mp", "_pp")).drop("_mp", "_pp")
 
 
 def samples(points: DataFrame) -> DataFrame:
     """Metric rows from points, a point's own unit before its metric's: min/avg/max where such a key is present, even if null, else qty. Bad times go; bounds are not yet applied."""
-    keys = F.json_object_keys("point")
-    ranged = F.arrays_overlap(keys, F.array(F.lit("Min"), F.lit("Avg"), F.lit("Max")))
+    present = lambda k: F.expr(f"variant_get(point, '$.{k}')").isNotNull()  # noqa: E731 - a JSON null is there
+    ranged = present("Min") | present("Avg") | present("Max")
     value = lambda k, on: F.when(on, _get("point", k, "double"))
     return points.filter("name <> 'sleep_analysis'").select(
         *[c for c in points.columns if c not in ("name", "units", "point")],
@@ -83,14 +90,14 @@ def sleep_rows(points: DataFrame) -> DataFrame:
     return points.filter("name = 'sleep_analysis'").select(
         *[c for c in points.columns if c not in ("name", "units", "point")],
         *[parse_instant(_get("point", k)).alias(a) for a, k in (("sleep_start", "sleepStart"), ("sleep_end", "sleepEnd"), ("in_bed_start", "inBedStart"), ("in_bed_end", "inBedEnd"))],
-        F.coalesce(_get("point", "source"), F.lit("")).alias("source"), F.expr("try_cast(substr(get_json_object(point, '$.date'), 1, 10) as date)").alias("sleep_date"),
+        F.coalesce(_get("point", "source"), F.lit("")).alias("source"), F.substring(_get("point", "date"), 1, 10).try_cast("date").alias("sleep_date"),
         *[_get("point", k, "double").alias(a) for a, k in hours.items()],
     ).filter("sleep_start is not null")
 
 
 def _quantity(key: str) -> Column:
     """Of ``{qty, units}`` or a bare number."""
-    return F.expr(f"coalesce(try_cast(get_json_object(w, '$.{key}.qty') as double), try_cast(get_json_object(w, '$.{key}') as double))")
+    return F.coalesce(_get("w", f"{key}.qty", "double"), _get("w", key, "double"))
 
 
 def _energy(key: str) -> Column:
@@ -100,14 +107,15 @@ def _energy(key: str) -> Column:
 def _strange_energy(key: str) -> Column:
     """1 where an energy has a quantity and a unit that is neither kJ nor kcal, else 0; no or an empty unit is kcal."""
     unit = F.nullif(_get("w", f"{key}.units"), F.lit(""))
-    return (F.expr(f"try_cast(get_json_object(w, '$.{key}.qty') as double)").isNotNull() & F.coalesce(~unit.isin("kJ", "kcal"), F.lit(False))).cast("int")
+    return (_get("w", f"{key}.qty", "double").isNotNull() & F.coalesce(~unit.isin("kJ", "kcal"), F.lit(False))).cast("int")
 
 
 def workouts(bodies: DataFrame, body: str = "body", type_map: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(workouts, dropped): sessions with a valid UUID, and id and name of the others. ``w`` holds the session's JSON, ``energy_flags``
+    """(workouts, dropped): sessions with a valid UUID, and id and name of the others. ``w`` holds the session as a VARIANT, ``energy_flags``
     how many of its two energies are in an unknown unit.
     """
-    w = bodies.select("*", F.posexplode(_array(F.get_json_object(body, "$.data.workouts"))).alias("pos", "w")).drop(body)
+    b = parsed(bodies, body)
+    w = b.select("*", F.posexplode(_array("v", "data.workouts")).alias("pos", "w")).drop(body, "v")
     w = w.withColumns({"hae_id": F.lower(_get("w", "id")), "name": _get("w", "name")})
     good = F.coalesce(F.col("hae_id").rlike(UUID), F.lit(False))
     flat = F.regexp_replace("hae_id", "-", "")
@@ -133,13 +141,13 @@ def _seq(points: DataFrame) -> Column:
 
 def hr_samples(sessions: DataFrame) -> DataFrame:
     """(workout, ts, bpm): the average if there, else the quantity; both time and value are needed."""
-    p = sessions.select("hae_id", *_origin(sessions), F.posexplode(_array(F.get_json_object("w", "$.heartRateData"))).alias("at", "p"))
+    p = sessions.select("hae_id", *_origin(sessions), F.posexplode(_array("w", "heartRateData")).alias("at", "p"))
     bpm = F.coalesce(_get("p", "Avg", "double"), _get("p", "qty", "double"))
     return p.select(F.col("hae_id").alias("workout_hae_id"), parse_instant(_get("p", "date")).alias("ts"), bpm.alias("bpm"), _seq(p)).dropna(subset=["ts", "bpm"])
 
 
 def route_points(sessions: DataFrame) -> DataFrame:
-    p = sessions.select("hae_id", *_origin(sessions), F.posexplode(_array(F.get_json_object("w", "$.route"))).alias("at", "p"))
+    p = sessions.select("hae_id", *_origin(sessions), F.posexplode(_array("w", "route")).alias("at", "p"))
     first = lambda a, b: F.coalesce(_get("p", a, "double"), _get("p", b, "double"))
     rows = p.select(F.col("hae_id").alias("workout_hae_id"), parse_instant(_get("p", "timestamp")).alias("ts"), first("latitude", "lat").alias("lat"), first("longitude", "lon").alias("lon"), _get("p", "altitude", "double").alias("altitude_m"), _get("p", "speed", "double").alias("speed_mps"), _seq(p))
     return rows.dropna(subset=["ts", "lat", "lon"])

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -67,6 +70,7 @@ class Store:
         return self.spark.read.parquet(*[f"{self.root}/{name}/v{v}" for v in (versions if name in APPENDED else [max(versions)])])
 
     def replace(self, name: str, rows: DataFrame) -> None:
+        """``rows`` as the table's next version; the state before the last is deleted."""
         versions = self._versions(name)
         last = max(versions, default=0)
         rows.write.mode("overwrite").parquet(f"{self.root}/{name}/v{last + 1}")
@@ -77,17 +81,22 @@ class Store:
     def append(self, name: str, rows: DataFrame) -> None:
         rows.write.mode("overwrite").parquet(f"{self.root}/{name}/v{max(self._versions(name), default=0) + 1}")
 
-    def upsert(self, name: str, rows: DataFrame) -> None:
+    def upsert(self, name: str, rows: DataFrame) -> dict[str, int]:
+        """Merges ``rows`` into a table; how many of them are now ``stored``, and how many of those are of a ``new`` key, as the write saw them."""
+        told = Observation()
         if name in BY_DAY:
-            return self._upsert_days(name, rows)
+            return self._upsert_days(name, rows, told)
         keys, old = KEYS[name], self.read(name)
         best = name == "sleep_sessions"
         new = merge.best_wins(rows, keys, "total_sleep_h", "seq") if best else merge.last_wins(rows, keys, "seq")
-        if old is not None:
-            new = merge.upsert_best(old, new, keys, "total_sleep_h", "seq") if best else merge.upsert(old, new, keys, "seq", ["canonical_type"] if name == "workouts" else None)
-        self.replace(name, new)
-
-    def _upsert_days(self, name: str, rows: DataFrame) -> None:
+        if old is None:
+            new = new.withColumn("_fresh", F.lit(1))
+        else:
+            new = merge.upsert_best(old, new, keys, "total_sleep_h", "seq", tell=True) if best else merge.upsert(old, new, keys, "seq", ["canonical_type"] if name == "workouts" else None, tell=True)
+        self.replace(name, _watched(new, told))
+        return _told(told)
+
+    def _upsert_days(self, name: str, rows: DataFrame, told: Observation) -> dict[str, int]:
         path, keys, versions = f"{self.root}/{name}", KEYS[name], self._versions(name)
         day = F.date_from_unix_date(F.floor(F.unix_seconds(BY_DAY[name]) / 86400).cast("int"))
         new = merge.last_wins(rows, keys, "seq").persist()
@@ -98,7 +107,7 @@ class Store:
             before, last = self._days(name, versions), max(versions, default=0)
             if touched or not versions:
                 old = self._read_days(name, [before[d] for d in touched if d in before])
-                both = merge.upsert(old, new, keys, "seq").withColumn("utc_day", day)
+                both = _watched(merge.upsert(old, new, keys, "seq", tell=True), told).withColumn("utc_day", day)
                 both.hint("rebalance", "utc_day").write.mode("overwrite").partitionBy("utc_day").parquet(f"{path}/v{last + 1}")
         finally:
             new.unpersist()
@@ -108,46 +117,78 @@ class Store:
             gone = [f for f in folders if f not in kept]
             for f in [f"{path}/v{v}"] if len(gone) == len(folders) and v < last else gone:
                 self._delete(f)
+        return _told(told) if touched else {"stored": 0, "new": 0}
+
+
+def _watched(merged: DataFrame, told: Observation) -> DataFrame:
+    """``merged`` without its marks, which are counted as it is written."""
+    return merged.observe(told, F.count("_fresh").alias("stored"), F.coalesce(F.sum("_fresh"), F.lit(0)).alias("new")).drop("_fresh")
+
+
+def _told(told: Observation) -> dict[str, int]:
+    try:
+        return {k: int(v) for k, v in told.get.items()}
+    except Py4JJavaError:  # the plan turned out to be empty and so did its counts
+        return {"stored": 0, "new": 0}
+
+
+#: What ``ingest`` counts in the parsed bodies.
+QUALITY = ("implausible", "flagged", "skipped_sleep", "dropped_workouts", "flagged_energy")
 
 
 def ingest(store: Store, bodies: DataFrame, type_map: dict[str, str] | None = None, dry_run: bool = False) -> dict[str, int]:
-    """One batch of (path, body): hash, leave out seen bodies, archive, parse, upsert. Returns data-quality counts; ``dry_run`` stores nothing.
+    """One batch of (path, body): hash, leave out seen bodies, archive, parse, upsert. Replaying a batch changes nothing: its bodies are archived.
 
-    Replaying a batch changes nothing: its bodies are in the archive already.
+    Returns counts: files, bad and new bodies; of points and sessions what was implausible, flagged, skipped or dropped; ``unknown_metrics``;
+    and for each table ``<table>_stored`` and ``<table>_new``, which the writes themselves observe. Each body is parsed once, as the
+    batch is held; all quality counts are one job over it. Paths of a batch are distinct. ``dry_run`` stores nothing and counts no tables.
     """
     spark = store.spark
     archive = store.read("raw_ingest")
     seen = archive if archive is not None else spark.createDataFrame([], "content_hash string")
-    good = payload.status(bodies)
-    fresh = merge.unseen(good.filter("status = 'ok'"), seen, "body").select("content_hash", "path", "body").persist()
+    held = payload.status(bodies).withColumn("content_hash", F.sha2(F.col("body").cast("binary"), 256)).persist()
+    chosen = held.filter("status = 'ok'").groupBy("content_hash").agg(F.min("path").alias("path")).join(seen.select("content_hash"), "content_hash", "left_anti").persist()
     try:
-        counts = good.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("status") == "bad").alias("bad")).first().asDict() | {"new": fresh.count()}
+        files = held.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("status") == "bad").alias("bad"))
+        counts = files.crossJoin(chosen.agg(F.count(F.lit(1)).alias("new"))).first().asDict()
         if not counts["new"]:
-            return counts | dict.fromkeys(("implausible", "flagged", "skipped_sleep", "dropped_workouts", "flagged_energy"), 0)
-        tagged = fresh.select(F.col("path").alias("_path"), "body")
+            return counts | dict.fromkeys(QUALITY, 0)
+        fresh = held.join(chosen, ["content_hash", "path"]).select("content_hash", "path", "body", "v")
+        tagged = fresh.select(F.col("path").alias("_path"), "body", "v")
         points = payload.metric_points(tagged)
         rows = payload.plausible(payload.normalise_units(payload.samples(points))).withColumn("seq", F.struct("_path", "pos"))
         sessions, dropped = payload.workouts(tagged, type_map=type_map)
-        counts |= rows.agg(F.count_if("implausible").alias("implausible"), F.count_if("flagged").alias("flagged")).first().asDict()
         nights = payload.sleep_rows(points)
-        counts |= {"skipped_sleep": points.filter("name = 'sleep_analysis'").count() - nights.count(), "dropped_workouts": dropped.count(), "flagged_energy": sessions.agg(F.coalesce(F.sum("energy_flags"), F.lit(0))).first()[0]}
+        n = F.count(F.lit(1))
+        sleep_points = points.filter("name = 'sleep_analysis'")
+        parts = [
+            rows.agg(F.count_if("implausible").alias("implausible"), F.count_if("flagged").alias("flagged")), sleep_points.agg(n.alias("_points")), nights.agg(n.alias("_nights")),
+            dropped.agg(n.alias("dropped_workouts")), sessions.agg(F.coalesce(F.sum("energy_flags"), F.lit(0)).alias("flagged_energy")),
+        ]
+        quality = functools.reduce(lambda a, b: a.crossJoin(b), parts).first().asDict()  # a row each
+        quality["skipped_sleep"] = quality.pop("_points") - quality.pop("_nights")
+        counts |= {k: quality[k] for k in QUALITY}
         if dry_run:
             return counts
         known = store.read("metric_registry")
         known = known if known is not None else registry(spark).select("metric", "unit", "agg", "category", "tier")
         stubs = payload.unregistered(rows.filter("not implausible").withColumn("pos", F.col("seq")), known)
         kept = rows.filter("not implausible").select("time", "metric", "source", "unit", "qty", "vmin", "vavg", "vmax", F.lit(None).cast("int").alias("n"), "seq")
-        store.upsert("metric_samples", kept)
-        store.upsert("sleep_sessions", nights.withColumn("seq", F.struct("_path", "pos")).drop("_path", "pos"))
         order = F.struct(F.col("_path"), F.col("pos").alias("pos"))
-        store.upsert("workouts", sessions.withColumn("seq", order).drop("w", "pos", "_path", "energy_flags"))
-        for name, part in (("workout_hr_samples", payload.hr_samples(sessions)), ("workout_route_points", payload.route_points(sessions))):
-            store.upsert(name, part)
-        store.replace("metric_registry", known.unionByName(stubs))
-        store.append("raw_ingest", fresh.withColumn("received_at", F.current_timestamp()))
+        tables = {
+            "metric_samples": kept, "sleep_sessions": nights.withColumn("seq", F.struct("_path", "pos")).drop("_path", "pos"),
+            "workouts": sessions.withColumn("seq", order).drop("w", "pos", "_path", "energy_flags"), "workout_hr_samples": payload.hr_samples(sessions), "workout_route_points": payload.route_points(sessions),
+        }
+        for name, part in tables.items():
+            counts |= {f"{name}_{k}": v for k, v in store.upsert(name, part).items()}
+        told = Observation()
+        store.replace("metric_registry", _watched(known.withColumn("_fresh", F.lit(None).cast("int")).unionByName(stubs.withColumn("_fresh", F.lit(1))), told))
+        counts["unknown_metrics"] = _told(told)["new"]
+        store.append("raw_ingest", fresh.drop("v").withColumn("received_at", F.current_timestamp()))
         return counts
     finally:
-        fresh.unpersist()
+        held.unpersist()
+        chosen.unpersist()
 
 
 def stream(spark: SparkSession, landing: str, store: Store, checkpoint: str, most_bytes: int = 32 << 20, type_map: dict[str, str] | None = None) -> StreamingQuery:
