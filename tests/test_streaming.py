@@ -140,6 +140,10 @@ def test_commands_over_a_store(spark, tmp_path, capsys):
     assert all(x in out for x in ("coverage", "units", "unmapped", "last_run", "heart_rate"))
     main([*at, "check-workout-hr", "--limit", "1"], spark)
     assert "heartRateData" in capsys.readouterr().out
+    for _ in range(2):  # again changes nothing
+        main([*at, "rederive", "--since-days", "2"], spark)
+        states.append((capsys.readouterr().out, sorted(map(str, spark.read.parquet(f"{at[0]}/derived/stress_intraday").collect()))))
+    assert states[-1] == states[-2] and "'stress'" in states[-1][0]
     main([*at, "narrate", str(tmp_path / "text")], spark)
     assert capsys.readouterr().out.strip().endswith(".md")
 
@@ -158,3 +162,31 @@ def test_report_has_sections_in_order(spark, tmp_path):
     text = narrate.context(f.unionByName(g), 7, dt.date(2024, 1, 2), max_correlations=2)
     assert text.index("## Stress") < text.index("## Correlations") and "+2 more" in text and "(high)" in text
     assert open(narrate.write_report(text, str(tmp_path), dt.date(2024, 1, 2))).read() == text
+
+
+def test_every_kind_is_told_in_both_languages(spark):
+    day = dt.date(2024, 1, 2)
+    cases = [  # kind, name, details, note, words in English and German
+        ("recovery_alert", "recovery", {"heart_rate_variability_z": -2.0, "resting_heart_rate_z": 1.7, "short_sleep": True}, "low HRV", ["HRV z -2.00 (mildly notable), below baseline", "RHR z 1.70", "short sleep too – low HRV"], ["unter Baseline", "auch kurzer Schlaf"]),
+        ("training_status", "workout_trimp", {"ctl": 50.0, "atl": 44.0, "tsb": 6.0, "tsb_pct": 0.12, "zone": "fresh", "ctl_trend": "rising", "ctl_trend_days": 28}, "x", ["fitness CTL 50.0, fatigue ATL 44.0", "form TSB +6.0 (+12 % CTL)", "fresh / tapered", "fitness trend 28 d: rising"], ["Ermüdung ATL 44.0", "Fitness-Trend 28 d: steigend"]),
+        ("training_load", "workout_load", {"ratio": 1.62, "acute": 10.0, "chronic": 6.2}, "spike", ["ACWR 1.62 (high overtraining risk)", "acute 10.00, chronic 6.20 – spike"], ["akut 10.00, chronisch 6.20"]),
+        ("stress", "stress", {"score": 71.3, "high_min": 30, "hrv_z": -2.6}, "elevated daily stress", ["score 71 (medium)", "30 minutes of high stress", "HRV z -2.60 (clearly outside normal range) – elevated daily stress"], ["Score 71 (mittel)"]),
+        ("body_battery", "body_battery", {"low_level": 12, "wake_level": 60, "high_level": 80, "drained": 44.0, "charged": 70.0}, "low energy reserve", ["lowest 12, at waking 60, highest 80, drained 44, charged 70 – low energy reserve"], ["Tief 12, beim Aufwachen 60, Hoch 80, entladen 44, geladen 70"]),
+        ("anomaly", "step_count", {"z": 4.0, "global_z": 3.0, "value": 12.0}, None, ["Steps: z 4.00 (strong outlier), over all days 3.00, value 12.0"], ["über alle Tage 3.00, Wert 12.0"]),
+        ("consistency", "bedtime", {"std_hours": 1.25}, "irregular bedtime", ["Bedtime: σ 1.25 h – irregular bedtime"], ["σ 1.25 h"]),
+        ("trend", "step_count", {"slope_per_day": 0.5, "strength": 0.8}, None, ["Steps (2024-01-02 – 2024-01-02): +0.5000 a day, strength 0.80"], ["+0.5000 pro Tag, Stärke 0.80"]),
+        ("seasonality", "step_count", {"peak_month": 7, "trough_month": 12, "strength": 0.4, "phase_confident": False}, None, ["peak July, trough December, strength 0.40, phase uncertain"], ["Hochpunkt Juli, Tiefpunkt Dezember", "Phase unsicher"]),
+        ("correlation", "step_count", {"n": 90}, None, ["Steps → Total Sleep: after 2 d, r 0.512, p 0.0100, n 90"], ["nach 2 d, r 0.512"]),
+    ]
+    rows = [(k, m, "sleep_total_h" if k == "correlation" else None, json.dumps(d), note, 2, 0.51234, 0.01, 5.0) for k, m, d, note, *_ in cases]
+    frame = spark.createDataFrame(rows, "k string, m string, b string, d string, note string, lag int, c double, p double, s double")
+    dated = F.col("k").isin("recovery_alert", "training_status", "training_load", "stress", "body_battery", "anomaly")
+    when = F.when(dated, F.lit(day))
+    f = frame.select(
+        F.col("k").alias("kind"), F.col("m").alias("metric_a"), F.col("b").alias("metric_b"), F.col("lag").alias("lag_days"), F.col("c").alias("coefficient"), F.lit(None).cast("double").alias("p_value"), F.col("p").alias("p_value_adj"),
+        when.alias("ref_date"), F.lit(day).alias("window_start"), F.lit(day).alias("window_end"), F.col("s").alias("severity"), F.col("d").alias("details"), "note")
+    for language, at in (("en", 4), ("de", 5)):
+        text = narrate.context(f, 7, day, language)
+        assert [w for c in cases for w in c[at] if w not in text] == []
+        bare = narrate.context(f.limit(0), 7, day, language)
+        assert bare.count("- –") == len(narrate.SECTIONS) == text.count("## ")

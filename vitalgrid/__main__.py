@@ -31,8 +31,8 @@ def _parser() -> argparse.ArgumentParser:
     sub.add_parser("rederive", help="stress and energy timelines again").add_argument("--since-days", type=int)
     add = sub.add_parser("narrate", help="text of the current findings")
     add.add_argument("folder")
-    add.add_argument("--lookback-days", type=int, default=7)
-    add.add_argument("--language", choices=("en", "de"), default="en")
+    add.add_argument("--lookback-days", type=int)
+    add.add_argument("--language", choices=("en", "de"))
     return top
 
 
@@ -66,7 +66,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         read = lambda n: sleep.intervals(store.read("sleep_sessions")) if n == "sleep_intervals" else store.read(n)
         print(passes.refresh(read, c, derived, a.since_days))
     else:
-        text = narrate.context(spark.read.parquet(f"{derived}/findings"), a.lookback_days, run.date(), a.language)
+        text = narrate.context(spark.read.parquet(f"{derived}/findings"), a.lookback_days or c.report.lookback_days, run.date(), a.language or c.report.language, c.report.max_correlations)
         print(narrate.write_report(text, a.folder, run.date()))
 
 

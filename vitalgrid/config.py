@@ -47,7 +47,7 @@ class Correlation(Ranged):
     max_lag: int = within(3, 0, 14)
     min_overlap: int = within(42, 2)
     keep_alpha: float = within(0.10, most=1, above=0)
-    fdr_alpha: float = within(0.05, most=1, above=0)
+    fdr_alpha: float = within(0.05, most=1, above=0)  # the level asked of the adjustment; adjusted p values, which keep_alpha is held against, do not depend on it
     min_active: int = within(10, 0)
     min_abs: float = within(0.25, 0, 1)
     raw_min_abs: float = within(0.15, 0, 1)
@@ -134,7 +134,6 @@ class Energy(Ranged):
 class Report(Ranged):
     lookback_days: int = within(7, 1, 90)
     max_correlations: int = within(15, 0, 200)
-    words: int = within(700, 100, 3000)
     language: str = within("en", one_of=("en", "de"))
 
 
