@@ -71,23 +71,65 @@ def average_rank(value: str, *keys: str) -> Column:
     return F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / 2.0
 
 
-def spearman(series: DataFrame, pairs: DataFrame, min_overlap: int = 42, min_active: int | None = None) -> DataFrame:
+def average_ranks(x: np.ndarray) -> np.ndarray:
+    """Ranks from 1, equal values sharing their mean."""
+    _, where, many = np.unique(x, return_inverse=True, return_counts=True)
+    return (np.cumsum(many) - (many - 1) / 2.0)[where]
+
+
+def _pair(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray], lag: int, min_overlap: int, min_active: int | None):
+    """(coefficient, days, first day, last day) of dense arrays (start, values), or None where there is too little to rank."""
+    (s, x), (t, y) = a, b
+    first, last = max(s, t - lag), min(s + len(x), t - lag + len(y))
+    if last - first < min_overlap:
+        return None
+    x, y = x[first - s : last - s], y[first + lag - t : last + lag - t]
+    both = np.flatnonzero(~(np.isnan(x) | np.isnan(y)))
+    if len(both) < max(min_overlap, 1):
+        return None
+    x, y = x[both], y[both]
+    if x.min() == x.max() or y.min() == y.max() or min_active is not None and min(np.count_nonzero(x), np.count_nonzero(y)) < min_active:
+        return None
+    p, q = average_ranks(x), average_ranks(y)
+    p, q = p - p.mean(), q - q.mean()
+    return float((p @ q) / np.sqrt((p @ p) * (q @ q))), len(both), first + int(both[0]), first + int(both[-1])
+
+
+def spearman(series: DataFrame, pairs: DataFrame, min_overlap: int = 42, min_active: int | None = None, blocks: int = 8) -> DataFrame:
     """(a, b, lag, coef, n, window_start, window_end): rank correlation of a[t] and b[t + lag] over their common days.
 
-    Ranks depend on the overlap, so they are taken after the join; too short, constant and too inactive candidates go before that.
+    The rows of ``series`` (one a series and day; null and NaN are no value) are shuffled once, to an array a series. Series are dealt to
+    ``blocks``, pairs to the meetings of two blocks, and each array is sent to the meetings of its block that have a pair: a pair and its
+    lags cost no rows, only ranks of array slices, which depend on the overlap. Too short, constant and too inactive candidates go before.
     """
-    seen = series.filter("value is not null")
-    left = seen.select(F.col("series").alias("a"), F.col("day"), F.col("value").alias("x"))
-    right = seen.select(F.col("series").alias("b"), F.col("day").alias("_d"), F.col("value").alias("y"))
-    met = pairs.join(left, "a").withColumn("_d", F.date_add("day", F.col("lag"))).join(right, ["b", "_d"])
-    key = ["a", "b", "lag"]
-    stats = met.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count_if(F.col("x") != 0).alias("ax"), F.count_if(F.col("y") != 0).alias("ay"), F.min("day").alias("window_start"), F.max("day").alias("window_end"))
-    ok = stats.filter((F.col("n") >= min_overlap) & (F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1")))
-    if min_active is not None:
-        ok = ok.filter((F.col("ax") >= min_active) & (F.col("ay") >= min_active))
-    ranked = met.join(ok.select(*key), key, "left_semi").withColumns({"rx": average_rank("x", *key), "ry": average_rank("y", *key)})
-    coef = ranked.groupBy(*key).agg(F.corr("rx", "ry").alias("coef"))
-    return coef.join(ok.select(*key, "n", "window_start", "window_end"), key)
+    def held(pdf: pd.DataFrame) -> dict[str, tuple[int, np.ndarray]]:
+        out = {}
+        for name, days, values in zip(pdf["name"], pdf["days"], pdf["values"]):
+            days = np.asarray(days, np.int64)
+            dense = np.full(days.max() - days.min() + 1, np.nan)
+            dense[days - days.min()] = np.asarray(values, float)
+            out[name] = int(days.min()), dense
+        return out
+
+    columns = ["a", "b", "lag", "coef", "n", "window_start", "window_end"]
+
+    def meet(arrays: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        have, rows = held(arrays), []
+        for a, b, lag in zip(asked["a"], asked["b"], asked["lag"]):
+            found = _pair(have[a], have[b], int(lag), min_overlap, min_active) if a in have and b in have else None
+            if found:
+                rows.append((a, b, lag, *found))
+        return pd.DataFrame(rows, columns=columns)
+
+    block = lambda name: F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int")
+    cell = lambda x, y: F.least(x, y) * blocks + F.greatest(x, y)
+    asked = pairs.select("a", "b", F.col("lag").cast("int").alias("lag"), cell(block("a"), block("b")).alias("cell"))
+    seen = series.filter(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double")))
+    rows = F.array_sort(F.collect_list(F.struct(F.unix_date("day").alias("d"), F.col("value").cast("double").alias("v"))))
+    arrays = seen.groupBy(F.col("series").alias("name")).agg(rows.alias("_r")).select("name", F.col("_r.d").alias("days"), F.col("_r.v").alias("values"))
+    sent = arrays.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda other: cell(block("name"), other))))
+    out = sent.groupBy("cell").cogroup(asked.groupBy("cell")).applyInPandas(meet, "a string, b string, lag int, coef double, n long, window_start int, window_end int")
+    return out.withColumns({c: F.date_from_unix_date(c) for c in ("window_start", "window_end")})
 
 
 def adjusted(candidates: DataFrame, p: str = "p_value", order: tuple[str, ...] = ("a", "b", "lag")) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -369,6 +370,32 @@ def seasonality(t):
     return _round(decompose.annual(decompose.decompose(t.order_series())))
 
 
+# What stl_planted plants (slope a day, one week, size of the year, half width of the noise) and how near it must come out.
+PLANTED_SLOPE, PLANTED_WEEK, PLANTED_YEAR, PLANTED_NOISE = 0.01, (3.0, 1.0, 0.0, -1.0, -2.0, -1.0, 0.0), 10.0, 2.0
+WEEK_RMS, YEAR_RMS, SLOPE_SHARE, NOISE_SHARES, STRENGTH_LEAST = 0.6, 1.0, 0.05, (0.5, 1.05), 0.8
+
+
+@query
+def stl_planted(t):
+    """Known trend, week, year and noise on the days of each order series, and whether the decomposition gives each back within bounds:
+    root mean square errors of the seasonal parts, share of the slope, share of the noise's variance, strengths of trend and year.
+    """
+    day = F.unix_date("day")
+    week = F.element_at(F.array(*map(F.lit, PLANTED_WEEK)), (day % 7 + 1).cast("int"))
+    year = PLANTED_YEAR * F.cos(2 * math.pi * day / C.YEAR)
+    noise = (F.pmod(F.xxhash64("series", "day"), F.lit(10_001)) / 5_000 - 1) * PLANTED_NOISE
+    planted = t.order_series().select("series", "day", (100 + PLANTED_SLOPE * day + week + year + noise).alias("value"))
+    parts = kept(decompose.decompose(planted), "parts")
+    rms = lambda part, truth: F.sqrt(F.avg(F.pow(F.col(part) - truth, 2)))
+    share = F.var_pop("resid") / (PLANTED_NOISE**2 / 3)
+    g = parts.groupBy("series").agg(
+        F.count(F.lit(1)).alias("days"), (rms("seasonal_7", week) <= WEEK_RMS).alias("week_ok"), (rms("seasonal_365", year) <= YEAR_RMS).alias("year_ok"), share.between(*NOISE_SHARES).alias("noise_ok"),
+        ((decompose.strength("trend") >= STRENGTH_LEAST) & (decompose.strength("seasonal_365") >= STRENGTH_LEAST)).alias("strength_ok"),
+    )
+    slope = decompose.slope(parts, "trend").select("series", (F.abs(F.col("slope_per_day") / PLANTED_SLOPE - 1) <= SLOPE_SHARE).alias("slope_ok"))
+    return g.join(slope, "series")
+
+
 STRESS = C.Stress()
 
 

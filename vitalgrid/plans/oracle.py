@@ -186,6 +186,8 @@ _ENERGY_PASS = f"""{_stress_pass()}, naps as (select ts as s, ts + interval 40 m
   ep_k as (select {_day('ts')} as day from sp_b where state <> 'unmeasurable' group by 1 having count(*) >= 60)"""
 
 ORACLE_SQL = {
+    # What was planted is known, so every part of every series of two years or more must come out.
+    "stl_planted": f"with {ORDERS} select series, count(*) as days, true as week_ok, true as year_ok, true as noise_ok, true as strength_ok, true as slope_ok from o_series group by series having count(*) >= 730",
     "workout_series": _wseries(["trimp", "load", "edwards"]),
     "workout_series_energy": _wseries(["load"]),
     "stress_pass_buckets": f"with {_stress_pass()} select ts, day, stress, round(hr, 4) as hr, state from sp_b",
