@@ -334,6 +334,13 @@ def corr_p_values(t):
     return _round(_spearman(t).withColumn("p_value", correlation.p_value("coef", "n")).select("a", "b", "lag", "p_value"), 6)
 
 
+@query
+def findings_correlation(t):
+    """Findings of all pairs of order series at their best lags, with adjusted p values, borne out by the same series."""
+    s = t.order_series()
+    return findings.correlations(s, s, s, C.Correlation(keep_alpha=1.0, min_abs=0.0, raw_min_abs=0.0)).drop("details", "note", "ref_date")
+
+
 @query
 def bh_fdr(t):
     o = t.raw("orders").select(F.col("o_orderkey").alias("a"), F.lit("x").alias("b"), F.lit(0).alias("lag"), ((F.col("o_orderkey") * 7919 % 100003 + 1) / 100004.0).alias("p_value")).dropDuplicates(["a"])
@@ -526,7 +533,7 @@ def alert_markers(t):
 @query
 def findings_all(t):
     s = t.order_series()
-    parts = decompose.decompose(s)
+    parts = kept(decompose.decompose(s), "parts")
     residual, flat = decompose.residuals(parts), decompose.detrended(parts)
     loads = _loads(t).withColumn("series", F.concat(F.lit("workout_trimp_"), slug(F.col("series"))))
     shape = C.Shape(trend_strength=0.0, min_monotonicity=0.0, season_strength=0.0, reproducibility=-1.0)

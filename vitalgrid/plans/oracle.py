@@ -185,7 +185,18 @@ _ENERGY_PASS = f"""{_stress_pass()}, naps as (select ts as s, ts + interval 40 m
   ep_l as (select ts, level, {_day('ts')} as day from ep_f), ep_x as (select l.*, level - lag(level) over (partition by l.day order by ts) as diff, wake from ep_l l left join ep_w w on l.day = w.day),
   ep_k as (select {_day('ts')} as day from sp_b where state <> 'unmeasurable' group by 1 having count(*) >= 60)"""
 
+# Two-sided Student tail of whole degrees of freedom: a finite sum of powers of the cosine (Abramowitz and Stegun, 26.7.3 and 26.7.4).
+P_VALUES = f"""{LAGS}, pv0 as (select *, n - 2 as nu, atan(abs(coef) / sqrt((1 - coef) * (1 + coef))) as th from sp),
+  pv1 as (select *, list_reduce(range(1, case when nu % 2 = 0 then nu // 2 else (nu - 1) // 2 end), lambda s, j: {{'t': s.t * case when nu % 2 = 0 then (2 * j - 1) / (2.0 * j) else 2 * j / (2.0 * j + 1) end * cos(th) * cos(th),
+    's': s.s + s.t * case when nu % 2 = 0 then (2 * j - 1) / (2.0 * j) else 2 * j / (2.0 * j + 1) end * cos(th) * cos(th)}}, {{'t': 1.0::double, 's': 1.0::double}}).s as su from pv0),
+  pv as (select * exclude (nu, th, su), greatest(0, 1 - case when nu % 2 = 0 then sin(th) * su else 2 / pi() * (th + sin(th) * cos(th) * su) end) as p from pv1)"""
+
 ORACLE_SQL = {
+    "corr_p_values": f"with {P_VALUES} select a, b, lag, round(p, 6) as p_value from pv",
+    "findings_correlation": f"""with {P_VALUES}, pr as (select *, row_number() over (order by p, a, b, lag) as rn, count(*) over () as m from pv),
+      pa as (select *, least(1, min(p * m / rn) over (order by rn desc rows unbounded preceding)) as padj from pr),
+      pb as (select * from pa qualify row_number() over (partition by least(a, b), greatest(a, b) order by abs(coef) desc, lag, a) = 1)
+      select 'correlation' as kind, a as metric_a, b as metric_b, lag as lag_days, round(coef, 4) as coefficient, round(p, 4) as p_value, round(padj, 4) as p_value_adj, window_start, window_end, round(abs(coef), 4) as severity from pb where coef <> 0""",
     # What was planted is known, so every part of every series of two years or more must come out.
     "stl_planted": f"with {ORDERS} select series, count(*) as days, true as week_ok, true as year_ok, true as noise_ok, true as strength_ok, true as slope_ok from o_series group by series having count(*) >= 730",
     "workout_series": _wseries(["trimp", "load", "edwards"]),
