@@ -77,10 +77,31 @@ def _met(points: DataFrame, by_day: DataFrame, key: list[str], ts: str) -> DataF
     return points.join(iv, on, "left")
 
 
+def _first_wins(intervals: DataFrame, value: str) -> DataFrame:
+    """Disjoint (start, end, value): each interval's stretch after the ends of all that come before it by start and end, if any is left.
+
+    At every instant that is the earliest-starting interval there. Ends are carried within the day of the start first, then along the days.
+    """
+    key = subject_of(intervals)
+    df = intervals.filter(F.col("end") > F.col("start")).dropna(subset=key).select(*key, "start", "end", F.col(value).alias("_value"), F.to_date("start").alias("_day"))
+    earlier = within(key, "_day").orderBy("start", "end", "_value").rowsBetween(Window.unboundedPreceding, -1)
+    reach = scan.carried(df.groupBy(*key, "_day").agg(F.max("end").alias("_end")), key, "_day", "_end", "timestamp", F.greatest)
+    df = df.withColumn("_own", F.max("end").over(earlier)).join(reach, [*key, "_day"], "left")
+    return df.select(*key, F.greatest("start", "_own", "carry").alias("start"), "end", "_value").filter(F.col("end") > F.col("start"))
+
+
 def first_match(points: DataFrame, intervals: DataFrame, value: str, out: str, ts: str = "ts") -> DataFrame:
-    """``points`` with ``value`` of the earliest-starting interval that holds them."""
-    met = _met(points, _by_day(intervals), subject_of(points, intervals), ts)
-    return met.groupBy(*points.columns).agg(F.min_by(f"_{value}", F.struct("_start", "_end")).alias(out))
+    """``points`` with ``value`` of the earliest-starting interval that holds them (of equals the earliest-ending, then the smallest value).
+
+    Points and disjoint stretches are sorted along each day and the last stretch is carried on, so however many intervals overlap, rows do not multiply.
+    """
+    key = subject_of(points, intervals)
+    parts = _by_day(_first_wins(intervals, value))
+    marks = parts.select(*key, "_day", F.greatest("start", F.col("_day").cast("timestamp")).alias("_at"), F.lit(0).alias("_k"), F.struct("end", "_value").alias("_part"))
+    rows = points.select(*key, F.to_date(ts).alias("_day"), F.col(ts).alias("_at"), F.lit(1).alias("_k"), F.struct(*points.columns).alias("_point"))
+    last = F.last("_part", ignorenulls=True).over(within(key, "_day").orderBy("_at", "_k").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = rows.unionByName(marks, allowMissingColumns=True).withColumn("_part", last).filter("_k = 1")
+    return met.select("_point.*", F.when(F.col("_at") < F.col("_part.end"), F.col("_part._value")).alias(out))
 
 
 def intraday_hr(samples: DataFrame) -> DataFrame:
