@@ -4,8 +4,8 @@ A sequence of pieces is what the merges make of a text exactly when every two ne
 string: as long as no merge has crossed a boundary, the best pair within two neighbours is picked in the order in which it is
 picked on its own, so the first merge to cross a boundary in the whole text would cross it in the two neighbours alone. The encoder
 therefore walks a text once: at each place it takes the longest piece (found for all places by one Aho-Corasick pass), else the next
-shorter one, that goes with the piece before it, and steps back where none does. A place from which no way leads on is marked in a
-bitfield and never tried again; that is right for whatever leads there, since a text up to a place has one encoding only.
+shorter one, that goes with the piece before it, and steps back where none does. A place from which no way leads on is marked
+and never tried again; that is right for whatever leads there, since a text up to a place has one encoding only.
 
 No piece of such a model has a space sign after another character, so a text is cut before each run of spaces, and at characters
 that are in no piece; short stretches are remembered with their ids.
@@ -13,6 +13,7 @@ that are in no piece; short stretches are remembered with their ids.
 
 from __future__ import annotations
 
+import array
 import codecs
 import functools
 import re
@@ -25,7 +26,7 @@ from vitalgrid.llm.common import chunks, shielded
 
 SPACE = "▁"
 #: Bounds of what a worker remembers: stretches of at most so many characters, so many of them, and so many pairs of pieces.
-LONGEST, STRETCHES, PAIRS = 48, 150_000, 300_000
+LONGEST, STRETCHES, PAIRS = 48, 400_000, 300_000
 # Kinds of pieces in the model file.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
@@ -99,39 +100,46 @@ class Codec(dict):
         longest = [-1] * n
         for at, (piece, k) in self.auto.iter(text):
             longest[at + 1 - k] = piece  # ends ascend, so the last one is the longest
-        dead = bytearray(n // 8 + 1)
-        lengths, shorter, together = self.lengths, self.shorter, self.together
+        dead = bytearray(n + 1)
+        lengths, shorter, size, pairs = self.lengths, self.shorter, self.size, self.pairs.get
         out: list[int] = []
-        at, piece = 0, longest[0]
+        at, piece, last = 0, longest[0], -1
         while True:
             while piece >= 0:
                 to = at + lengths[piece]
-                if not dead[to >> 3] >> (to & 7) & 1 and (not out or together(out[-1], piece)):
-                    break
+                if not dead[to]:
+                    if last < 0:
+                        break
+                    fits = pairs(last * size + piece)
+                    if self.together(last, piece) if fits is None else fits:
+                        break
                 piece = shorter[piece]
             if piece >= 0:
                 out.append(piece)
-                at += lengths[piece]
-                if at == n:
+                if to == n:
                     return out
+                at, last = to, piece
                 piece = longest[at]
             else:
-                dead[at >> 3] |= 1 << (at & 7)
+                dead[at] = 1
                 piece = out.pop()  # a text has an encoding, so the first place never fails
                 at -= lengths[piece]
+                last = out[-1] if out else -1
                 piece = shorter[piece]
 
     def __missing__(self, stretch: str) -> bytes:
-        ids: list[int] = []
-        start = 0
-        for k, c in enumerate(stretch):
-            if c not in self.letters:
-                ids += self.walk(stretch[start:k]) if start < k else []
-                ids += [self.byte[b] for b in c.encode()]
-                start = k + 1
-        if start < len(stretch):
-            ids += self.walk(stretch[start:])
-        out = np.array(ids, np.int32).tobytes()
+        if self.letters.issuperset(stretch):
+            ids = self.walk(stretch)
+        else:
+            ids, start = [], 0
+            for k, c in enumerate(stretch):
+                if c not in self.letters:
+                    ids += self.walk(stretch[start:k]) if start < k else []
+                    ids += [self.byte[b] for b in c.encode()]
+                    start = k + 1
+            if start < len(stretch):
+                ids += self.walk(stretch[start:])
+        out = array.array("i", ids).tobytes()
         if len(stretch) <= LONGEST:
             if len(self) >= STRETCHES:
                 self.clear()
