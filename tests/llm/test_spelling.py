@@ -109,3 +109,18 @@ def test_long_words_and_texts(spark):
     docs = spark.createDataFrame([(1, long), (2, long), (3, long + "y"), (4, long + "y"), (5, "wordword " * 100_000)], "doc_id long, text string")
     got = rows(spelling.variants(spelling.word_counts(docs)))
     assert {len(w): v[2:4] for w, v in got.items()} == {200_000: (2, 1), 200_001: (2, 1), 8: (100_000, 0)}
+
+
+def test_no_table_of_words_is_broadcast(spark, monkeypatch):
+    """Spark sizes them by their compressed files and takes an explode for one row a row: small tables for it, not for the driver."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plans, keep = [], spelling.written
+
+    def written(df, name):
+        plans.append(plan(df))
+        return keep(df, name)
+
+    monkeypatch.setattr(spelling, "written", written)
+    out = spelling.variants(table(spark, lexicon(1)))
+    plans.append(plan(out))
+    assert sum("SortMergeJoin" in p for p in plans) >= 3 and not any("BroadcastHashJoin" in p for p in plans)

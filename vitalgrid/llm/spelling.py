@@ -5,6 +5,9 @@ most two, so of three bands of the mask at least one is the same in two near wor
 the length of the shorter one. Bands of few letters hold many words, so the key has one thing more that near words share: one edit
 leaves the first or the last half (of the shorter length) as it is. What meets passes the parity bound and is verified by its edit
 distance, within the join; each near pair is put out once, at the first band and half that it shares.
+
+Tables of words are joined by sorting, never broadcast: Spark sizes them by their compressed files, and takes an explode for one row a
+row, so that what it holds for 10 MB may be a gigabyte on the driver.
 """
 
 from __future__ import annotations
@@ -85,7 +88,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
         places = F.array(*[F.struct(F.lit(k).alias("band"), F.lit(s).alias("side"), F.xxhash64(F.lit(k), f"m{k}", size, F.lit(s), side).alias("key")) for k in range(BANDS) for s, side in enumerate(sides)])
         return w.select("*", F.lit(short).alias("short"), F.explode(places).alias("at")).select("at.*", "short", "word", "n", *[f"m{k}" for k in range(BANDS)])
 
-    x, y = placed(True).alias("x"), placed(True).unionByName(placed(False)).alias("y")
+    x, y = placed(True).alias("x").hint("merge"), placed(True).unionByName(placed(False)).alias("y")
     at = lambda side, c: F.col(f"{side}.{c}")
     differ = [at("x", f"m{k}") != at("y", f"m{k}") for k in range(BANDS)]
     flipped = sum((F.bit_count(at("x", f"m{k}").bitwiseXOR(at("y", f"m{k}"))) for k in range(1, BANDS)), F.bit_count(at("x", "m0").bitwiseXOR(at("y", "m0"))))
@@ -116,9 +119,9 @@ def variants(words: DataFrame, ratio: int = 10) -> DataFrame:
     roots = written(formed.filter("form is not null").select("word", F.col("form").alias("root")), "roots")
     while True:
         onward = roots.select(F.col("word").alias("_w"), F.col("root").alias("_r"))
-        step = written(roots.join(onward, F.col("root") == F.col("_w"), "left").select("word", F.coalesce("_r", "root").alias("root"), F.col("_r").isNotNull().alias("moved")), "roots")
+        step = written(roots.join(onward.hint("merge"), F.col("root") == F.col("_w"), "left").select("word", F.coalesce("_r", "root").alias("root"), F.col("_r").isNotNull().alias("moved")), "roots")
         free(roots)
         roots = step
         if not roots.filter("moved").limit(1).count():
             break
-    return formed.join(roots.select("word", "root"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return formed.join(roots.select("word", "root").hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
