@@ -6,7 +6,7 @@ the length of the shorter one. Bands of few letters hold many words, so the key
 leaves the first or the last half (of the shorter length) as it is. What meets passes the parity bound and is verified by its edit
 distance, within the join; each near pair is put out once, at the first band and half that it shares.
 
-Tables of words are joined by sorting, never broadcast: Spark sizes them by their compressed files, and takes an explode for one row a
+Tables of words are joined by sorting, not broadcast on an estimate: Spark sizes them by their compressed files, and an explode as one row a
 row, so that what it holds for 10 MB may be a gigabyte on the driver.
 """
 
